@@ -1,0 +1,25 @@
+"""Joins of a big table with a key table whose size is known only at run time."""
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+
+_held: list[DataFrame] = []
+
+
+def sized(keys: DataFrame) -> DataFrame:
+    """Compute an aggregated key table once so that the planner joins by its true size.
+
+    A grouped table is estimated as large as its input, so the planner would shuffle the big side
+    even where a few rows remain. Once held, its measured size decides: below
+    ``spark.sql.autoBroadcastJoinThreshold`` it is broadcast, above it both sides are shuffled.
+    """
+    held = keys.persist(StorageLevel.MEMORY_AND_DISK)
+    held.count()
+    _held.append(held)
+    return held
+
+
+def release() -> None:
+    """Drop every held key table; results built on them can still be recomputed."""
+    while _held:
+        _held.pop().unpersist()
