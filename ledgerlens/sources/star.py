@@ -2,8 +2,10 @@
 
 Every order becomes one lifecycle and every event row one usage event. The rules are integer
 arithmetic on the keys, so that another engine can derive the very same rows; they plant each kind
-of dirty record the checks look for. Customers with ``key % 29 = 7`` get an account number outside
-the range used by events, which leaves their events without a lifecycle.
+of dirty record the checks look for. A customer or user owns five accounts and its rows are spread
+over them by key, so that accounts have few lifecycles and some events fall between those. Customers
+with ``key % 29 = 7`` get account numbers that no event uses, which leaves their users' events
+without a lifecycle.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +16,7 @@ from ledgerlens.sources.schemas import RAW_SUBSCRIPTIONS, RAW_USAGE_EVENTS, SEQ
 FIRST_START = "2023-10-01"
 CLUSTER_DAY = "2024-01-15"
 ORPHAN_SHIFT = 1_000_000_000
+ACCOUNTS_PER_OWNER = 5
 
 # fixed values: order priority -> (plan, list price); any other priority is Starter at 49
 PRIORITY_PLAN = {
@@ -58,9 +61,10 @@ def raw_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
 
-    k, a, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("c_nationkey")
+    k, owner, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("c_nationkey")
     null_text = F.lit(None).cast("string")
-    account = F.when(a % 29 == 7, a + ORPHAN_SHIFT).otherwise(a).cast("string")
+    a = owner * ACCOUNTS_PER_OWNER + k % ACCOUNTS_PER_OWNER
+    account = F.when(owner % 29 == 7, a + ORPHAN_SHIFT).otherwise(a).cast("string")
     plan = _first([(F.col("o_orderpriority") == p, v[0]) for p, v in PRIORITY_PLAN.items()], "Starter")
     price = _first([(F.col("o_orderpriority") == p, v[1]) for p, v in PRIORITY_PLAN.items()], 49)
 
@@ -148,6 +152,7 @@ def raw_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id")
     e, u = F.col("event_id"), F.col("user_id")
+    account = u * ACCOUNTS_PER_OWNER + e % ACCOUNTS_PER_OWNER
     all_zero = (e % 101 == 4) & (e % 2 == 0)
     null_int = F.lit(None).cast("int")
 
@@ -157,7 +162,7 @@ def raw_usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.when(e % 10 == 3, F.to_date(F.lit(CLUSTER_DAY))).otherwise(F.to_date("ts"))
     values = {
         "event_id": F.concat(F.lit("EVT-"), F.when(e % 1009 == 7, e - 1).otherwise(e).cast("string")),
-        "account_id": F.concat(F.lit("ACC-"), u.cast("string")),
+        "account_id": F.concat(F.lit("ACC-"), account.cast("string")),
         "event_date": _date_text(day, e % 17 == 0),
         "active_users": _first(
             [(e % 997 == 1, -5), (e % 991 == 2, 999), (e % 983 == 3, null_int), (e % 101 == 4, 0)],

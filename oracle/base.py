@@ -44,7 +44,7 @@ def parsed(x: str) -> str:
 _LAYERS = {
     "raw_subs": f"""
 o AS (
-  SELECT o_orderkey AS k, o_custkey AS a, c_nationkey AS n, c_mktsegment AS seg, o_orderstatus AS os,
+  SELECT o_orderkey AS k, o_custkey * 5 + o_orderkey % 5 AS a, o_custkey % 29 = 7 AS lone, c_nationkey AS n, c_mktsegment AS seg, o_orderstatus AS os,
     CASE o_orderpriority WHEN '1-URGENT' THEN 'Enterprise' WHEN '2-HIGH' THEN 'Professional'
       WHEN '4-NOT SPECIFIED' THEN 'Basic' ELSE 'Starter' END AS plan,
     CASE o_orderpriority WHEN '1-URGENT' THEN 999 WHEN '2-HIGH' THEN 299
@@ -63,7 +63,7 @@ raw_subs AS (
   SELECT k AS _seq,
     CASE WHEN k % 10 = 0 THEN 'SUB-A' || a ELSE 'SUB-' || k END AS subscription_id,
     CASE WHEN k % 389 = 5 THEN 'acc-' ELSE 'ACC-' END
-      || CASE WHEN a % 29 = 7 THEN a + 1000000000 ELSE a END AS account_id,
+      || CASE WHEN lone THEN a + 1000000000 ELSE a END AS account_id,
     plan AS plan_type, st AS status,
     (CASE WHEN st = 'trial' THEN 0 WHEN k % 61 = 12 THEN -price WHEN k % 67 = 13 THEN NULL
       WHEN k % 211 = 14 THEN 99900 WHEN k % 223 = 15 THEN 11988 WHEN k % 71 = 16 THEN price * 10
@@ -91,7 +91,7 @@ v AS (
 ),
 raw_ev AS (
   SELECT e AS _seq, 'EVT-' || CASE WHEN e % 1009 = 7 THEN e - 1 ELSE e END AS event_id,
-    'ACC-' || u AS account_id, {_slashed("d", "e % 17 = 0")} AS event_date,
+    'ACC-' || (u * 5 + e % 5) AS account_id, {_slashed("d", "e % 17 = 0")} AS event_date,
     (CASE WHEN e % 997 = 1 THEN -5 WHEN e % 991 = 2 THEN 999 WHEN e % 983 = 3 THEN NULL
       WHEN e % 101 = 4 THEN 0 ELSE 1 + u % 25 + e % 3 END)::DECIMAL(10,2) AS active_users,
     (CASE WHEN e % 977 = 5 THEN NULL WHEN z THEN 0 WHEN e % 971 = 6 THEN 50000
