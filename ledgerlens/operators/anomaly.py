@@ -194,26 +194,23 @@ def long_pending(lifecycles: DataFrame, as_of: dt.date, max_days: int = C.PENDIN
     )
 
 
-def event_date_clusters(events: DataFrame, k: int = 2) -> DataFrame:
+def event_date_clusters(days: DataFrame, k: int = 2) -> DataFrame:
     """Days with more than k times the mean daily events; the mean shown is that of the days found.
 
-    Events are counted per day and account, then per day; the windows see one row per day.
+    ``days`` holds events added up per account and day; the windows see one row per day.
     """
-    daily = (
-        events.groupBy("event_date", "account_id")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("event_date")
-        .agg(F.sum("_n").alias("events_on_day"), F.count("account_id").alias("distinct_accounts"))
+    daily = days.groupBy("event_date").agg(
+        F.sum("_rows").alias("events_on_day"), F.count("account_id").alias("distinct_accounts")
     )
-    days = Window.partitionBy()
+    every = Window.partitionBy()
     of_all = F.struct(
-        F.sum("events_on_day").over(days).alias("events"), F.count(F.lit(1)).over(days).alias("days")
+        F.sum("events_on_day").over(every).alias("events"), F.count(F.lit(1)).over(every).alias("days")
     )
     found = daily.withColumn("_all", of_all).where(
         F.col("events_on_day") * F.col("_all.days") > k * F.col("_all.events")
     )
     found_mean = mean_of_parts(
-        F.sum("events_on_day").over(days), F.count("events_on_day").over(days), 1
+        F.sum("events_on_day").over(every), F.count("events_on_day").over(every), 1
     )
     return found.select(
         "event_date", "events_on_day", "distinct_accounts",

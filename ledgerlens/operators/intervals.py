@@ -5,6 +5,9 @@ to one row per account and day, lifecycles to one row per account and window, be
 shuffled by account: whatever the share of rows one account holds, it meets the join or window with
 no more rows than the calendar has days, or pairs of days. Full event rows are only touched again
 for reports that list them.
+
+``days`` below is the result of :func:`account_days`. It is worth storing: one pass over the events
+then serves every interval report, the usage rollup and the activity KPIs.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,7 +39,7 @@ def _until(end: Column) -> Column:
 
 def _parts() -> dict[str, tuple[Column, str]]:
     """Name -> (aggregate over events, function that merges its results)."""
-    parts = {"_events": (F.count("event_id"), "sum")}
+    parts = {"_events": (F.count("event_id"), "sum")}  # rows without an id do not count as events
     for column, kept in ROLLUP:
         if "sum" in kept or "avg" in kept:
             parts[f"_sum_{column}"] = (F.sum(column), "sum")
@@ -51,10 +54,19 @@ def _merge() -> list[Column]:
     return [getattr(F, how)(name).alias(name) for name, (_, how) in _parts().items()]
 
 
-def account_days(events: DataFrame) -> DataFrame:
-    """Events added up per account and day."""
-    sums = [value.alias(name) for name, (value, _) in _parts().items()]
-    return events.groupBy("account_id", "event_date").agg(*sums)
+def account_days(events: DataFrame, spike: int = C.USER_SPIKE) -> DataFrame:
+    """Events added up per account and day.
+
+    Besides the parts of the usage rollup: all rows, the rows whose user count is not a spike, and the
+    largest user count among those.
+    """
+    users = F.col("active_users")
+    return events.groupBy("account_id", "event_date").agg(
+        *[value.alias(name) for name, (value, _) in _parts().items()],
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(users.isNull() | (users < spike)).alias("_unspiked_rows"),
+        F.max(F.when(users < spike, users)).alias("_unspiked_users"),
+    )
 
 
 # --- coverage -----------------------------------------------------------------------------------
@@ -85,29 +97,27 @@ def uncovered(days: DataFrame, lifecycles: DataFrame) -> DataFrame:
     )
 
 
-def _on_day(events: DataFrame, days: DataFrame) -> DataFrame:
-    """Events of the listed account-days."""
-    keys = sized(days.select(F.col("account_id").alias("_account"), F.col("event_date").alias("_day")))
-    same = F.col("account_id").eqNullSafe(F.col("_account")) & F.col("event_date").eqNullSafe(F.col("_day"))
-    return events.join(keys, same, "left_semi")
-
-
-def unmatched_events(events: DataFrame, lifecycles: DataFrame, known: bool | None = None) -> DataFrame:
+def unmatched_events(
+    events: DataFrame, days: DataFrame, lifecycles: DataFrame, known: bool | None = None
+) -> DataFrame:
     """Events in no lifecycle window; ``known`` limits them to accounts with (or without) lifecycles."""
-    days = uncovered(events.select("account_id", "event_date").distinct(), lifecycles)
+    lost = uncovered(days.select("account_id", "event_date"), lifecycles)
     if known is not None:
-        days = days.where(F.col("known") == known)
-    return _on_day(events, days)
+        lost = lost.where(F.col("known") == known)
+    keys = sized(lost.select(F.col("account_id").alias("_account"), F.col("event_date").alias("_day")))
+    same_account = F.col("account_id").eqNullSafe(F.col("_account"))
+    same_day = F.col("event_date").eqNullSafe(F.col("_day"))
+    return events.join(keys, same_account & same_day, "left_semi")
 
 
-def unmatched_lifecycles(lifecycles: DataFrame, events: DataFrame) -> DataFrame:
+def unmatched_lifecycles(lifecycles: DataFrame, days: DataFrame) -> DataFrame:
     """Lifecycles without an event inside their window.
 
     The account's first event day at or after a start decides: it is missing or past the end.
     """
-    days = events.select("account_id", F.col("event_date").alias("_day")).distinct()
+    seen = days.select("account_id", F.col("event_date").alias("_day"))
     begun = lifecycles.select("account_id", F.col("start_date").alias("_day")).distinct()
-    marks = days.withColumn("_is_day", F.lit(True)).unionByName(begun.withColumn("_is_day", F.lit(False)))
+    marks = seen.withColumn("_is_day", F.lit(True)).unionByName(begun.withColumn("_is_day", F.lit(False)))
     onwards = (
         Window.partitionBy("account_id")
         .orderBy(F.desc("_day"), F.desc("_is_day"))
@@ -127,55 +137,61 @@ def unmatched_lifecycles(lifecycles: DataFrame, events: DataFrame) -> DataFrame:
 
 
 # --- reports on unmatched rows ------------------------------------------------------------------
-def orphans(left: DataFrame, right: DataFrame, key: str = "account_id") -> DataFrame:
-    """Rows of ``left`` whose key does not occur in ``right``.
-
-    Keys are reduced to distinct values on both sides first; ``left`` itself is then only joined
-    with the orphaned keys, which the planner can broadcast if they turn out few.
+def orphans(
+    rows: DataFrame, owners: DataFrame, others: DataFrame, key: str = "account_id"
+) -> DataFrame:
+    """The ``rows`` whose key does not occur in ``others``.
+
+    ``owners`` is any frame with the keys of ``rows``. Keys are reduced to distinct values on both
+    sides first; ``rows`` is only joined with the orphaned keys, which may turn out few enough to be
+    broadcast.
     """
-    lost = left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti")
+    lost = owners.select(key).distinct().join(others.select(key).distinct(), key, "left_anti")
     keys = sized(lost.select(F.col(key).alias("_key")))
-    return left.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    return rows.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
 
 
-def orphan_events(events: DataFrame, lifecycles: DataFrame) -> DataFrame:
-    return orphans(events, lifecycles).select(
+def orphan_events(events: DataFrame, days: DataFrame, lifecycles: DataFrame) -> DataFrame:
+    return orphans(events, days, lifecycles).select(
         "event_id", "account_id", "event_date", F.lit(C.ISSUE_ORPHAN_EVENT).alias("issue")
     )
 
 
-def orphan_events_metrics(events: DataFrame, lifecycles: DataFrame) -> DataFrame:
-    return orphans(events, lifecycles).select(
+def orphan_events_metrics(events: DataFrame, days: DataFrame, lifecycles: DataFrame) -> DataFrame:
+    return orphans(events, days, lifecycles).select(
         "event_id", "account_id", "event_date", "active_users", "api_calls",
         F.lit(C.ISSUE_NO_RECORD).alias("issue"),
     )
 
 
-def subscriptions_without_events(lifecycles: DataFrame, events: DataFrame) -> DataFrame:
-    return orphans(lifecycles, events).select(
+def subscriptions_without_events(lifecycles: DataFrame, days: DataFrame) -> DataFrame:
+    return orphans(lifecycles, lifecycles, days).select(
         "subscription_id", "account_id", "plan_type", "status", "mrr_amount",
         F.lit(C.ISSUE_NO_EVENTS).alias("issue"),
     )
 
 
-def events_outside_window(events: DataFrame, lifecycles: DataFrame) -> DataFrame:
-    """Each event outside every window of its account, against each lifecycle of that account."""
-    lost = unmatched_events(events, lifecycles, known=True).select("event_id", "account_id", "event_date")
+def events_outside_window(events: DataFrame, days: DataFrame, lifecycles: DataFrame) -> DataFrame:
+    """Each event outside every window of its account, against each lifecycle of that account.
+
+    The report is defined on such pairs; only the unmatched events take part in the join.
+    """
+    lost = unmatched_events(events, days, lifecycles, known=True)
     own = lifecycles.select("account_id", "subscription_id", "start_date", "end_date", "status")
     day = F.col("event_date")
     reason = classify(
         [(day < F.col("start_date"), C.ISSUE_BEFORE_START), (day > F.col("end_date"), C.ISSUE_AFTER_END)],
         C.ISSUE_OUTSIDE,
     )
-    return lost.join(own, "account_id").select(
+    return lost.select("event_id", "account_id", "event_date").join(own, "account_id").select(
         "event_id", "account_id", "event_date", "subscription_id", "start_date", "end_date", "status",
         reason.alias("issue"),
     )
 
 
-def events_no_window(events: DataFrame, lifecycles: DataFrame) -> DataFrame:
+def events_no_window(events: DataFrame, days: DataFrame, lifecycles: DataFrame) -> DataFrame:
     """Events in no window, orphans included; the lifecycle columns are empty by definition."""
-    return unmatched_events(events, lifecycles).select(
+    return unmatched_events(events, days, lifecycles).select(
         "event_id", "account_id", "event_date",
         F.lit(None).cast("string").alias("subscription_id"),
         F.lit(None).cast("date").alias("start_date"),
@@ -185,9 +201,9 @@ def events_no_window(events: DataFrame, lifecycles: DataFrame) -> DataFrame:
     )
 
 
-def active_zero_usage(lifecycles: DataFrame, events: DataFrame) -> DataFrame:
+def active_zero_usage(lifecycles: DataFrame, days: DataFrame) -> DataFrame:
     active = lifecycles.where(F.col("status") == "active")
-    return unmatched_lifecycles(active, events).select(
+    return unmatched_lifecycles(active, days).select(
         "subscription_id", "account_id", "plan_type", "status", "mrr_amount", "customer_segment",
         "start_date", F.lit(C.ISSUE_ACTIVE_NO_USAGE).alias("issue"),
     )
@@ -235,13 +251,12 @@ def _finished(flag: Column) -> list[Column]:
     ]
 
 
-def int_usage_per_subscription(lifecycles: DataFrame, events: DataFrame) -> DataFrame:
+def int_usage_per_subscription(lifecycles: DataFrame, days: DataFrame) -> DataFrame:
     """Usage per lifecycle, plus one row per account for its events outside every lifecycle.
 
     This is a full outer interval join followed by a rollup, taken apart: lifecycles look up the
     usage of their window, and the account-days no window covers are added up per account.
     """
-    days = account_days(events)
     matched = (
         lifecycles.select(
             "subscription_sk", "account_id", "start_date", _until(F.col("end_date")).alias("_until")

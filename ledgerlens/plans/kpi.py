@@ -1,4 +1,4 @@
-"""Revenue, churn and engagement KPIs over the subscription fact and the staged events.
+"""Revenue, churn and engagement KPIs over the subscription fact and the account-days of usage.
 
 Monthly figures never pair every month with every row: a lifecycle is expanded to the spine months
 it touches, so the rows grow with the months actually covered, and sums combine before the shuffle.
@@ -227,29 +227,22 @@ _PERIODS = {
 }
 
 
-def active_units(
-    events: DataFrame, spine: Spine, period: str, spike: int = C.USER_SPIKE
-) -> DataFrame:
+def active_units(days: DataFrame, spine: Spine, period: str) -> DataFrame:
     """Distinct accounts and summed daily user maxima per day, week or month of the spine.
 
-    Periods without events report 0. Spiked user counts are left out, missing ones kept.
+    ``days`` holds events added up per account and day. Periods without events report 0. Spiked user
+    counts are left out, missing ones kept.
     """
     name, of_day = _PERIODS[period]
-    users, day = F.col("active_users"), F.col("event_date")
-    daily = (
-        events.where(day.between(F.lit(spine.start), F.lit(spine.end)))
-        .where(users.isNull() | (users < spike))
-        .groupBy(day, "account_id")
-        .agg(F.max(users).alias("_users"))
-    )
+    day = F.col("event_date")
+    inside = day.between(F.lit(spine.start), F.lit(spine.end)) & (F.col("_unspiked_rows") > 0)
+    daily = days.where(inside).select(of_day(day).alias(name), "account_id", "_unspiked_users")
     if period != "day":
-        daily = daily.groupBy(of_day(day).alias(name), "account_id").agg(F.sum("_users").alias("_users"))
-    else:
-        daily = daily.withColumnRenamed("event_date", name)
+        daily = daily.groupBy(name, "account_id").agg(F.sum("_unspiked_users").alias("_unspiked_users"))
     totals = daily.groupBy(name).agg(
-        F.count("account_id").alias("_accounts"), F.sum("_users").alias("_users")
+        F.count("account_id").alias("_accounts"), F.sum("_unspiked_users").alias("_users")
     )
-    periods = spine.days(events).select(of_day(F.col("day")).alias(name)).distinct()
+    periods = spine.days(days).select(of_day(F.col("day")).alias(name)).distinct()
     return periods.join(totals, name, "left").select(
         name,
         F.coalesce("_accounts", F.lit(0)).alias("active_accounts"),
@@ -257,16 +250,16 @@ def active_units(
     )
 
 
-def dau(events: DataFrame, spine: Spine) -> DataFrame:
-    return active_units(events, spine, "day")
+def dau(days: DataFrame, spine: Spine) -> DataFrame:
+    return active_units(days, spine, "day")
 
 
-def wau(events: DataFrame, spine: Spine) -> DataFrame:
-    return active_units(events, spine, "week")
+def wau(days: DataFrame, spine: Spine) -> DataFrame:
+    return active_units(days, spine, "week")
 
 
-def mau(events: DataFrame, spine: Spine) -> DataFrame:
-    return active_units(events, spine, "month")
+def mau(days: DataFrame, spine: Spine) -> DataFrame:
+    return active_units(days, spine, "month")
 
 
 def feature_adoption(fct: DataFrame) -> DataFrame:

@@ -81,8 +81,8 @@ def _derived(name: str, value: Callable, *inputs: str) -> Report:
     """One derived lifecycle column next to its inputs, computed from staged rows and rates."""
 
     def report(w: Warehouse) -> DataFrame:
-        priced = w.stg_subscriptions.join(F.broadcast(fx_rates(w.spark)), "currency", "left")
-        return priced.select("subscription_sk", "account_id", *inputs, value(w).alias(name))
+        priced = w.lifecycles.join(F.broadcast(fx_rates(w.spark)), "currency", "left")
+        return priced.select("subscription_id", "account_id", *inputs, value(w).alias(name))
 
     return report
 
@@ -146,12 +146,14 @@ REPORTS: dict[str, Report] = {
     "dq16_case_inconsistent": lambda w: quality.case_inconsistent(w.raw_subscriptions),
     # consistency
     "dq17_dup_subscription_ids": lambda w: quality.duplicate_keys(w.lifecycles, "subscription_id"),
-    "dq18_orphan_events": lambda w: intervals.orphan_events(w.events, w.lifecycles),
-    "dq19_subs_without_events": lambda w: intervals.subscriptions_without_events(w.lifecycles, w.events),
+    "dq18_orphan_events": lambda w: intervals.orphan_events(w.events, w.days, w.lifecycles),
+    "dq19_subs_without_events": lambda w: intervals.subscriptions_without_events(w.lifecycles, w.days),
     "dq20_bad_account_format": lambda w: quality.bad_account_format(
         {"stg_subscriptions": w.lifecycles, "stg_usage_events": w.events}
     ),
-    "dq21_events_outside_window": lambda w: intervals.events_outside_window(w.events, w.lifecycles),
+    "dq21_events_outside_window": lambda w: intervals.events_outside_window(
+        w.events, w.days, w.lifecycles
+    ),
     # statistical anomalies
     "an01_mrr_sigma_by_plan": lambda w: anomaly.mrr_sigma_by_plan(w.lifecycles),
     "an02_api_sigma": lambda w: anomaly.api_sigma(w.events),
@@ -160,20 +162,22 @@ REPORTS: dict[str, Report] = {
     "an05_users_spike_drop": lambda w: anomaly.users_spike_drop(w.events),
     # business-logic anomalies
     "an06_end_before_start": lambda w: anomaly.end_before_start(w.lifecycles),
-    "an07_events_no_window": lambda w: intervals.events_no_window(w.events, w.lifecycles),
+    "an07_events_no_window": lambda w: intervals.events_no_window(w.events, w.days, w.lifecycles),
     "an08_terminal_without_end": lambda w: anomaly.terminal_without_end(w.lifecycles),
     "an09_active_past_end": lambda w: anomaly.active_past_end(w.lifecycles, w.as_of),
     "an10_expired_trials": lambda w: anomaly.expired_trials(w.lifecycles, w.as_of),
-    "an11_orphan_events_metrics": lambda w: intervals.orphan_events_metrics(w.events, w.lifecycles),
+    "an11_orphan_events_metrics": lambda w: intervals.orphan_events_metrics(
+        w.events, w.days, w.lifecycles
+    ),
     "an12_zero_users_activity": lambda w: anomaly.zero_users_activity(w.events),
     # pattern anomalies
-    "an13_active_zero_usage": lambda w: intervals.active_zero_usage(w.lifecycles, w.events),
+    "an13_active_zero_usage": lambda w: intervals.active_zero_usage(w.lifecycles, w.days),
     "an14_all_zero_events": lambda w: anomaly.all_zero_events(w.events),
     "an15_high_discount": lambda w: anomaly.high_discount(w.lifecycles),
     "an16_start_date_clusters": lambda w: anomaly.start_date_clusters(w.lifecycles),
     "an17_drop_to_zero": lambda w: anomaly.drop_to_zero(w.events),
     "an18_long_pending": lambda w: anomaly.long_pending(w.lifecycles, w.as_of),
-    "an19_event_date_clusters": lambda w: anomaly.event_date_clusters(w.events),
+    "an19_event_date_clusters": lambda w: anomaly.event_date_clusters(w.days),
     # model
     "md01_int_subscriptions": lambda w: w.build_int_subscriptions(),
     "md01a_mrr_usd": _derived(
@@ -219,9 +223,9 @@ REPORTS: dict[str, Report] = {
     "kp09_customer_lifetime": lambda w: kpi.customer_lifetime(w.fct),
     "kp09_customer_lifetime_without_orphans": lambda w: kpi.customer_lifetime(w.fct, exclude_orphans=True),
     # engagement
-    "kp10_dau": lambda w: kpi.dau(w.events, _spine()),
-    "kp11_wau": lambda w: kpi.wau(w.events, _spine()),
-    "kp12_mau": lambda w: kpi.mau(w.events, _spine()),
+    "kp10_dau": lambda w: kpi.dau(w.days, _spine()),
+    "kp11_wau": lambda w: kpi.wau(w.days, _spine()),
+    "kp12_mau": lambda w: kpi.mau(w.days, _spine()),
     "kp13_feature_adoption": lambda w: kpi.feature_adoption(w.fct),
     "kp14_usage_by_tier": lambda w: kpi.usage_by_tier(w.fct),
     "kp15_usage_vs_retention": lambda w: kpi.usage_vs_retention(w.fct),

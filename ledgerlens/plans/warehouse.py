@@ -5,7 +5,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.operators.intervals import int_usage_per_subscription
+from ledgerlens.operators.intervals import account_days, int_usage_per_subscription
 from ledgerlens.operators.staging import stage_subscriptions, stg_subscriptions, stg_usage_events
 from ledgerlens.plans import model
 from ledgerlens.sources.lookups import fx_rates
@@ -15,8 +15,9 @@ from ledgerlens.sources.sinks import materialise, scratch_path
 class Warehouse:
     """Lazy raw and staged frames, and modelled tables that are written once on first use.
 
-    Three modelled tables are read by many reports, so they are stored as Parquet in the session's
-    shared folder: readers prune columns, and a lost executor does not rebuild the interval rollup.
+    Four tables are read by many reports, so they are stored as Parquet in the session's shared folder:
+    readers prune columns, events are added up per account and day only once, and a lost executor does
+    not rebuild the interval rollup.
     """
 
     def __init__(self, spark: SparkSession, subscriptions: DataFrame, events: DataFrame, as_of: dt.date):
@@ -42,7 +43,7 @@ class Warehouse:
         return model.int_subscriptions(self.stg_subscriptions, fx_rates(self.spark), self.as_of)
 
     def build_int_usage(self) -> DataFrame:
-        return int_usage_per_subscription(self.int_subscriptions, self.events)
+        return int_usage_per_subscription(self.int_subscriptions, self.days)
 
     def build_fct(self, on: tuple[str, ...] = ("subscription_sk", "account_id")) -> DataFrame:
         return model.fct_subscriptions(self.int_usage, self.int_subscriptions, on)
@@ -50,6 +51,10 @@ class Warehouse:
     def _stored(self, df: DataFrame, name: str) -> DataFrame:
         return materialise(df, scratch_path(self.spark, name))
 
+    @cached_property
+    def days(self) -> DataFrame:
+        return self._stored(account_days(self.events), "account_days")
+
     @cached_property
     def int_subscriptions(self) -> DataFrame:
         return self._stored(self.build_int_subscriptions(), "int_subscriptions")

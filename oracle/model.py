@@ -13,7 +13,7 @@ _AVERAGES = (
 
 def _column(name: str, *inputs: str, number: tuple = ()) -> str:
     shown = ", ".join(f"{c}::DOUBLE AS {c}" if c in number else c for c in (*inputs, name))
-    return over("lc", f"SELECT subscription_sk, account_id, {shown} FROM lc")
+    return over("lc", f"SELECT subscription_id, account_id, {shown} FROM lc")
 
 
 ORACLES = {
