@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as C
@@ -52,9 +52,12 @@ def users_sigma(events: DataFrame, k: float = 2) -> DataFrame:
 
 
 def _spike_drop(
-    events: DataFrame, metric: str, population: Column, average: str, spike: str, drop: str
+    events: DataFrame, days: DataFrame, metric: str, rows: str, average: str, spike: str, drop: str
 ) -> DataFrame:
-    found = baseline_ratio(events, metric, "account_id", population)
+    base = days.groupBy("account_id").agg(
+        F.sum(f"_sum_{metric}").alias("_sum"), F.sum(rows).alias("_n")
+    )
+    found = baseline_ratio(events, metric, base.where(F.col("_n") > 0), "account_id")
     return found.select(
         "event_id", "account_id", "event_date", metric,
         mean_of_parts(F.col("_sum"), F.col("_n"), 2).alias(average),
@@ -63,18 +66,21 @@ def _spike_drop(
     )
 
 
-def api_spike_drop(events: DataFrame) -> DataFrame:
-    """api_calls more than twice, or less than a quarter of, the account's own average."""
+def api_spike_drop(events: DataFrame, days: DataFrame) -> DataFrame:
+    """api_calls more than twice, or less than a quarter of, the account's own average.
+
+    The averages come from ``days``, the events added up per account and day.
+    """
     return _spike_drop(
-        events, "api_calls", F.col("api_calls").isNotNull(), "account_avg_api_calls",
+        events, days, "api_calls", "_n_api_calls", "account_avg_api_calls",
         C.ISSUE_API_SPIKE, C.ISSUE_API_DROP,
     )
 
 
-def users_spike_drop(events: DataFrame) -> DataFrame:
+def users_spike_drop(events: DataFrame, days: DataFrame) -> DataFrame:
     """The same for active_users, against the average of the positive values."""
     return _spike_drop(
-        events, "active_users", F.col("active_users") > 0, "account_avg_users",
+        events, days, "active_users", "_positive_user_rows", "account_avg_users",
         C.ISSUE_USER_SPIKE, C.ISSUE_USER_DROP,
     )
 

@@ -57,13 +57,14 @@ def _merge() -> list[Column]:
 def account_days(events: DataFrame, spike: int = C.USER_SPIKE) -> DataFrame:
     """Events added up per account and day.
 
-    Besides the parts of the usage rollup: all rows, the rows whose user count is not a spike, and the
-    largest user count among those.
+    Besides the parts of the usage rollup: all rows, the rows with users, the rows whose user count is
+    not a spike, and the largest user count among those.
     """
     users = F.col("active_users")
     return events.groupBy("account_id", "event_date").agg(
         *[value.alias(name) for name, (value, _) in _parts().items()],
         F.count(F.lit(1)).alias("_rows"),
+        F.count_if(users > 0).alias("_positive_user_rows"),
         F.count_if(users.isNull() | (users < spike)).alias("_unspiked_rows"),
         F.max(F.when(users < spike, users)).alias("_unspiked_users"),
     )

@@ -144,7 +144,7 @@ def bad_account_format(
 ) -> DataFrame:
     """Values that do not match ``pattern`` as a whole, with the table they came from."""
     found = [
-        df.where(~F.col(column).rlike(f"^(?:{pattern})$")).select(
+        df.where(~F.col(column).rlike(rf"\A(?:{pattern})\z")).select(
             F.lit(name).alias("source_table"), column
         )
         for name, df in tables.items()

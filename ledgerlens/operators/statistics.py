@@ -38,25 +38,16 @@ def sigma_outliers_by(
 
 
 def baseline_ratio(
-    df: DataFrame,
-    value: str,
-    by: str,
-    population: Column,
-    high: str = "2",
-    low: str = "0.25",
+    df: DataFrame, value: str, base: DataFrame, by: str, high: str = "2", low: str = "0.25"
 ) -> DataFrame:
-    """Rows far from their own group's mean, with ``_mean``, ``_high`` and ``_low`` attached.
+    """Rows far from their own group's mean, with ``_high`` and ``_low`` telling which way.
 
-    Comparisons multiply out the division (value * count against factor * sum), so they are exact.
+    ``base`` has one row per group with the ``_sum`` and the count ``_n`` behind its mean. Comparisons
+    multiply out the division (value * count against factor * sum), so they are exact.
     """
-    base = sized(
-        df.where(population)
-        .groupBy(by)
-        .agg(F.sum(value).alias("_sum"), F.count(value).alias("_n"))
-    )
     scaled = F.col(value) * F.col("_n")
     return (
-        df.join(base, by)
+        df.join(sized(base), by)
         .withColumn("_high", scaled > F.col("_sum") * F.lit(high).cast("decimal(6,2)"))
         .withColumn("_low", scaled < F.col("_sum") * F.lit(low).cast("decimal(6,2)"))
         .where(F.col("_high") | F.col("_low"))

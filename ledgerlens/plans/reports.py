@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.constants import PLAN_TIER
 from ledgerlens.functions import blank_to_null, negative_to_null, normalise_case, parse_mixed_date
 from ledgerlens.operators import anomaly, intervals, quality
 from ledgerlens.plans import fit, health, kpi, model
@@ -158,8 +159,8 @@ REPORTS: dict[str, Report] = {
     "an01_mrr_sigma_by_plan": lambda w: anomaly.mrr_sigma_by_plan(w.lifecycles),
     "an02_api_sigma": lambda w: anomaly.api_sigma(w.events),
     "an03_users_sigma": lambda w: anomaly.users_sigma(w.events),
-    "an04_api_spike_drop": lambda w: anomaly.api_spike_drop(w.events),
-    "an05_users_spike_drop": lambda w: anomaly.users_spike_drop(w.events),
+    "an04_api_spike_drop": lambda w: anomaly.api_spike_drop(w.events, w.days),
+    "an05_users_spike_drop": lambda w: anomaly.users_spike_drop(w.events, w.days),
     # business-logic anomalies
     "an06_end_before_start": lambda w: anomaly.end_before_start(w.lifecycles),
     "an07_events_no_window": lambda w: intervals.events_no_window(w.events, w.days, w.lifecycles),
@@ -243,6 +244,71 @@ REPORTS: dict[str, Report] = {
 }
 
 
+# Presentation order of a report: (column, descending). Sets are compared and stored unordered.
+ORDER: dict[str, tuple[tuple[str, bool], ...]] = {
+    "dq02_null_profile_subs": (("null_count", True),),
+    "dq03_critical_missing_subs": (("subscription_id", False),),
+    "dq04_null_profile_usage": (("null_count", True),),
+    "dq05_critical_missing_usage": (("event_id", False),),
+    "dq06_mixed_dates_subs": (("subscription_id", False),),
+    "dq07_mixed_dates_usage": (("event_id", False),),
+    "dq10_nonpositive_mrr": (("mrr_amount", False),),
+    "dq11_mrr_sigma_global": (("mrr_amount", True),),
+    "dq12_mrr_rule_classes": (("mrr_amount", True),),
+    "dq14_users_sigma_trimmed": (("active_users", True),),
+    "dq17_dup_subscription_ids": (("occurrences", True),),
+    "dq18_orphan_events": (("account_id", False),),
+    "dq19_subs_without_events": (("plan_type", False), ("mrr_amount", True)),
+    "dq20_bad_account_format": (("source_table", False), ("account_id", False)),
+    "dq21_events_outside_window": (("account_id", False), ("event_date", False)),
+    "an01_mrr_sigma_by_plan": (("plan_type", False), ("mrr_amount", True)),
+    "an02_api_sigma": (("api_calls", True),),
+    "an03_users_sigma": (("active_users", True),),
+    "an04_api_spike_drop": (("ratio_to_avg", True),),
+    "an05_users_spike_drop": (("ratio_to_avg", True),),
+    "an06_end_before_start": (("days_difference", False),),
+    "an07_events_no_window": (("account_id", False), ("event_date", False)),
+    "an08_terminal_without_end": (("status", False), ("subscription_id", False)),
+    "an09_active_past_end": (("end_date", False),),
+    "an10_expired_trials": (("days_since_trial_ended", True),),
+    "an11_orphan_events_metrics": (("account_id", False), ("event_date", False)),
+    "an12_zero_users_activity": (("account_id", False), ("event_date", False)),
+    "an13_active_zero_usage": (("mrr_amount", True),),
+    "an14_all_zero_events": (("account_id", False), ("event_date", False)),
+    "an15_high_discount": (("discount_percentage", True),),
+    "an16_start_date_clusters": (("subscriptions_started", True), ("start_date", False), ("id_part", False)),
+    "an17_drop_to_zero": (("account_id", False), ("event_date", False)),
+    "an18_long_pending": (("days_pending", True),),
+    "an19_event_date_clusters": (("events_on_day", True),),
+    "md06_dim_plan": (("plan_tier", False),),
+    "kp01_monthly_mrr": (("year_month", False),),
+    "kp02_mrr_growth": (("year_month", False),),
+    "kp04_revenue_by_plan_segment": (("total_effective_mrr_usd", True),),
+    "kp05_logo_churn": (("year_month", False),),
+    "kp06_revenue_churn": (("year_month", False),),
+    "kp07_cohort_retention": (("cohort_month", False),),
+    "kp08_churn_by_plan": (("churn_rate_pct", True),),
+    "kp10_dau": (("date_actual", False),),
+    "kp11_wau": (("week_start", False),),
+    "kp12_mau": (("year_month", False),),
+    "kp15_usage_vs_retention": (("retention_status", False),),
+    "pm01_usage_by_segment": (("avg_usage_events", True),),
+    "pm02_power_users": (("usage_event_count", True), ("avg_active_users", True)),
+    "pm03_power_user_profile": (("power_users", True),),
+}
+
+
+def ordered(name: str, df: DataFrame) -> DataFrame:
+    """``df`` in the report's presentation order; missing values sort as the largest."""
+    if name == "kp14_usage_by_tier":
+        tier = F.lit(None).cast("int")
+        for plan, number in PLAN_TIER.items():
+            tier = F.when(F.col("plan_type") == plan, number).otherwise(tier)
+        return df.orderBy(tier.asc_nulls_last())
+    keys = [F.desc_nulls_first(c) if down else F.asc_nulls_last(c) for c, down in ORDER.get(name, ())]
+    return df.orderBy(*keys) if keys else df
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Without the internal sequence, and with decimals as DOUBLE for clients of any kind."""
     return df.select(
