@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import constants as C
 from ledgerlens.functions import days_between, half_up, mean_of_parts, ratio
+from ledgerlens.operators.days import events_on
 from ledgerlens.operators.ordered import day_rank, with_previous
 from ledgerlens.operators.rules import classify
 from ledgerlens.operators.sizing import sized
@@ -54,10 +55,7 @@ def users_sigma(events: DataFrame, k: float = 2) -> DataFrame:
 def _spike_drop(
     events: DataFrame, days: DataFrame, metric: str, rows: str, average: str, spike: str, drop: str
 ) -> DataFrame:
-    base = days.groupBy("account_id").agg(
-        F.sum(f"_sum_{metric}").alias("_sum"), F.sum(rows).alias("_n")
-    )
-    found = baseline_ratio(events, metric, base.where(F.col("_n") > 0), "account_id")
+    found = baseline_ratio(events, days, metric, rows)
     return found.select(
         "event_id", "account_id", "event_date", metric,
         mean_of_parts(F.col("_sum"), F.col("_n"), 2).alias(average),
@@ -72,7 +70,7 @@ def api_spike_drop(events: DataFrame, days: DataFrame) -> DataFrame:
     The averages come from ``days``, the events added up per account and day.
     """
     return _spike_drop(
-        events, days, "api_calls", "_n_api_calls", "account_avg_api_calls",
+        events, days, "api_calls", "_count_api_calls", "account_avg_api_calls",
         C.ISSUE_API_SPIKE, C.ISSUE_API_DROP,
     )
 
@@ -80,7 +78,7 @@ def api_spike_drop(events: DataFrame, days: DataFrame) -> DataFrame:
 def users_spike_drop(events: DataFrame, days: DataFrame) -> DataFrame:
     """The same for active_users, against the average of the positive values."""
     return _spike_drop(
-        events, days, "active_users", "_positive_user_rows", "account_avg_users",
+        events, days, "active_users", "_positive_active_users", "account_avg_users",
         C.ISSUE_USER_SPIKE, C.ISSUE_USER_DROP,
     )
 
@@ -178,17 +176,33 @@ def start_date_clusters(
     )
 
 
-def drop_to_zero(events: DataFrame) -> DataFrame:
-    """Events at zero whose account was active at its preceding event."""
+def drop_to_zero(events: DataFrame, days: DataFrame) -> DataFrame:
+    """Events at zero whose account was active at its preceding event.
+
+    Only account-days with an event at zero are looked up. Within such a day the preceding event is
+    found among the day's own; for its first event it is the last one of the account's previous day.
+    """
+    columns = ["api_calls", "active_users"]
+    last = F.struct(*[F.col(f"_last_{c}").alias(c) for c in columns])
+    by_day = Window.partitionBy("account_id").orderBy(F.asc_nulls_last("event_date"))
+    concerned = (
+        days.select("account_id", "event_date", "_zero_rows", F.lag(last).over(by_day).alias("_day_before"))
+        .where(F.col("_zero_rows") > 0)
+        .drop("_zero_rows")
+    )
     at_zero = (F.col("api_calls") == 0) | (F.col("active_users") == 0)
-    was_active = (F.col("prev_api_calls") > 0) | (F.col("prev_active_users") > 0)
-    before = with_previous(
-        events.select("event_id", "account_id", "event_date", "active_users", "api_calls", SEQ),
-        ["account_id"], day_rank(F.col("event_date")), ["api_calls", "active_users"], keep=at_zero,
+    narrow = events.select("event_id", "account_id", "event_date", "active_users", "api_calls", SEQ)
+    within = with_previous(
+        events_on(narrow, concerned), ["account_id"], day_rank(F.col("event_date")), columns,
+        out="_same_day", keep=at_zero, across=False,
     )
+    before = within.withColumn("_before", F.coalesce("_same_day", "_day_before"))
+    was_active = (F.col("_before.api_calls") > 0) | (F.col("_before.active_users") > 0)
     return before.where(was_active).select(
         "event_id", "account_id", "event_date", "active_users", "api_calls",
-        "prev_active_users", "prev_api_calls", F.lit(C.ISSUE_DROP_TO_ZERO).alias("issue"),
+        F.col("_before.active_users").alias("prev_active_users"),
+        F.col("_before.api_calls").alias("prev_api_calls"),
+        F.lit(C.ISSUE_DROP_TO_ZERO).alias("issue"),
     )
 
 

@@ -1,13 +1,10 @@
 """Matching events to lifecycles by account and inclusive date interval.
 
-Whether and how an event matches depends on its account and day alone. Events are therefore added up
-to one row per account and day, lifecycles to one row per account and window, before either side is
-shuffled by account: whatever the share of rows one account holds, it meets the join or window with
-no more rows than the calendar has days, or pairs of days. Full event rows are only touched again
-for reports that list them.
-
-``days`` below is the result of :func:`account_days`. It is worth storing: one pass over the events
-then serves every interval report, the usage rollup and the activity KPIs.
+Whether and how an event matches depends on its account and day alone. Account-days (see
+:mod:`ledgerlens.operators.days`) stand for the events, and lifecycles are reduced to one row per
+account and window, before either side is shuffled by account: whatever the share of rows one account
+holds, it meets the join or window with no more rows than the calendar has days, or pairs of days.
+Full event rows are only touched again for reports that list them.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,61 +12,15 @@ from pyspark.sql import functions as F
 
 from ledgerlens import constants as C
 from ledgerlens.functions import mean_of_parts
+from ledgerlens.operators.days import events_on, merged_parts
 from ledgerlens.operators.rules import classify
 from ledgerlens.operators.sizing import sized
 
-# (event column, statistics kept)
-ROLLUP = (
-    ("api_calls", ("sum", "avg")),
-    ("active_users", ("avg", "max")),
-    ("projects_created", ("sum",)),
-    ("integrations_used", ("avg",)),
-    ("support_tickets", ("sum",)),
-    ("session_duration_mins", ("avg",)),
-    ("mobile_usage_mins", ("avg",)),
-    ("feature_a_usage", ("sum",)),
-    ("feature_b_usage", ("sum",)),
-    ("feature_c_usage", ("sum",)),
-)
-
 
 def _until(end: Column) -> Column:
     return F.coalesce(end, F.lit(C.FAR_DATE).cast("date"))
 
 
-def _parts() -> dict[str, tuple[Column, str]]:
-    """Name -> (aggregate over events, function that merges its results)."""
-    parts = {"_events": (F.count("event_id"), "sum")}  # rows without an id do not count as events
-    for column, kept in ROLLUP:
-        if "sum" in kept or "avg" in kept:
-            parts[f"_sum_{column}"] = (F.sum(column), "sum")
-        if "avg" in kept:
-            parts[f"_n_{column}"] = (F.count(column), "sum")
-        if "max" in kept:
-            parts[f"_max_{column}"] = (F.max(column), "max")
-    return parts
-
-
-def _merge() -> list[Column]:
-    return [getattr(F, how)(name).alias(name) for name, (_, how) in _parts().items()]
-
-
-def account_days(events: DataFrame, spike: int = C.USER_SPIKE) -> DataFrame:
-    """Events added up per account and day.
-
-    Besides the parts of the usage rollup: all rows, the rows with users, the rows whose user count is
-    not a spike, and the largest user count among those.
-    """
-    users = F.col("active_users")
-    return events.groupBy("account_id", "event_date").agg(
-        *[value.alias(name) for name, (value, _) in _parts().items()],
-        F.count(F.lit(1)).alias("_rows"),
-        F.count_if(users > 0).alias("_positive_user_rows"),
-        F.count_if(users.isNull() | (users < spike)).alias("_unspiked_rows"),
-        F.max(F.when(users < spike, users)).alias("_unspiked_users"),
-    )
-
-
 # --- coverage -----------------------------------------------------------------------------------
 def uncovered(days: DataFrame, lifecycles: DataFrame) -> DataFrame:
     """The rows of ``days`` that lie in no lifecycle of their account.
@@ -105,10 +56,7 @@ def unmatched_events(
     lost = uncovered(days.select("account_id", "event_date"), lifecycles)
     if known is not None:
         lost = lost.where(F.col("known") == known)
-    keys = sized(lost.select(F.col("account_id").alias("_account"), F.col("event_date").alias("_day")))
-    same_account = F.col("account_id").eqNullSafe(F.col("_account"))
-    same_day = F.col("event_date").eqNullSafe(F.col("_day"))
-    return events.join(keys, same_account & same_day, "left_semi")
+    return events_on(events, lost.select("account_id", "event_date"))
 
 
 def unmatched_lifecycles(lifecycles: DataFrame, days: DataFrame) -> DataFrame:
@@ -221,7 +169,7 @@ def window_usage(days: DataFrame, lifecycles: DataFrame) -> DataFrame:
     owner, day = F.col("_owner"), F.col("event_date")
     inside = (F.col("account_id") == owner) & day.between(F.col("start_date"), F.col("_until"))
     hits = windows.join(days.withColumnRenamed("account_id", "_owner"), inside)
-    return hits.groupBy("account_id", "start_date", "_until").agg(*_merge())
+    return hits.groupBy("account_id", "start_date", "_until").agg(*merged_parts())
 
 
 def _finished(flag: Column) -> list[Column]:
@@ -231,11 +179,11 @@ def _finished(flag: Column) -> list[Column]:
         return F.col(f"_sum_{column}").alias(f"total_{column}")
 
     def average(column: str) -> Column:
-        value = mean_of_parts(F.col(f"_sum_{column}"), F.col(f"_n_{column}"), 2)
+        value = mean_of_parts(F.col(f"_sum_{column}"), F.col(f"_count_{column}"), 2)
         return value.alias(f"avg_{column}")
 
     return [
-        F.coalesce("_events", F.lit(0)).cast("long").alias("usage_event_count"),
+        F.coalesce("_count_events", F.lit(0)).cast("long").alias("usage_event_count"),
         total("api_calls"),
         average("api_calls"),
         average("active_users"),
@@ -267,7 +215,7 @@ def int_usage_per_subscription(lifecycles: DataFrame, days: DataFrame) -> DataFr
     )
     flag = F.when(F.col("known"), C.OUTSIDE_WINDOW).otherwise(C.NO_RECORD)
     key = F.concat(F.lit(C.ORPHAN_KEY_PREFIX), F.col("account_id"))
-    lost = uncovered(days, lifecycles).groupBy("account_id", "known").agg(*_merge())
+    lost = uncovered(days, lifecycles).groupBy("account_id", "known").agg(*merged_parts())
     return matched.unionByName(
         lost.select(key.alias("subscription_sk"), "account_id", *_finished(flag))
     )

@@ -67,29 +67,33 @@ def with_previous(
     keys: Sequence[str],
     rank: Column,
     columns: Sequence[str],
+    out: str,
     keep: Column,
+    across: bool = True,
     seq: str = SEQ,
     bits: int = BLOCK_BITS,
 ) -> DataFrame:
-    """Rows that satisfy ``keep``, each with ``prev_<column>`` of the key's preceding row.
+    """Rows that satisfy ``keep``, each with a struct of the key's preceding row, NULL for the first.
 
-    The order is (rank, seq) over all rows; ``keep`` only limits which rows are returned.
+    The order is (rank, seq) over all rows; ``keep`` only limits which rows are returned. With
+    ``across`` off, the preceding row must have the same rank.
     """
     split, parts, cell = _cells(df, keys, rank, seq, bits)
+    group = parts if across else [*parts, "_rank"]
     tails = split.groupBy(*cell).agg(*[F.max_by(c, seq).alias(f"_last_{c}") for c in columns])
     last = F.struct(*[F.col(f"_last_{c}").alias(c) for c in columns])
     carried = tails.select(
         *cell,
-        F.lag(last).over(Window.partitionBy(*parts).orderBy("_rank", "_block")).alias("_carried"),
+        F.lag(last).over(Window.partitionBy(*group).orderBy("_rank", "_block")).alias("_carried"),
     ).where(F.col("_carried").isNotNull())
     inside = F.lag(F.struct(*columns)).over(Window.partitionBy(*cell).orderBy(seq))
-    found = (
+    return (
         split.withColumn("_inside", inside)
         .where(keep)
         .join(carried, cell, "left")
-        .withColumn("_previous", F.coalesce("_inside", "_carried"))
+        .withColumn(out, F.coalesce("_inside", "_carried"))
+        .select(*df.columns, out)
     )
-    return found.select(*df.columns, *[F.col(f"_previous.{c}").alias(f"prev_{c}") for c in columns])
 
 
 def with_tile(

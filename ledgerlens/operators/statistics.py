@@ -1,8 +1,9 @@
 """Mean and deviation tests. Population statistics travel as one-row scalar subqueries."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.days import events_on
 from ledgerlens.operators.sizing import sized
 
 
@@ -38,17 +39,36 @@ def sigma_outliers_by(
 
 
 def baseline_ratio(
-    df: DataFrame, value: str, base: DataFrame, by: str, high: str = "2", low: str = "0.25"
+    events: DataFrame, days: DataFrame, metric: str, rows: str, high: str = "2", low: str = "0.25"
 ) -> DataFrame:
-    """Rows far from their own group's mean, with ``_high`` and ``_low`` telling which way.
+    """Events far from their own account's mean, with ``_sum`` and ``_n`` behind that mean.
 
-    ``base`` has one row per group with the ``_sum`` and the count ``_n`` behind its mean. Comparisons
-    multiply out the division (value * count against factor * sum), so they are exact.
+    ``rows`` names the account-day count the mean divides by. Comparisons multiply out the division
+    (value * count against factor * sum), so they are exact. The same test on a day's smallest and
+    largest value tells which account-days hold such events at all; only those are looked up.
     """
-    scaled = F.col(value) * F.col("_n")
+    account = Window.partitionBy("account_id")
+    top, bottom = F.lit(high).cast("decimal(6,2)"), F.lit(low).cast("decimal(6,2)")
+
+    def above(value: str) -> Column:
+        return F.col(value) * F.col("_n") > F.col("_sum") * top
+
+    def below(value: str) -> Column:
+        return F.col(value) * F.col("_n") < F.col("_sum") * bottom
+
+    concerned = (
+        days.where(F.col("account_id").isNotNull())
+        .select(
+            "account_id", "event_date", f"_max_{metric}", f"_min_{metric}",
+            F.sum(f"_sum_{metric}").over(account).alias("_sum"),
+            F.sum(rows).over(account).alias("_n"),
+        )
+        .where((F.col("_n") > 0) & (above(f"_max_{metric}") | below(f"_min_{metric}")))
+        .select("account_id", "event_date", "_sum", "_n")
+    )
     return (
-        df.join(sized(base), by)
-        .withColumn("_high", scaled > F.col("_sum") * F.lit(high).cast("decimal(6,2)"))
-        .withColumn("_low", scaled < F.col("_sum") * F.lit(low).cast("decimal(6,2)"))
+        events_on(events, concerned)
+        .withColumn("_high", above(metric))
+        .withColumn("_low", below(metric))
         .where(F.col("_high") | F.col("_low"))
     )

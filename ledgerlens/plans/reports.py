@@ -44,8 +44,7 @@ def _spine() -> kpi.Spine:
 # --- sources, sinks and staging steps -----------------------------------------------------------
 def _csv_round_trip(w: Warehouse, raw: DataFrame, scan: Callable, name: str) -> DataFrame:
     path = sinks.scratch_path(w.spark, name)
-    columns = raw.drop(SEQ)
-    columns.write.option("header", True).option("nullValue", "NULL").option("emptyValue", "").csv(path)
+    raw.drop(SEQ).write.option("header", True).option("nullValue", "NULL").option("emptyValue", "").csv(path)
     return scan(w.spark, path)
 
 
@@ -176,7 +175,7 @@ REPORTS: dict[str, Report] = {
     "an14_all_zero_events": lambda w: anomaly.all_zero_events(w.events),
     "an15_high_discount": lambda w: anomaly.high_discount(w.lifecycles),
     "an16_start_date_clusters": lambda w: anomaly.start_date_clusters(w.lifecycles),
-    "an17_drop_to_zero": lambda w: anomaly.drop_to_zero(w.events),
+    "an17_drop_to_zero": lambda w: anomaly.drop_to_zero(w.events, w.days),
     "an18_long_pending": lambda w: anomaly.long_pending(w.lifecycles, w.as_of),
     "an19_event_date_clusters": lambda w: anomaly.event_date_clusters(w.days),
     # model

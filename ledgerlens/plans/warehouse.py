@@ -5,7 +5,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.operators.intervals import account_days, int_usage_per_subscription
+from ledgerlens.operators.days import account_days
+from ledgerlens.operators.intervals import int_usage_per_subscription
 from ledgerlens.operators.staging import stage_subscriptions, stg_subscriptions, stg_usage_events
 from ledgerlens.plans import model
 from ledgerlens.sources.lookups import fx_rates

@@ -1,20 +1,15 @@
-"""Raw CSV scans."""
+"""Raw CSV files: scanned as they are, or loaded into a stored raw table."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.sources.schemas import RAW_SUBSCRIPTIONS, RAW_USAGE_EVENTS, SEQ
+from ledgerlens.sources.sinks import materialise
 
 
 def _scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("nullValue", "NULL")
-        .csv(path)
-    )
-    return rows.withColumn(SEQ, F.monotonically_increasing_id())
+    return spark.read.schema(schema).option("header", True).option("nullValue", "NULL").csv(path)
 
 
 def scan_subscriptions(spark: SparkSession, path: str) -> DataFrame:
@@ -25,3 +20,11 @@ def scan_subscriptions(spark: SparkSession, path: str) -> DataFrame:
 def scan_usage_events(spark: SparkSession, path: str) -> DataFrame:
     """Raw usage events, loaded as permissively."""
     return _scan(spark, path, RAW_USAGE_EVENTS)
+
+
+def load_raw(scanned: DataFrame, table_path: str) -> DataFrame:
+    """Store a scan as a raw table with a sequence number in file order.
+
+    The number is only fixed once written: a second scan may split the files differently.
+    """
+    return materialise(scanned.withColumn(SEQ, F.monotonically_increasing_id()), table_path)

@@ -1,9 +1,13 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
 from ledgerlens import constants as C
 from ledgerlens.operators import anomaly
-from ledgerlens.operators.intervals import account_days
+from ledgerlens.operators.days import account_days
 
 AS_OF = dt.date(2024, 6, 30)
 
@@ -110,7 +114,7 @@ def test_drop_to_zero_looks_at_the_preceding_event(staged_events):
         dict(event_id="e", account_id="ACC-3", active_users=2, api_calls=0),
         dict(event_id="f", account_id="ACC-3", active_users=0, api_calls=None),
     )
-    got = {r.event_id: (r.prev_active_users, r.prev_api_calls) for r in anomaly.drop_to_zero(rows).collect()}
+    got = {r.event_id: (r.prev_active_users, r.prev_api_calls) for r in anomaly.drop_to_zero(rows, account_days(rows)).collect()}
     assert got == {"b": (5, 100), "f": (2, 0)}
 
 
@@ -121,3 +125,42 @@ def test_event_clusters_show_the_mean_of_the_days_found(staged_events):
     )
     (row,) = anomaly.event_date_clusters(account_days(rows)).collect()
     assert (row.events_on_day, row.distinct_accounts, row.avg_events_per_day) == (10, 3, 10)
+
+
+def test_drop_to_zero_equals_a_plain_lag_under_skew(spark, staged_events):
+    rng = random.Random(3)
+    rows = staged_events(
+        *[
+            dict(
+                event_id=f"e{i}", account_id="hot" if i % 3 == 0 else f"a{rng.randrange(9)}",
+                event_date=rng.choice([None, "01/02/2024", "02/02/2024", "05/02/2024"]),
+                api_calls=rng.choice([None, 0, 5]), active_users=rng.choice([None, 0, 5]),
+            )
+            for i in range(300)
+        ]
+    )
+    order = Window.partitionBy("account_id").orderBy(F.asc_nulls_last("event_date"), "_seq")
+    want = (
+        rows.withColumn("pa", F.lag("api_calls").over(order))
+        .withColumn("pu", F.lag("active_users").over(order))
+        .where("(api_calls = 0 or active_users = 0) and (pa > 0 or pu > 0)")
+        .select("event_id", "pu", "pa")
+    )
+    got = anomaly.drop_to_zero(rows, account_days(rows)).select("event_id", "prev_active_users", "prev_api_calls")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_baselines_equal_a_plain_join(staged_events):
+    rng = random.Random(5)
+    rows = staged_events(
+        *[
+            dict(
+                event_id=f"e{i}", account_id=rng.choice(["hot", "hot", "a", "b", None]),
+                event_date=rng.choice([None, "01/02/2024", "02/02/2024"]), active_users=rng.choice([None, 0, 1, 4, 30]),
+            )
+            for i in range(200)
+        ]
+    )
+    mean = rows.where("active_users > 0").groupBy("account_id").agg(F.avg("active_users").alias("m"))
+    want = rows.join(mean, "account_id").where("active_users > 2 * m or active_users < 0.25 * m")
+    assert ids(anomaly.users_spike_drop(rows, account_days(rows)), "event_id") == ids(want, "event_id")

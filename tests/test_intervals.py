@@ -9,6 +9,7 @@ import pytest
 
 from ledgerlens import constants as C
 from ledgerlens.operators import intervals
+from ledgerlens.operators.days import account_days
 from ledgerlens.operators.staging import lifecycle_key
 
 BASE = dt.date(2024, 1, 1)
@@ -49,7 +50,7 @@ def world():
 @pytest.fixture(scope="module")
 def frames(world, staged_subs, staged_events):
     subs, events = staged_subs(*world[0]).cache(), staged_events(*world[1]).cache()
-    return subs, events, intervals.account_days(events)
+    return subs, events, account_days(events)
 
 
 @pytest.fixture(scope="module")
@@ -154,7 +155,7 @@ def test_rollup_attributes_every_event(frames, matched):
 def test_interval_ends_are_inclusive(staged_subs, staged_events):
     subs = staged_subs(dict(start_date="01/02/2024", end_date="05/02/2024"))
     events = staged_events(*[dict(event_id=d, event_date=f"{d}/02/2024") for d in ("01", "05", "06")])
-    lost = intervals.events_no_window(events, intervals.account_days(events), subs)
+    lost = intervals.events_no_window(events, account_days(events), subs)
     assert [r.event_id for r in lost.collect()] == ["06"]
 
 
@@ -162,6 +163,6 @@ def test_repartitioning_changes_nothing(frames):
     keyed = lifecycle_key(frames[0])
     one = intervals.int_usage_per_subscription(keyed, frames[2]).collect()
     other = intervals.int_usage_per_subscription(
-        lifecycle_key(frames[0].repartition(7)), intervals.account_days(frames[1].repartition(5))
+        lifecycle_key(frames[0].repartition(7)), account_days(frames[1].repartition(5))
     ).collect()
     assert sorted(map(str, one)) == sorted(map(str, other))

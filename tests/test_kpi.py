@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 
 from ledgerlens import constants as C
-from ledgerlens.operators.intervals import account_days
+from ledgerlens.operators.days import account_days
 from ledgerlens.plans import fit, health, kpi
 
 AS_OF = dt.date(2024, 12, 31)

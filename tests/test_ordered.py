@@ -35,10 +35,12 @@ def test_numbered_equals_row_number(skewed, bits):
 
 
 @pytest.mark.parametrize("bits", [3, 20])
-def test_previous_equals_lag(skewed, bits):
+@pytest.mark.parametrize("across", [True, False])
+def test_previous_equals_lag(skewed, bits, across):
     keep = F.col("v") == 0
-    got = with_previous(skewed, ["k"], day_rank(F.col("d")), ["v"], keep, bits=bits)
-    want = skewed.withColumn("prev_v", F.lag("v").over(in_order("k"))).where(keep)
+    got = with_previous(skewed, ["k"], day_rank(F.col("d")), ["v"], "p", keep, across, bits=bits)
+    order = in_order("k") if across else in_order("k", "d")
+    want = skewed.withColumn("p", F.lag(F.struct("v")).over(order)).where(keep)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 

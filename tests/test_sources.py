@@ -17,7 +17,8 @@ def test_csv_scan_reads_null_words_and_blanks_as_null(spark, tmp_path):
     assert one.end_date is None and one.customer_segment is None and one.discount_percentage is None
     assert two.mrr_amount is None and two.currency is None and two.payment_method is None
     assert float(two.discount_percentage) == 12.5 and two.billing_period == "MONTHLY"
-    assert one._seq != two._seq
+    loaded = files.load_raw(files.scan_subscriptions(spark, str(path)), str(tmp_path / 'raw'))
+    assert [r._seq for r in loaded.orderBy('subscription_id').collect()] == [0, 1]
 
 
 def test_fx_and_spine(spark):
