@@ -17,35 +17,36 @@ from ledgerlens.operators.rules import classify
 from ledgerlens.operators.sizing import sized
 
 
+WINDOWS_PER_TASK = 100_000
+
+
 def _until(end: Column) -> Column:
     return F.coalesce(end, F.lit(C.FAR_DATE).cast("date"))
 
 
 # --- coverage -----------------------------------------------------------------------------------
-def uncovered(days: DataFrame, lifecycles: DataFrame) -> DataFrame:
-    """The rows of ``days`` that lie in no lifecycle of their account.
+def coverage(days: DataFrame, lifecycles: DataFrame) -> DataFrame:
+    """``days`` with ``covered``, whether a lifecycle of the account holds that day, and ``known``,
+    whether the account has any lifecycle.
 
-    ``days`` has one row per account and day. Adds ``known``: whether the account has any lifecycle.
-    A day is covered if the furthest end among the lifecycles begun by then has not passed, which is
-    one running maximum over the account's starts and days.
+    ``days`` has one row per account and day. A day is covered if the furthest end among the lifecycles
+    begun by then has not passed, which is one running maximum over the account's starts and days.
     """
-    start, end = F.col("start_date"), F.col("end_date")
+    start, end, day = F.col("start_date"), F.col("end_date"), F.col("event_date")
     starts = (
         lifecycles.where(F.col("account_id").isNotNull())
-        .groupBy("account_id", start.alias("_day"))
+        .groupBy("account_id", start.alias("event_date"))
         .agg(F.max(F.when(_until(end) >= start, _until(end))).alias("_reach"))
         .withColumn("_is_day", F.lit(False))
     )
-    marks = days.select(
-        *days.columns, F.col("event_date").alias("_day"), F.lit(True).alias("_is_day")
-    ).unionByName(starts, allowMissingColumns=True)
+    marks = days.withColumn("_is_day", F.lit(True)).unionByName(starts, allowMissingColumns=True)
     account = Window.partitionBy("account_id")
-    so_far = account.orderBy("_day", "_is_day").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = account.orderBy("event_date", "_is_day").rowsBetween(Window.unboundedPreceding, 0)
     return (
         marks.withColumn("_reach", F.max("_reach").over(so_far))
         .withColumn("known", ~F.min("_is_day").over(account))
-        .where(F.col("_is_day") & ~F.coalesce(F.col("_reach") >= F.col("_day"), F.lit(False)))
-        .select(*days.columns, "known")
+        .where("_is_day")
+        .select(*days.columns, F.coalesce(F.col("_reach") >= day, F.lit(False)).alias("covered"), "known")
     )
 
 
@@ -53,7 +54,7 @@ def unmatched_events(
     events: DataFrame, days: DataFrame, lifecycles: DataFrame, known: bool | None = None
 ) -> DataFrame:
     """Events in no lifecycle window; ``known`` limits them to accounts with (or without) lifecycles."""
-    lost = uncovered(days.select("account_id", "event_date"), lifecycles)
+    lost = coverage(days.select("account_id", "event_date"), lifecycles).where(~F.col("covered"))
     if known is not None:
         lost = lost.where(F.col("known") == known)
     return events_on(events, lost.select("account_id", "event_date"))
@@ -159,16 +160,40 @@ def active_zero_usage(lifecycles: DataFrame, days: DataFrame) -> DataFrame:
 
 
 # --- rollup -------------------------------------------------------------------------------------
-def window_usage(days: DataFrame, lifecycles: DataFrame) -> DataFrame:
-    """Event parts added up per distinct (account, start, until) window."""
+def window_usage(
+    days: DataFrame, lifecycles: DataFrame, windows_per_task: int = WINDOWS_PER_TASK
+) -> DataFrame:
+    """Event parts added up per distinct (account, start, until) window.
+
+    Accounts with more than ``windows_per_task`` distinct windows are split: their windows are dealt
+    out over that many tasks, each of which gets a copy of the account's days.
+    """
     windows = (
         lifecycles.select("account_id", "start_date", _until(F.col("end_date")).alias("_until"))
-        .where(F.col("start_date") <= F.col("_until"))
+        .where(F.col("account_id").isNotNull() & (F.col("start_date") <= F.col("_until")))
         .distinct()
     )
-    owner, day = F.col("_owner"), F.col("event_date")
-    inside = (F.col("account_id") == owner) & day.between(F.col("start_date"), F.col("_until"))
-    hits = windows.join(days.withColumnRenamed("account_id", "_owner"), inside)
+    split = F.ceil(F.count(F.lit(1)) / windows_per_task).cast("int").alias("_splits")
+    crowded = sized(windows.groupBy("account_id").agg(split).where(F.col("_splits") > 1))
+    owned = days.withColumnRenamed("account_id", "_owner")
+    within = (F.col("account_id") == F.col("_owner")) & F.col("event_date").between(
+        F.col("start_date"), F.col("_until")
+    )
+    if crowded.isEmpty():
+        hits = windows.join(owned, within)
+    else:
+        accounts = crowded.withColumnRenamed("account_id", "_crowded")
+        dealt = windows.join(crowded, "account_id").withColumn(
+            "_split", F.pmod(F.hash("start_date", "_until"), "_splits")
+        )
+        copied = owned.join(accounts, F.col("_owner") == F.col("_crowded")).withColumn(
+            "_copy", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))
+        )
+        others = owned.join(accounts, F.col("_owner") == F.col("_crowded"), "left_anti")
+        columns = ["account_id", "start_date", "_until", *[c for c in days.columns if c != "account_id"]]
+        hits = windows.join(others, within).select(columns).unionByName(
+            dealt.join(copied, within & (F.col("_split") == F.col("_copy"))).select(columns)
+        )
     return hits.groupBy("account_id", "start_date", "_until").agg(*merged_parts())
 
 
@@ -200,22 +225,34 @@ def _finished(flag: Column) -> list[Column]:
     ]
 
 
-def int_usage_per_subscription(lifecycles: DataFrame, days: DataFrame) -> DataFrame:
+def int_usage_per_subscription(
+    lifecycles: DataFrame, days: DataFrame, windows_per_task: int = WINDOWS_PER_TASK
+) -> DataFrame:
     """Usage per lifecycle, plus one row per account for its events outside every lifecycle.
 
     This is a full outer interval join followed by a rollup, taken apart: lifecycles look up the
-    usage of their window, and the account-days no window covers are added up per account.
+    usage of their window, and the account-days no window covers are added up per account. Both arms
+    read the same account-days, shuffled by account once. Events without an account belong to nobody.
     """
+    owned = coverage(days.where(F.col("account_id").isNotNull()), lifecycles)
+    usage = window_usage(owned.where("covered"), lifecycles, windows_per_task)
     matched = (
         lifecycles.select(
             "subscription_sk", "account_id", "start_date", _until(F.col("end_date")).alias("_until")
         )
-        .join(window_usage(days, lifecycles), ["account_id", "start_date", "_until"], "left")
+        .join(usage, ["account_id", "start_date", "_until"], "left")
         .select("subscription_sk", "account_id", *_finished(F.lit(None).cast("string")))
     )
+    nobodys = days.where(F.col("account_id").isNull()).withColumn("known", F.lit(False))
+    lost = (
+        owned.where(~F.col("covered"))
+        .drop("covered")
+        .unionByName(nobodys)
+        .groupBy("account_id", "known")
+        .agg(*merged_parts())
+    )
     flag = F.when(F.col("known"), C.OUTSIDE_WINDOW).otherwise(C.NO_RECORD)
     key = F.concat(F.lit(C.ORPHAN_KEY_PREFIX), F.col("account_id"))
-    lost = uncovered(days, lifecycles).groupBy("account_id", "known").agg(*merged_parts())
     return matched.unionByName(
         lost.select(key.alias("subscription_sk"), "account_id", *_finished(flag))
     )

@@ -12,6 +12,7 @@ from ledgerlens.functions import blank_to_null, negative_to_null, normalise_case
 from ledgerlens.operators import anomaly, intervals, quality
 from ledgerlens.plans import fit, health, kpi, model
 from ledgerlens.plans.warehouse import Warehouse
+from ledgerlens.session import fit_shuffles
 from ledgerlens.sources import files, sinks, star
 from ledgerlens.sources.lookups import date_spine_over, fx_rates
 from ledgerlens.sources.schemas import RAW_SUBSCRIPTIONS, RAW_USAGE_EVENTS, SEQ
@@ -31,6 +32,7 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """One warehouse per application and input folder, so that modelled tables are built once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _warehouses:
+        fit_shuffles(spark, *[f"{sf_dir}/{name}.parquet" for name in star.TABLES])
         _warehouses[key] = Warehouse(
             spark, star.raw_subscriptions(spark, sf_dir), star.raw_usage_events(spark, sf_dir), AS_OF
         )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.sources.schemas import RAW_SUBSCRIPTIONS, RAW_USAGE_EVENTS, SEQ
 
+TABLES = ("orders", "customer", "events")
 FIRST_START = "2023-10-01"
 CLUSTER_DAY = "2024-01-15"
 ORPHAN_SHIFT = 1_000_000_000

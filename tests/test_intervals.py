@@ -166,3 +166,10 @@ def test_repartitioning_changes_nothing(frames):
         lifecycle_key(frames[0].repartition(7)), account_days(frames[1].repartition(5))
     ).collect()
     assert sorted(map(str, one)) == sorted(map(str, other))
+
+
+def test_splitting_crowded_accounts_changes_nothing(frames):
+    keyed = lifecycle_key(frames[0])
+    whole = intervals.int_usage_per_subscription(keyed, frames[2]).collect()
+    split = intervals.int_usage_per_subscription(keyed, frames[2], windows_per_task=3).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, split))
