@@ -9,8 +9,9 @@ from ledgerlens.operators.days import account_days
 from ledgerlens.operators.intervals import int_usage_per_subscription
 from ledgerlens.operators.staging import stage_subscriptions, stg_subscriptions, stg_usage_events
 from ledgerlens.plans import model
-from ledgerlens.sources.lookups import fx_rates
-from ledgerlens.sources.sinks import materialise, scratch_path
+from ledgerlens.sources.lookups import date_spine, fx_rates
+from ledgerlens.sources.schemas import SEQ
+from ledgerlens.sources.sinks import materialise, register_view, scratch_path
 
 
 class Warehouse:
@@ -49,6 +50,22 @@ class Warehouse:
     def build_fct(self, on: tuple[str, ...] = ("subscription_sk", "account_id")) -> DataFrame:
         return model.fct_subscriptions(self.int_usage, self.int_subscriptions, on)
 
+    def publish(self, folder: str, spine_start: dt.date, spine_end: dt.date) -> dict[str, DataFrame]:
+        """Write the six model tables under ``folder``, replacing older ones, and name all for SQL."""
+        register_view(self.stg_subscriptions.drop(SEQ), "stg_subscriptions")
+        register_view(self.events.drop(SEQ), "stg_usage_events")
+        tables = {
+            "int_subscriptions": self.int_subscriptions.drop(SEQ),
+            "int_usage_per_subscription": self.int_usage,
+            "fct_subscriptions": self.fct.drop(SEQ),
+            "dim_account": model.dim_account(self.fct),
+            "dim_date": date_spine(self.spark, spine_start, spine_end),
+            "dim_plan": model.dim_plan(self.fct),
+        }
+        return {
+            name: register_view(materialise(df, f"{folder}/{name}"), name) for name, df in tables.items()
+        }
+
     def _stored(self, df: DataFrame, name: str) -> DataFrame:
         return materialise(df, scratch_path(self.spark, name))
 

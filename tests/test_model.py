@@ -96,3 +96,17 @@ def test_shared_id_keeps_one_row_per_lifecycle(make_warehouse):
     w = make_warehouse(subs, [{}, dict(account_id="ACC-2")], AS_OF)
     assert w.fct.count() == 2
     assert w.build_fct(("subscription_sk",)).count() == 4
+
+
+def test_published_tables_answer_sql(spark, small, tmp_path):
+    for _ in range(2):  # publishing again replaces the tables
+        tables = small.publish(str(tmp_path), dt.date(2024, 1, 1), dt.date(2024, 12, 31))
+    assert {name: df.count() for name, df in tables.items()} == {
+        "int_subscriptions": 3, "int_usage_per_subscription": 5, "fct_subscriptions": 5,
+        "dim_account": 3, "dim_date": 366, "dim_plan": 2,
+    }
+    (row,) = spark.sql(
+        """SELECT count(*) AS n FROM fct_subscriptions f JOIN dim_account a USING (account_id)
+        JOIN stg_subscriptions s USING (subscription_sk) JOIN dim_date d ON d.date_actual = f.start_date"""
+    ).collect()
+    assert row.n == 3
