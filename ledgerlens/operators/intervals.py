@@ -16,7 +16,6 @@ from ledgerlens.operators.days import events_on, merged_parts
 from ledgerlens.operators.rules import classify
 from ledgerlens.operators.sizing import sized
 
-
 WINDOWS_PER_TASK = 100_000
 
 

@@ -15,9 +15,9 @@ from ledgerlens.operators.statistics import sigma_outliers, spread
 
 
 # --- completeness -------------------------------------------------------------------------------
-def duplicate_keys(df: DataFrame, key: str, count_name: str = "occurrences") -> DataFrame:
+def duplicate_keys(df: DataFrame, *keys: str, count_name: str = "occurrences") -> DataFrame:
     """Key values held by more than one row."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(count_name))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name))
     return counts.where(F.col(count_name) > 1)
 
 

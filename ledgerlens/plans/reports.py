@@ -29,7 +29,10 @@ _warehouses: dict[tuple[str, str], Warehouse] = {}
 
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
-    """One warehouse per application and input folder, so that modelled tables are built once."""
+    """One warehouse per application and input folder, so that stored tables are built once.
+
+    The tables in the folder are taken not to change while the application runs.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _warehouses:
         fit_shuffles(spark, *[f"{sf_dir}/{name}.parquet" for name in star.TABLES])
@@ -115,9 +118,11 @@ REPORTS: dict[str, Report] = {
     "stg7_stg_usage_events": lambda w: w.events,
     # completeness
     "dq01a_dup_subscription_quick": lambda w: quality.duplicate_keys(
-        w.lifecycles, "subscription_id", "count"
+        w.lifecycles, "subscription_id", count_name="count"
+    ),
+    "dq01b_dup_event_quick": lambda w: quality.duplicate_keys(
+        w.events, "event_id", count_name="count"
     ),
-    "dq01b_dup_event_quick": lambda w: quality.duplicate_keys(w.events, "event_id", "count"),
     "dq02_null_profile_subs": lambda w: quality.null_profile(w.lifecycles, _PROFILED_SUBS),
     "dq03_critical_missing_subs": lambda w: quality.missing_any(
         w.lifecycles,

@@ -16,6 +16,8 @@ def ids(df, column="subscription_id"):
 def test_duplicates(staged_subs):
     rows = staged_subs({}, {}, dict(subscription_id="SUB-2"))
     assert [tuple(r) for r in quality.duplicate_keys(rows, "subscription_id").collect()] == [("SUB-1", 2)]
+    both = quality.duplicate_keys(rows, "subscription_id", "account_id", count_name="n")
+    assert [tuple(r) for r in both.collect()] == [("SUB-1", "ACC-1", 2)]
 
 
 def test_null_profile_is_one_pass_and_counts_each_column(staged_subs):
