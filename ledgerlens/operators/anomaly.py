@@ -182,19 +182,12 @@ def drop_to_zero(events: DataFrame, days: DataFrame) -> DataFrame:
     Only account-days with an event at zero are looked up. Within such a day the preceding event is
     found among the day's own; for its first event it is the last one of the account's previous day.
     """
-    columns = ["api_calls", "active_users"]
-    last = F.struct(*[F.col(f"_last_{c}").alias(c) for c in columns])
-    by_day = Window.partitionBy("account_id").orderBy(F.asc_nulls_last("event_date"))
-    concerned = (
-        days.select("account_id", "event_date", "_zero_rows", F.lag(last).over(by_day).alias("_day_before"))
-        .where(F.col("_zero_rows") > 0)
-        .drop("_zero_rows")
-    )
+    concerned = days.where(F.col("_zero_rows") > 0).select("account_id", "event_date", "_day_before")
     at_zero = (F.col("api_calls") == 0) | (F.col("active_users") == 0)
     narrow = events.select("event_id", "account_id", "event_date", "active_users", "api_calls", SEQ)
     within = with_previous(
-        events_on(narrow, concerned), ["account_id"], day_rank(F.col("event_date")), columns,
-        out="_same_day", keep=at_zero, across=False,
+        events_on(narrow, concerned), ["account_id"], day_rank(F.col("event_date")),
+        ["api_calls", "active_users"], out="_same_day", keep=at_zero, across=False,
     )
     before = within.withColumn("_before", F.coalesce("_same_day", "_day_before"))
     was_active = (F.col("_before.api_calls") > 0) | (F.col("_before.active_users") > 0)

@@ -1,12 +1,14 @@
-"""Events added up per account and day.
+"""Account-days: events added up per account and day, seen against the account's lifecycles.
 
-Most reports on events ask first which account-days are concerned. Answering that on account-days
-keeps the events themselves out of every shuffle by account, and bounds what one account can bring
-into a window by the calendar. The table is worth storing: a single pass over the events then serves
-the interval reports, the usage rollup, the per-account baselines and the activity KPIs.
+Most reports on events ask first which account-days are concerned. An account-day knows what its
+events add up to, what the account adds up to, how the account's previous day ended, and whether a
+lifecycle covers it. That takes one pass over the events and one shuffle by account of the added-up
+rows, in which no account has more rows than the calendar has days. Stored, the table serves the usage
+rollup, the interval reports, the per-account baselines, drop detection and the activity KPIs without
+shuffling by account again.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as C
@@ -43,7 +45,12 @@ def merged_parts() -> list[Column]:
     ]
 
 
-def account_days(events: DataFrame, spike: int = C.USER_SPIKE) -> DataFrame:
+def until(end: Column) -> Column:
+    """The last day of a window; open windows last forever."""
+    return F.coalesce(end, F.lit(C.FAR_DATE).cast("date"))
+
+
+def _added_up(events: DataFrame, spike: int) -> DataFrame:
     """One row per account and day.
 
     Next to the parts of the usage rollup: all rows, rows at zero, the smallest and largest values
@@ -66,6 +73,51 @@ def account_days(events: DataFrame, spike: int = C.USER_SPIKE) -> DataFrame:
     )
 
 
+def _starts(lifecycles: DataFrame) -> DataFrame:
+    """Per account and start date, the furthest end among the lifecycles begun that day."""
+    start, end = F.col("start_date"), until(F.col("end_date"))
+    return (
+        lifecycles.where(F.col("account_id").isNotNull())
+        .groupBy("account_id", start.alias("event_date"))
+        .agg(F.max(F.when(end >= start, end)).alias("_reach"))
+    )
+
+
+def account_days(events: DataFrame, lifecycles: DataFrame, spike: int = C.USER_SPIKE) -> DataFrame:
+    """One row per account and day with events, in the context of its account.
+
+    ``covered`` tells whether a lifecycle of the account holds the day: the furthest end among the
+    lifecycles begun by then has not passed, which is a running maximum over starts and days.
+    ``known`` tells whether the account has any lifecycle. ``_account_*`` are sums over all days of the
+    account, ``_day_before`` holds the last values of its previous day. Missing dates come last.
+    """
+    days = _added_up(events, spike)
+    marks = days.withColumn("_is_day", F.lit(True)).unionByName(
+        _starts(lifecycles).withColumn("_is_day", F.lit(False)), allowMissingColumns=True
+    )
+    account = Window.partitionBy("account_id")
+    in_order = account.orderBy(F.asc_nulls_last("event_date"), "_is_day")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.max("_reach").over(so_far) >= F.col("event_date")
+    ending = F.struct(
+        F.col("_last_api_calls").alias("api_calls"), F.col("_last_active_users").alias("active_users")
+    )
+    totals = ("_sum_api_calls", "_count_api_calls", "_sum_active_users", "_positive_active_users")
+    return (
+        marks.select(
+            *days.columns,
+            "_is_day",
+            F.coalesce(reached, F.lit(False)).alias("covered"),
+            (~F.min("_is_day").over(account)).alias("known"),
+            F.last(F.when(F.col("_is_day"), ending), ignorenulls=True).over(earlier).alias("_day_before"),
+            *[F.sum(c).over(account).alias(f"_account{c}") for c in totals],
+        )
+        .where("_is_day")
+        .drop("_is_day")
+    )
+
+
 def events_on(events: DataFrame, days: DataFrame) -> DataFrame:
     """The events of the listed account-days, with whatever else ``days`` carries.
 

@@ -1,10 +1,9 @@
 """Matching events to lifecycles by account and inclusive date interval.
 
-Whether and how an event matches depends on its account and day alone. Account-days (see
-:mod:`ledgerlens.operators.days`) stand for the events, and lifecycles are reduced to one row per
-account and window, before either side is shuffled by account: whatever the share of rows one account
-holds, it meets the join or window with no more rows than the calendar has days, or pairs of days.
-Full event rows are only touched again for reports that list them.
+Whether and how an event matches depends on its account and day alone. ``days`` below are the
+account-days of :mod:`ledgerlens.operators.days`, which stand for the events; lifecycles are reduced
+to one row per account and window before they meet. Full event rows are only touched again for
+reports that list them.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,48 +11,17 @@ from pyspark.sql import functions as F
 
 from ledgerlens import constants as C
 from ledgerlens.functions import mean_of_parts
-from ledgerlens.operators.days import events_on, merged_parts
+from ledgerlens.operators.days import events_on, merged_parts, until
 from ledgerlens.operators.rules import classify
 from ledgerlens.operators.sizing import sized
 
 WINDOWS_PER_TASK = 100_000
 
 
-def _until(end: Column) -> Column:
-    return F.coalesce(end, F.lit(C.FAR_DATE).cast("date"))
-
-
-# --- coverage -----------------------------------------------------------------------------------
-def coverage(days: DataFrame, lifecycles: DataFrame) -> DataFrame:
-    """``days`` with ``covered``, whether a lifecycle of the account holds that day, and ``known``,
-    whether the account has any lifecycle.
-
-    ``days`` has one row per account and day. A day is covered if the furthest end among the lifecycles
-    begun by then has not passed, which is one running maximum over the account's starts and days.
-    """
-    start, end, day = F.col("start_date"), F.col("end_date"), F.col("event_date")
-    starts = (
-        lifecycles.where(F.col("account_id").isNotNull())
-        .groupBy("account_id", start.alias("event_date"))
-        .agg(F.max(F.when(_until(end) >= start, _until(end))).alias("_reach"))
-        .withColumn("_is_day", F.lit(False))
-    )
-    marks = days.withColumn("_is_day", F.lit(True)).unionByName(starts, allowMissingColumns=True)
-    account = Window.partitionBy("account_id")
-    so_far = account.orderBy("event_date", "_is_day").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        marks.withColumn("_reach", F.max("_reach").over(so_far))
-        .withColumn("known", ~F.min("_is_day").over(account))
-        .where("_is_day")
-        .select(*days.columns, F.coalesce(F.col("_reach") >= day, F.lit(False)).alias("covered"), "known")
-    )
-
-
-def unmatched_events(
-    events: DataFrame, days: DataFrame, lifecycles: DataFrame, known: bool | None = None
-) -> DataFrame:
+# --- unmatched rows -----------------------------------------------------------------------------
+def unmatched_events(events: DataFrame, days: DataFrame, known: bool | None = None) -> DataFrame:
     """Events in no lifecycle window; ``known`` limits them to accounts with (or without) lifecycles."""
-    lost = coverage(days.select("account_id", "event_date"), lifecycles).where(~F.col("covered"))
+    lost = days.where(~F.col("covered"))
     if known is not None:
         lost = lost.where(F.col("known") == known)
     return events_on(events, lost.select("account_id", "event_date"))
@@ -80,41 +48,30 @@ def unmatched_lifecycles(lifecycles: DataFrame, days: DataFrame) -> DataFrame:
     )
     return (
         lifecycles.join(first, ["account_id", "start_date"], "left")
-        .where(F.col("_next").isNull() | (F.col("_next") > _until(F.col("end_date"))))
+        .where(F.col("_next").isNull() | (F.col("_next") > until(F.col("end_date"))))
         .select(*lifecycles.columns)
     )
 
 
 # --- reports on unmatched rows ------------------------------------------------------------------
-def orphans(
-    rows: DataFrame, owners: DataFrame, others: DataFrame, key: str = "account_id"
-) -> DataFrame:
-    """The ``rows`` whose key does not occur in ``others``.
-
-    ``owners`` is any frame with the keys of ``rows``. Keys are reduced to distinct values on both
-    sides first; ``rows`` is only joined with the orphaned keys, which may turn out few enough to be
-    broadcast.
-    """
-    lost = owners.select(key).distinct().join(others.select(key).distinct(), key, "left_anti")
-    keys = sized(lost.select(F.col(key).alias("_key")))
-    return rows.join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-
-
-def orphan_events(events: DataFrame, days: DataFrame, lifecycles: DataFrame) -> DataFrame:
-    return orphans(events, days, lifecycles).select(
+def orphan_events(events: DataFrame, days: DataFrame) -> DataFrame:
+    """Events of accounts without any lifecycle."""
+    return unmatched_events(events, days, known=False).select(
         "event_id", "account_id", "event_date", F.lit(C.ISSUE_ORPHAN_EVENT).alias("issue")
     )
 
 
-def orphan_events_metrics(events: DataFrame, days: DataFrame, lifecycles: DataFrame) -> DataFrame:
-    return orphans(events, days, lifecycles).select(
+def orphan_events_metrics(events: DataFrame, days: DataFrame) -> DataFrame:
+    return unmatched_events(events, days, known=False).select(
         "event_id", "account_id", "event_date", "active_users", "api_calls",
         F.lit(C.ISSUE_NO_RECORD).alias("issue"),
     )
 
 
 def subscriptions_without_events(lifecycles: DataFrame, days: DataFrame) -> DataFrame:
-    return orphans(lifecycles, lifecycles, days).select(
+    """Lifecycles of accounts without any event."""
+    seen = sized(days.select("account_id").distinct())
+    return lifecycles.join(seen, "account_id", "left_anti").select(
         "subscription_id", "account_id", "plan_type", "status", "mrr_amount",
         F.lit(C.ISSUE_NO_EVENTS).alias("issue"),
     )
@@ -125,7 +82,7 @@ def events_outside_window(events: DataFrame, days: DataFrame, lifecycles: DataFr
 
     The report is defined on such pairs; only the unmatched events take part in the join.
     """
-    lost = unmatched_events(events, days, lifecycles, known=True)
+    lost = unmatched_events(events, days, known=True)
     own = lifecycles.select("account_id", "subscription_id", "start_date", "end_date", "status")
     day = F.col("event_date")
     reason = classify(
@@ -138,9 +95,9 @@ def events_outside_window(events: DataFrame, days: DataFrame, lifecycles: DataFr
     )
 
 
-def events_no_window(events: DataFrame, days: DataFrame, lifecycles: DataFrame) -> DataFrame:
+def events_no_window(events: DataFrame, days: DataFrame) -> DataFrame:
     """Events in no window, orphans included; the lifecycle columns are empty by definition."""
-    return unmatched_events(events, days, lifecycles).select(
+    return unmatched_events(events, days).select(
         "event_id", "account_id", "event_date",
         F.lit(None).cast("string").alias("subscription_id"),
         F.lit(None).cast("date").alias("start_date"),
@@ -168,7 +125,7 @@ def window_usage(
     out over that many tasks, each of which gets a copy of the account's days.
     """
     windows = (
-        lifecycles.select("account_id", "start_date", _until(F.col("end_date")).alias("_until"))
+        lifecycles.select("account_id", "start_date", until(F.col("end_date")).alias("_until"))
         .where(F.col("account_id").isNotNull() & (F.col("start_date") <= F.col("_until")))
         .distinct()
     )
@@ -229,27 +186,18 @@ def int_usage_per_subscription(
 ) -> DataFrame:
     """Usage per lifecycle, plus one row per account for its events outside every lifecycle.
 
-    This is a full outer interval join followed by a rollup, taken apart: lifecycles look up the
-    usage of their window, and the account-days no window covers are added up per account. Both arms
-    read the same account-days, shuffled by account once. Events without an account belong to nobody.
+    This is a full outer interval join followed by a rollup, taken apart: lifecycles look up the usage
+    of their window, and the account-days that no window covers are added up per account.
     """
-    owned = coverage(days.where(F.col("account_id").isNotNull()), lifecycles)
-    usage = window_usage(owned.where("covered"), lifecycles, windows_per_task)
+    usage = window_usage(days.where("covered"), lifecycles, windows_per_task)
     matched = (
         lifecycles.select(
-            "subscription_sk", "account_id", "start_date", _until(F.col("end_date")).alias("_until")
+            "subscription_sk", "account_id", "start_date", until(F.col("end_date")).alias("_until")
         )
         .join(usage, ["account_id", "start_date", "_until"], "left")
         .select("subscription_sk", "account_id", *_finished(F.lit(None).cast("string")))
     )
-    nobodys = days.where(F.col("account_id").isNull()).withColumn("known", F.lit(False))
-    lost = (
-        owned.where(~F.col("covered"))
-        .drop("covered")
-        .unionByName(nobodys)
-        .groupBy("account_id", "known")
-        .agg(*merged_parts())
-    )
+    lost = days.where(~F.col("covered")).groupBy("account_id", "known").agg(*merged_parts())
     flag = F.when(F.col("known"), C.OUTSIDE_WINDOW).otherwise(C.NO_RECORD)
     key = F.concat(F.lit(C.ORPHAN_KEY_PREFIX), F.col("account_id"))
     return matched.unionByName(

@@ -1,6 +1,6 @@
 """Mean and deviation tests. Population statistics travel as one-row scalar subqueries."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.days import events_on
@@ -47,7 +47,6 @@ def baseline_ratio(
     (value * count against factor * sum), so they are exact. The same test on a day's smallest and
     largest value tells which account-days hold such events at all; only those are looked up.
     """
-    account = Window.partitionBy("account_id")
     top, bottom = F.lit(high).cast("decimal(6,2)"), F.lit(low).cast("decimal(6,2)")
 
     def above(value: str) -> Column:
@@ -58,11 +57,8 @@ def baseline_ratio(
 
     concerned = (
         days.where(F.col("account_id").isNotNull())
-        .select(
-            "account_id", "event_date", f"_max_{metric}", f"_min_{metric}",
-            F.sum(f"_sum_{metric}").over(account).alias("_sum"),
-            F.sum(rows).over(account).alias("_n"),
-        )
+        .withColumn("_sum", F.col(f"_account_sum_{metric}"))
+        .withColumn("_n", F.col(f"_account{rows}"))
         .where((F.col("_n") > 0) & (above(f"_max_{metric}") | below(f"_min_{metric}")))
         .select("account_id", "event_date", "_sum", "_n")
     )

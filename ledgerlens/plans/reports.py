@@ -153,7 +153,7 @@ REPORTS: dict[str, Report] = {
     "dq16_case_inconsistent": lambda w: quality.case_inconsistent(w.raw_subscriptions),
     # consistency
     "dq17_dup_subscription_ids": lambda w: quality.duplicate_keys(w.lifecycles, "subscription_id"),
-    "dq18_orphan_events": lambda w: intervals.orphan_events(w.events, w.days, w.lifecycles),
+    "dq18_orphan_events": lambda w: intervals.orphan_events(w.events, w.days),
     "dq19_subs_without_events": lambda w: intervals.subscriptions_without_events(w.lifecycles, w.days),
     "dq20_bad_account_format": lambda w: quality.bad_account_format(
         {"stg_subscriptions": w.lifecycles, "stg_usage_events": w.events}
@@ -169,13 +169,11 @@ REPORTS: dict[str, Report] = {
     "an05_users_spike_drop": lambda w: anomaly.users_spike_drop(w.events, w.days),
     # business-logic anomalies
     "an06_end_before_start": lambda w: anomaly.end_before_start(w.lifecycles),
-    "an07_events_no_window": lambda w: intervals.events_no_window(w.events, w.days, w.lifecycles),
+    "an07_events_no_window": lambda w: intervals.events_no_window(w.events, w.days),
     "an08_terminal_without_end": lambda w: anomaly.terminal_without_end(w.lifecycles),
     "an09_active_past_end": lambda w: anomaly.active_past_end(w.lifecycles, w.as_of),
     "an10_expired_trials": lambda w: anomaly.expired_trials(w.lifecycles, w.as_of),
-    "an11_orphan_events_metrics": lambda w: intervals.orphan_events_metrics(
-        w.events, w.days, w.lifecycles
-    ),
+    "an11_orphan_events_metrics": lambda w: intervals.orphan_events_metrics(w.events, w.days),
     "an12_zero_users_activity": lambda w: anomaly.zero_users_activity(w.events),
     # pattern anomalies
     "an13_active_zero_usage": lambda w: intervals.active_zero_usage(w.lifecycles, w.days),

@@ -18,8 +18,8 @@ class Warehouse:
     """Lazy raw and staged frames, and modelled tables that are written once on first use.
 
     Four tables are read by many reports, so they are stored as Parquet in the session's shared folder:
-    readers prune columns, events are added up per account and day only once, and a lost executor does
-    not rebuild the interval rollup.
+    readers prune columns, events are added up and shuffled by account only once, and a lost executor
+    does not rebuild the interval rollup.
     """
 
     def __init__(self, spark: SparkSession, subscriptions: DataFrame, events: DataFrame, as_of: dt.date):
@@ -71,7 +71,7 @@ class Warehouse:
 
     @cached_property
     def days(self) -> DataFrame:
-        return self._stored(account_days(self.events), "account_days")
+        return self._stored(account_days(self.events, self.lifecycles), "account_days")
 
     @cached_property
     def int_subscriptions(self) -> DataFrame:

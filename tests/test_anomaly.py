@@ -35,26 +35,26 @@ def test_metric_sigma(staged_events):
     assert ids(anomaly.users_sigma(rows), "event_id") == ["y"]
 
 
-def test_spikes_and_drops_against_own_account(staged_events):
+def test_spikes_and_drops_against_own_account(staged_events, staged_subs):
     rows = staged_events(
         dict(event_id="spike", api_calls=300), *[dict(event_id=f"n{i}", api_calls=100) for i in range(4)],
         dict(event_id="drop", api_calls=10),
         dict(event_id="twice", account_id="ACC-2", api_calls=200), dict(event_id="none", account_id="ACC-2", api_calls=0),
         dict(event_id="zeros", account_id="ACC-3", api_calls=0),
     )
-    got = {r.event_id: (r.ratio_to_avg, r.issue) for r in anomaly.api_spike_drop(rows, account_days(rows)).collect()}
+    got = {r.event_id: (r.ratio_to_avg, r.issue) for r in anomaly.api_spike_drop(rows, account_days(rows, staged_subs({}))).collect()}
     assert got == {
         "spike": (Decimal("2.54"), C.ISSUE_API_SPIKE), "drop": (Decimal("0.08"), C.ISSUE_API_DROP),
         "none": (Decimal("0.00"), C.ISSUE_API_DROP),
     }
 
 
-def test_user_baseline_ignores_zero_rows(staged_events):
+def test_user_baseline_ignores_zero_rows(staged_events, staged_subs):
     rows = staged_events(
         dict(event_id="a", active_users=8), dict(event_id="b", active_users=0), dict(event_id="c", active_users=None),
         dict(event_id="d", account_id="ACC-2", active_users=0),
     )
-    (row,) = anomaly.users_spike_drop(rows, account_days(rows)).collect()
+    (row,) = anomaly.users_spike_drop(rows, account_days(rows, staged_subs({}))).collect()
     assert (row.event_id, row.account_avg_users, row.issue) == ("b", 8, C.ISSUE_USER_DROP)
 
 
@@ -105,7 +105,7 @@ def test_start_clusters_keep_every_id_in_bounded_parts(staged_subs):
     assert {r.subscriptions_started for r in parts} == {10}
 
 
-def test_drop_to_zero_looks_at_the_preceding_event(staged_events):
+def test_drop_to_zero_looks_at_the_preceding_event(staged_events, staged_subs):
     rows = staged_events(
         dict(event_id="a", event_date="01/02/2024"),
         dict(event_id="b", event_date="02/02/2024", api_calls=0, active_users=None),
@@ -114,20 +114,20 @@ def test_drop_to_zero_looks_at_the_preceding_event(staged_events):
         dict(event_id="e", account_id="ACC-3", active_users=2, api_calls=0),
         dict(event_id="f", account_id="ACC-3", active_users=0, api_calls=None),
     )
-    got = {r.event_id: (r.prev_active_users, r.prev_api_calls) for r in anomaly.drop_to_zero(rows, account_days(rows)).collect()}
+    got = {r.event_id: (r.prev_active_users, r.prev_api_calls) for r in anomaly.drop_to_zero(rows, account_days(rows, staged_subs({}))).collect()}
     assert got == {"b": (5, 100), "f": (2, 0)}
 
 
-def test_event_clusters_show_the_mean_of_the_days_found(staged_events):
+def test_event_clusters_show_the_mean_of_the_days_found(staged_events, staged_subs):
     rows = staged_events(
         *[dict(event_date="01/02/2024", account_id=f"ACC-{i % 3}") for i in range(10)],
         *[dict(event_date=f"{d:02d}/02/2024") for d in range(2, 8)],
     )
-    (row,) = anomaly.event_date_clusters(account_days(rows)).collect()
+    (row,) = anomaly.event_date_clusters(account_days(rows, staged_subs({}))).collect()
     assert (row.events_on_day, row.distinct_accounts, row.avg_events_per_day) == (10, 3, 10)
 
 
-def test_drop_to_zero_equals_a_plain_lag_under_skew(spark, staged_events):
+def test_drop_to_zero_equals_a_plain_lag_under_skew(staged_events, staged_subs):
     rng = random.Random(3)
     rows = staged_events(
         *[
@@ -146,11 +146,11 @@ def test_drop_to_zero_equals_a_plain_lag_under_skew(spark, staged_events):
         .where("(api_calls = 0 or active_users = 0) and (pa > 0 or pu > 0)")
         .select("event_id", "pu", "pa")
     )
-    got = anomaly.drop_to_zero(rows, account_days(rows)).select("event_id", "prev_active_users", "prev_api_calls")
+    got = anomaly.drop_to_zero(rows, account_days(rows, staged_subs({}))).select("event_id", "prev_active_users", "prev_api_calls")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
-def test_baselines_equal_a_plain_join(staged_events):
+def test_baselines_equal_a_plain_join(staged_events, staged_subs):
     rng = random.Random(5)
     rows = staged_events(
         *[
@@ -163,4 +163,4 @@ def test_baselines_equal_a_plain_join(staged_events):
     )
     mean = rows.where("active_users > 0").groupBy("account_id").agg(F.avg("active_users").alias("m"))
     want = rows.join(mean, "account_id").where("active_users > 2 * m or active_users < 0.25 * m")
-    assert ids(anomaly.users_spike_drop(rows, account_days(rows)), "event_id") == ids(want, "event_id")
+    assert ids(anomaly.users_spike_drop(rows, account_days(rows, staged_subs({}))), "event_id") == ids(want, "event_id")

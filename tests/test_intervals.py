@@ -50,7 +50,7 @@ def world():
 @pytest.fixture(scope="module")
 def frames(world, staged_subs, staged_events):
     subs, events = staged_subs(*world[0]).cache(), staged_events(*world[1]).cache()
-    return subs, events, account_days(events)
+    return subs, events, account_days(events, subs).cache()
 
 
 @pytest.fixture(scope="module")
@@ -73,10 +73,10 @@ def test_unmatched_events(frames, matched):
     known = {s.account_id for s in subs}
     hit = {e for e, _ in pairs}
     lost = [e for e in events if e._seq not in hit]
-    got = intervals.events_no_window(frames[1], frames[2], frames[0]).collect()
+    got = intervals.events_no_window(frames[1], frames[2]).collect()
     assert sorted(r.event_id for r in got) == sorted(e.event_id for e in lost)
     assert {(r.subscription_id, r.start_date, r.status) for r in got} == {(None, None, None)}
-    orphaned = intervals.orphan_events(frames[1], frames[2], frames[0]).collect()
+    orphaned = intervals.orphan_events(frames[1], frames[2]).collect()
     assert sorted(r.event_id for r in orphaned) == sorted(e.event_id for e in events if e.account_id not in known)
 
 
@@ -155,7 +155,7 @@ def test_rollup_attributes_every_event(frames, matched):
 def test_interval_ends_are_inclusive(staged_subs, staged_events):
     subs = staged_subs(dict(start_date="01/02/2024", end_date="05/02/2024"))
     events = staged_events(*[dict(event_id=d, event_date=f"{d}/02/2024") for d in ("01", "05", "06")])
-    lost = intervals.events_no_window(events, account_days(events), subs)
+    lost = intervals.events_no_window(events, account_days(events, subs))
     assert [r.event_id for r in lost.collect()] == ["06"]
 
 
@@ -163,7 +163,7 @@ def test_repartitioning_changes_nothing(frames):
     keyed = lifecycle_key(frames[0])
     one = intervals.int_usage_per_subscription(keyed, frames[2]).collect()
     other = intervals.int_usage_per_subscription(
-        lifecycle_key(frames[0].repartition(7)), account_days(frames[1].repartition(5))
+        lifecycle_key(frames[0].repartition(7)), account_days(frames[1].repartition(5), frames[0].repartition(3))
     ).collect()
     assert sorted(map(str, one)) == sorted(map(str, other))
 

@@ -88,9 +88,9 @@ def test_active_units(w):
     }
 
 
-def test_null_date_events_do_not_count(staged_events):
+def test_null_date_events_do_not_count(staged_events, staged_subs):
     events = staged_events(dict(event_date=None), dict(event_date="01/01/2023"))
-    assert {r.active_accounts for r in kpi.mau(account_days(events), SPINE).collect()} == {0}
+    assert {r.active_accounts for r in kpi.mau(account_days(events, staged_subs({})), SPINE).collect()} == {0}
 
 
 def test_engagement_groups(w):

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import intervals, quality
+from ledgerlens.operators import anomaly, intervals, quality
 from ledgerlens.operators.staging import stage_subscriptions, stg_usage_events
 from ledgerlens.plans import fit, kpi, model
 from ledgerlens.sources.lookups import fx_rates
@@ -56,15 +56,19 @@ def test_row_checks_read_only_what_they_report(w):
     assert "Exchange" not in text
 
 
-def test_rollup_shuffles_account_days_once(w):
+def test_rollup_shuffles_covered_days_by_account_only(w):
     text = plan(w.build_int_usage(), run=True)
-    assert "ReusedExchange" in text
-    wide = [columns for columns in read_columns(text) if "_sum_api_calls" in columns and "event_date" in columns]
-    assert len(wide) == 1
+    assert len(re.findall(r"DataFilters: \[[^]]*covered", text)) == 2
+    assert "SortMergeJoin FullOuter" not in text and "Window" not in text
+
+
+def test_baselines_need_no_shuffle_by_account(w):
+    text = plan(anomaly.api_spike_drop(w.events, w.days), run=True)
+    assert "hashpartitioning(account_id" not in text and "Window" not in text
 
 
 def test_few_unmatched_days_are_broadcast_to_the_events(w):
-    text = plan(intervals.events_no_window(w.events, w.days, w.lifecycles), run=True)
+    text = plan(intervals.events_no_window(w.events, w.days), run=True)
     outer = text.split("InMemoryRelation")[0]
     assert "BroadcastHashJoin" in outer and "hashpartitioning" not in outer
 
