@@ -24,8 +24,10 @@ def fit_shuffles(spark: SparkSession, *paths: str) -> int:
     Adaptive execution merges partitions that turn out small but never makes more of them than it
     started with (200 by default, half a terabyte each at 100 TB), so only a larger number is set.
     """
-    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    current = int(spark.conf.get(key, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    fixed = "spark.sql.shuffle.partitions"
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    key = initial if spark.conf.get("spark.sql.adaptive.enabled") == "true" else fixed
+    current = int(spark.conf.get(key, None) or spark.conf.get(fixed))
     fitted = shuffle_partitions(input_bytes(spark, *paths), current)
     if fitted > current:
         spark.conf.set(key, fitted)

@@ -51,3 +51,10 @@ def test_presentation_order(spark):
     rows = reports.ordered(name, reports.report(name, spark, SF)).collect()
     totals = [r.total_effective_mrr_usd for r in rows]
     assert totals == sorted(totals, reverse=True)
+    tiers = reports.ordered("kp14_usage_by_tier", reports.report("kp14_usage_by_tier", spark, SF)).collect()
+    assert [r.plan_type for r in tiers] == ["Basic", "Starter", "Professional", "Enterprise"]
+
+
+def test_order_names_reports_and_their_columns(spark):
+    for name, keys in reports.ORDER.items():
+        assert {column for column, _ in keys} <= set(reports.report(name, spark, SF).columns)

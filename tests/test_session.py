@@ -13,3 +13,13 @@ def test_input_bytes_counts_files_and_folders(spark, tmp_path):
     (tmp_path / "y.parquet").write_bytes(b"678")
     assert session.input_bytes(spark, str(tmp_path / "a"), str(tmp_path / "y.parquet")) == 8
     assert session.fit_shuffles(spark, str(tmp_path)) == 4
+
+
+def test_a_large_input_raises_the_initial_partitions_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "input_bytes", lambda *_: 100 * session.BYTES_PER_PARTITION)
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert session.fit_shuffles(spark, str(tmp_path)) == 100
+        assert spark.conf.get(initial) == "100" and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    finally:
+        spark.conf.unset(initial)
