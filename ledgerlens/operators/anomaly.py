@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerlens import constants as C
 from ledgerlens.functions import days_between, half_up, mean_of_parts, ratio
 from ledgerlens.operators.days import events_on
-from ledgerlens.operators.ordered import day_rank, with_previous
+from ledgerlens.operators.ordered import BLOCK_BITS, day_rank, with_previous
 from ledgerlens.operators.rules import classify
 from ledgerlens.operators.sizing import sized
 from ledgerlens.operators.statistics import baseline_ratio, sigma_outliers, sigma_outliers_by
@@ -176,19 +176,29 @@ def start_date_clusters(
     )
 
 
-def drop_to_zero(events: DataFrame, days: DataFrame) -> DataFrame:
+def drop_to_zero(
+    events: DataFrame, days: DataFrame, rows_per_task: int = 2**BLOCK_BITS
+) -> DataFrame:
     """Events at zero whose account was active at its preceding event.
 
     Only account-days with an event at zero are looked up. Within such a day the preceding event is
     found among the day's own; for its first event it is the last one of the account's previous day.
+    If a day holds more than ``rows_per_task`` events, days are split for that search.
     """
-    concerned = days.where(F.col("_zero_rows") > 0).select("account_id", "event_date", "_day_before")
-    at_zero = (F.col("api_calls") == 0) | (F.col("active_users") == 0)
+    columns = ["api_calls", "active_users"]
+    concerned = days.where(F.col("_zero_rows") > 0)
+    largest = concerned.agg(F.max("_rows").alias("rows")).first().rows or 0
     narrow = events.select("event_id", "account_id", "event_date", "active_users", "api_calls", SEQ)
-    within = with_previous(
-        events_on(narrow, concerned), ["account_id"], day_rank(F.col("event_date")),
-        ["api_calls", "active_users"], out="_same_day", keep=at_zero, across=False,
-    )
+    found = events_on(narrow, concerned.select("account_id", "event_date", "_day_before"))
+    at_zero = (F.col("api_calls") == 0) | (F.col("active_users") == 0)
+    if largest <= rows_per_task:
+        day = Window.partitionBy("account_id", "event_date").orderBy(SEQ)
+        within = found.withColumn("_same_day", F.lag(F.struct(*columns)).over(day)).where(at_zero)
+    else:
+        within = with_previous(
+            found, ["account_id"], day_rank(F.col("event_date")), columns,
+            out="_same_day", keep=at_zero, across=False,
+        )
     before = within.withColumn("_before", F.coalesce("_same_day", "_day_before"))
     was_active = (F.col("_before.api_calls") > 0) | (F.col("_before.active_users") > 0)
     return before.where(was_active).select(

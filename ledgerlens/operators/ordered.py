@@ -3,7 +3,7 @@
 A window over a hot key puts all of its rows into one task. Here the rows of a key are first split
 into cells of equal rank value and at most 2**BLOCK_BITS sequence numbers; the window runs inside a
 cell, and a second, far smaller pass over one row per cell carries the state from cell to cell. The
-sequence column must be a unique integer.
+sequence column must be a unique integer; the closer it is to a running number, the fewer the cells.
 """
 
 from collections.abc import Sequence

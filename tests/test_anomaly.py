@@ -2,6 +2,7 @@ import datetime as dt
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -127,7 +128,8 @@ def test_event_clusters_show_the_mean_of_the_days_found(staged_events, staged_su
     assert (row.events_on_day, row.distinct_accounts, row.avg_events_per_day) == (10, 3, 10)
 
 
-def test_drop_to_zero_equals_a_plain_lag_under_skew(staged_events, staged_subs):
+@pytest.mark.parametrize("rows_per_task", [2, 2**20])
+def test_drop_to_zero_equals_a_plain_lag_under_skew(staged_events, staged_subs, rows_per_task):
     rng = random.Random(3)
     rows = staged_events(
         *[
@@ -146,7 +148,9 @@ def test_drop_to_zero_equals_a_plain_lag_under_skew(staged_events, staged_subs):
         .where("(api_calls = 0 or active_users = 0) and (pa > 0 or pu > 0)")
         .select("event_id", "pu", "pa")
     )
-    got = anomaly.drop_to_zero(rows, account_days(rows, staged_subs({}))).select("event_id", "prev_active_users", "prev_api_calls")
+    got = anomaly.drop_to_zero(rows, account_days(rows, staged_subs({})), rows_per_task).select(
+        "event_id", "prev_active_users", "prev_api_calls"
+    )
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
