@@ -41,3 +41,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def text_of(column: str) -> Column:
     """The text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def text_column(df: DataFrame, text: str, also: list[str]) -> tuple[list[Column], int]:
+    """What to select after a key and ``also`` so that a task sees the text, and its place; a text among ``also`` goes once."""
+    if text in also and df.schema[text].dataType.simpleString() == "string":
+        return [], 1 + list(also).index(text)
+    return [F.col(text).cast("string").alias("__text")], 1 + len(also)
