@@ -65,11 +65,16 @@ class LineRuns:
         return [self.spark.table(name) for level in self.levels for name, _ in level]
 
     def merged(self, runs: list[DataFrame]) -> DataFrame:
-        """Runs added up, key by key."""
+        """Runs added up, key by key: each holds a key once, so a merge join adds two of them.
+
+        A union of the runs must not be grouped: the planner takes a union of bucketed tables for
+        bucketed and leaves out the shuffle, though a key's rows then lie in several partitions.
+        """
         out = runs[0]
         for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy(*KEY).agg(F.sum("docs").alias("docs"))
+            joined = out.join(run.withColumnRenamed("docs", "__more"), KEY, "full_outer")
+            out = joined.select(*KEY, (F.coalesce("docs", F.lit(0)) + F.coalesce("__more", F.lit(0))).alias("docs"))
+        return out
 
     def unseen(self, counts: DataFrame) -> DataFrame:
         """Keys of a batch that no run holds."""
@@ -108,7 +113,7 @@ class LineRuns:
 def id_batches(docs: DataFrame, key: str, batches: int) -> list[DataFrame]:
     """``docs`` in ranges of ``key``; a table laid out by key is read once, each batch its own row groups."""
     low, high = docs.agg(F.min(key), F.max(key)).first()
-    if low is None or high - low < batches:
+    if low is None or batches < 2 or high - low < batches:
         return [docs]
     cuts = [low + (high - low) * i // batches for i in range(1, batches)]
     first = docs.filter((F.col(key) < cuts[0]) | F.col(key).isNull())
@@ -143,5 +148,5 @@ def drop_frequent_lines(docs: DataFrame, threshold: int = 10, least: int = 1, ba
 
     kept = F.when(F.col("__going").isNull(), text_of(text)).otherwise(let(F.split(text_of(text), "\n", -1), rest))
     return joined.withColumns({
-        "n_lines": n_lines.cast("bigint"), "n_dropped": F.coalesce(F.size("__going"), F.lit(0)).cast("bigint"), text: kept,
+        "n_lines": n_lines.cast("bigint"), "n_dropped": F.coalesce(F.when(F.col("__going").isNotNull(), F.size("__going")), F.lit(0)).cast("bigint"), text: kept,
     }).drop("__going")

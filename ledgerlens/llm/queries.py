@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import fingerprints, linededup, neighbours, packing, pages, quality, simhash, toxicity
+from ledgerlens.llm import fingerprints, linededup, nbest, neighbours, packing, pages, quality, simhash, tokencount, toxicity
 from ledgerlens.llm.tables import read, tokenizer
 
 
@@ -30,6 +30,14 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(read(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.encode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_edits(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -48,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_html": op5_html,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_token_counts": op7_token_counts,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_neighbours": op10_neighbours,
