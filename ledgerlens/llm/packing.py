@@ -29,7 +29,7 @@ WINDOW = 4096
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 STEP_TOKENS = 1 << 20
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 
 #: Latin-1 without the characters at which engines differ about white space.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
