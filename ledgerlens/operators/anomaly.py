@@ -11,14 +11,11 @@ from pyspark.sql import functions as F
 from ledgerlens import constants as C
 from ledgerlens.functions import days_between, half_up, mean_of_parts, ratio
 from ledgerlens.operators.days import events_on
-from ledgerlens.operators.ordered import BLOCK_BITS, day_rank, with_previous
+from ledgerlens.operators.ordered import day_rank, with_previous
 from ledgerlens.operators.rules import classify
-from ledgerlens.operators.sizing import sized
 from ledgerlens.operators.statistics import baseline_ratio, sigma_outliers, sigma_outliers_by
 from ledgerlens.sources.schemas import SEQ
 
-IDS_PER_PART_BITS = 16
-
 
 # --- statistical --------------------------------------------------------------------------------
 def mrr_sigma_by_plan(lifecycles: DataFrame, k: float = 2) -> DataFrame:
@@ -150,55 +147,34 @@ def high_discount(lifecycles: DataFrame, pct: int = C.HIGH_DISCOUNT_PCT) -> Data
     )
 
 
-def start_date_clusters(
-    lifecycles: DataFrame, more_than: int = 2, part_bits: int = IDS_PER_PART_BITS
-) -> DataFrame:
-    """Start dates shared by many lifecycles, with their ids.
-
-    The id list of a date comes in parts of at most 2**part_bits ids, numbered by ``id_part``, so that
-    a date holding a large share of all lifecycles does not end up in a single string. A date below
-    that size has one part.
-    """
+def start_date_clusters(lifecycles: DataFrame, more_than: int = 2) -> DataFrame:
+    """Lifecycles whose start date is shared by more than ``more_than``, one row each, with their number."""
     totals = (
-        lifecycles.groupBy("start_date")
+        lifecycles.groupBy(F.col("start_date").alias("_date"))
         .agg(F.count(F.lit(1)).alias("subscriptions_started"))
         .where(F.col("subscriptions_started") > more_than)
     )
-    dates = sized(totals.withColumnRenamed("start_date", "_date"))  # no longer than the calendar
-    parts = (
-        lifecycles.groupBy("start_date", F.shiftright(SEQ, part_bits).alias("id_part"))
-        .agg(F.array_sort(F.collect_list("subscription_id")).alias("_ids"))
-    )
-    return parts.join(dates, F.col("start_date").eqNullSafe(F.col("_date"))).select(
-        "start_date", "subscriptions_started", "id_part",
-        F.array_join("_ids", ", ").alias("subscription_ids"),
-        F.lit(C.ISSUE_START_CLUSTER).alias("issue"),
+    return lifecycles.join(totals, F.col("start_date").eqNullSafe(F.col("_date"))).select(
+        "start_date", "subscriptions_started", "subscription_id", F.lit(C.ISSUE_START_CLUSTER).alias("issue")
     )
 
 
-def drop_to_zero(
-    events: DataFrame, days: DataFrame, rows_per_task: int = 2**BLOCK_BITS
-) -> DataFrame:
+def drop_to_zero(events: DataFrame, days: DataFrame) -> DataFrame:
     """Events at zero whose account was active at its preceding event.
 
     Only account-days with an event at zero are looked up. Within such a day the preceding event is
-    found among the day's own; for its first event it is the last one of the account's previous day.
-    If a day holds more than ``rows_per_task`` events, days are split for that search.
+    found among the day's own, which are split into cells of sequence numbers, so that a day with many
+    events is not one task; for a day's first event it is the last one of the account's previous day.
     """
     columns = ["api_calls", "active_users"]
     concerned = days.where(F.col("_zero_rows") > 0)
-    largest = concerned.agg(F.max("_rows").alias("rows")).first().rows or 0
     narrow = events.select("event_id", "account_id", "event_date", "active_users", "api_calls", SEQ)
     found = events_on(narrow, concerned.select("account_id", "event_date", "_day_before"))
     at_zero = (F.col("api_calls") == 0) | (F.col("active_users") == 0)
-    if largest <= rows_per_task:
-        day = Window.partitionBy("account_id", "event_date").orderBy(SEQ)
-        within = found.withColumn("_same_day", F.lag(F.struct(*columns)).over(day)).where(at_zero)
-    else:
-        within = with_previous(
-            found, ["account_id"], day_rank(F.col("event_date")), columns,
-            out="_same_day", keep=at_zero, across=False,
-        )
+    within = with_previous(
+        found, ["account_id"], day_rank(F.col("event_date")), columns,
+        out="_same_day", keep=at_zero, across=False,
+    )
     before = within.withColumn("_before", F.coalesce("_same_day", "_day_before"))
     was_active = (F.col("_before.api_calls") > 0) | (F.col("_before.active_users") > 0)
     return before.where(was_active).select(

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as C
-from ledgerlens.operators.sizing import sized
 from ledgerlens.sources.schemas import SEQ
 
 # (event column, parts the usage rollup needs)
@@ -121,13 +120,12 @@ def account_days(events: DataFrame, lifecycles: DataFrame, spike: int = C.USER_S
 def events_on(events: DataFrame, days: DataFrame) -> DataFrame:
     """The events of the listed account-days, with whatever else ``days`` carries.
 
-    ``days`` has one row per account and day. Its measured size decides whether it is broadcast, which
-    spares the events a shuffle, or joined by shuffling both.
+    ``days`` has one row per account and day. It is a share of the data, so nothing is held on
+    executors: both sides are dealt by account and day, or adaptive execution broadcasts the days found
+    if they turn out small.
     """
     carried = [c for c in days.columns if c not in ("account_id", "event_date")]
-    keys = sized(
-        days.select(F.col("account_id").alias("_account"), F.col("event_date").alias("_day"), *carried)
-    )
+    keys = days.select(F.col("account_id").alias("_account"), F.col("event_date").alias("_day"), *carried)
     same_account = F.col("account_id").eqNullSafe(F.col("_account"))
     same_day = F.col("event_date").eqNullSafe(F.col("_day"))
     return events.join(keys, same_account & same_day).drop("_account", "_day")

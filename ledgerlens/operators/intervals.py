@@ -13,7 +13,6 @@ from ledgerlens import constants as C
 from ledgerlens.functions import mean_of_parts
 from ledgerlens.operators.days import events_on, merged_parts, until
 from ledgerlens.operators.rules import classify
-from ledgerlens.operators.sizing import sized
 
 WINDOWS_PER_TASK = 100_000
 
@@ -70,8 +69,7 @@ def orphan_events_metrics(events: DataFrame, days: DataFrame) -> DataFrame:
 
 def subscriptions_without_events(lifecycles: DataFrame, days: DataFrame) -> DataFrame:
     """Lifecycles of accounts without any event."""
-    seen = sized(days.select("account_id").distinct())
-    return lifecycles.join(seen, "account_id", "left_anti").select(
+    return lifecycles.join(days.select("account_id"), "account_id", "left_anti").select(
         "subscription_id", "account_id", "plan_type", "status", "mrr_amount",
         F.lit(C.ISSUE_NO_EVENTS).alias("issue"),
     )
@@ -121,8 +119,8 @@ def window_usage(
 ) -> DataFrame:
     """Event parts added up per distinct (account, start, until) window.
 
-    Accounts with more than ``windows_per_task`` distinct windows are split: their windows are dealt
-    out over that many tasks, each of which gets a copy of the account's days.
+    The windows of an account are dealt out in parts of about ``windows_per_task`` (one for most), each
+    of which gets a copy of the account's days.
     """
     windows = (
         lifecycles.select("account_id", "start_date", until(F.col("end_date")).alias("_until"))
@@ -130,26 +128,16 @@ def window_usage(
         .distinct()
     )
     split = F.ceil(F.count(F.lit(1)) / windows_per_task).cast("int").alias("_splits")
-    crowded = sized(windows.groupBy("account_id").agg(split).where(F.col("_splits") > 1))
-    owned = days.withColumnRenamed("account_id", "_owner")
-    within = (F.col("account_id") == F.col("_owner")) & F.col("event_date").between(
-        F.col("start_date"), F.col("_until")
+    splits = windows.groupBy("account_id").agg(split)
+    dealt = windows.join(splits, "account_id").withColumn("_split", F.pmod(F.hash("start_date", "_until"), "_splits"))
+    copied = (
+        days.join(splits, "account_id")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1)))
+        .withColumnRenamed("account_id", "_owner")
+        .drop("_splits")
     )
-    if crowded.isEmpty():
-        hits = windows.join(owned, within)
-    else:
-        accounts = crowded.withColumnRenamed("account_id", "_crowded")
-        dealt = windows.join(crowded, "account_id").withColumn(
-            "_split", F.pmod(F.hash("start_date", "_until"), "_splits")
-        )
-        copied = owned.join(accounts, F.col("_owner") == F.col("_crowded")).withColumn(
-            "_copy", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1))
-        )
-        others = owned.join(accounts, F.col("_owner") == F.col("_crowded"), "left_anti")
-        columns = ["account_id", "start_date", "_until", *[c for c in days.columns if c != "account_id"]]
-        hits = windows.join(others, within).select(columns).unionByName(
-            dealt.join(copied, within & (F.col("_split") == F.col("_copy"))).select(columns)
-        )
+    same = (F.col("account_id") == F.col("_owner")) & (F.col("_split") == F.col("_copy"))
+    hits = dealt.join(copied, same & F.col("event_date").between(F.col("start_date"), F.col("_until")))
     return hits.groupBy("account_id", "start_date", "_until").agg(*merged_parts())
 
 

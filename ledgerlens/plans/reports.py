@@ -18,7 +18,7 @@ from ledgerlens.sources.lookups import date_spine_over, fx_rates
 from ledgerlens.sources.schemas import RAW_SUBSCRIPTIONS, RAW_USAGE_EVENTS, SEQ
 
 AS_OF = dt.date(2024, 6, 30)
-SPINE_START, SPINE_END = dt.date(2023, 10, 1), dt.date(2024, 3, 31)
+SPINE_START, SPINE_END = dt.date(2023, 10, 1), AS_OF
 
 Report = Callable[[Warehouse], DataFrame]
 
@@ -280,7 +280,7 @@ ORDER: dict[str, tuple[tuple[str, bool], ...]] = {
     "an13_active_zero_usage": (("mrr_amount", True),),
     "an14_all_zero_events": (("account_id", False), ("event_date", False)),
     "an15_high_discount": (("discount_percentage", True),),
-    "an16_start_date_clusters": (("subscriptions_started", True), ("start_date", False), ("id_part", False)),
+    "an16_start_date_clusters": (("subscriptions_started", True), ("start_date", False)),
     "an17_drop_to_zero": (("account_id", False), ("event_date", False)),
     "an18_long_pending": (("days_pending", True),),
     "an19_event_date_clusters": (("events_on_day", True),),

@@ -4,7 +4,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 BYTES_PER_PARTITION = 128 * 1024 * 1024
-MOST_PARTITIONS = 50_000
 
 
 def input_bytes(spark: SparkSession, *paths: str) -> int:
@@ -15,7 +14,7 @@ def input_bytes(spark: SparkSession, *paths: str) -> int:
 
 def shuffle_partitions(total_bytes: int, at_least: int) -> int:
     wanted = -(-total_bytes // BYTES_PER_PARTITION)
-    return max(at_least, min(wanted, MOST_PARTITIONS))
+    return max(at_least, wanted)
 
 
 def fit_shuffles(spark: SparkSession, *paths: str) -> int:

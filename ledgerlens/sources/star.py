@@ -60,7 +60,7 @@ def raw_subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         "c_custkey", "c_nationkey", "c_mktsegment"
     )
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
 
     k, owner, n = F.col("o_orderkey"), F.col("o_custkey"), F.col("c_nationkey")
     null_text = F.lit(None).cast("string")

@@ -3,7 +3,7 @@
 from ledgerlens import constants as C
 
 AS_OF = "DATE '2024-06-30'"
-SPINE = ("DATE '2023-10-01'", "DATE '2024-03-31'")
+SPINE = ("DATE '2023-10-01'", "DATE '2024-06-30'")
 FAR = f"DATE '{C.FAR_DATE}'"
 
 
@@ -57,7 +57,7 @@ o AS (
       WHEN st IN ('churned', 'cancelled') THEN s + (k % 75 + 5)::INTEGER
       WHEN k % 59 = 9 THEN s + 20 END AS e,
     CASE WHEN plan = 'Enterprise' THEN NULL WHEN k % 83 = 11 THEN s + 372 ELSE s + 7 END AS t
-  FROM orders JOIN customer ON c_custkey = o_custkey
+  FROM orders LEFT JOIN customer ON c_custkey = o_custkey
 ),
 raw_subs AS (
   SELECT k AS _seq,

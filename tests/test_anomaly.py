@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlens import constants as C
 from ledgerlens.operators import anomaly
 from ledgerlens.operators.days import account_days
+from ledgerlens.sources.schemas import SEQ
 
 AS_OF = dt.date(2024, 6, 30)
 
@@ -93,17 +94,26 @@ def test_discount_amounts(staged_subs):
     assert (row.effective_mrr, row.revenue_lost) == (Decimal("200.00"), Decimal("99.99"))
 
 
-def test_start_clusters_keep_every_id_in_bounded_parts(staged_subs):
+def test_start_clusters_list_every_lifecycle_whatever_its_number(staged_subs):
     rows = staged_subs(
         *[dict(subscription_id=f"s{i:02d}") for i in range(10)],
         *[dict(subscription_id=f"t{i}", start_date="02/02/2024") for i in range(2)],
     )
-    (whole,) = anomaly.start_date_clusters(rows).collect()
-    assert whole.subscriptions_started == 10
-    assert whole.subscription_ids.split(", ") == [f"s{i:02d}" for i in range(10)]
-    parts = anomaly.start_date_clusters(rows, part_bits=2).orderBy("id_part").collect()
-    assert [len(r.subscription_ids.split(", ")) for r in parts] == [4, 4, 2]
-    assert {r.subscriptions_started for r in parts} == {10}
+    sparse = rows.withColumn(SEQ, F.monotonically_increasing_id() * 2**20)
+    for frame in (rows, sparse.repartition(5)):
+        got = anomaly.start_date_clusters(frame).collect()
+        assert sorted(r.subscription_id for r in got) == [f"s{i:02d}" for i in range(10)]
+        assert {r.subscriptions_started for r in got} == {10}
+
+
+def test_drop_to_zero_runs_no_job_while_it_is_built(spark, staged_events, staged_subs):
+    rows = staged_events({}, dict(event_id="b", api_calls=0))
+    days = account_days(rows, staged_subs({}))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job may run")
+    anomaly.drop_to_zero(rows, days)
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_drop_to_zero_looks_at_the_preceding_event(staged_events, staged_subs):
@@ -128,8 +138,8 @@ def test_event_clusters_show_the_mean_of_the_days_found(staged_events, staged_su
     assert (row.events_on_day, row.distinct_accounts, row.avg_events_per_day) == (10, 3, 10)
 
 
-@pytest.mark.parametrize("rows_per_task", [2, 2**20])
-def test_drop_to_zero_equals_a_plain_lag_under_skew(staged_events, staged_subs, rows_per_task):
+@pytest.mark.parametrize("spread", [1, 2**19])
+def test_drop_to_zero_equals_a_plain_lag_under_skew(staged_events, staged_subs, spread):
     rng = random.Random(3)
     rows = staged_events(
         *[
@@ -140,7 +150,7 @@ def test_drop_to_zero_equals_a_plain_lag_under_skew(staged_events, staged_subs,
             )
             for i in range(300)
         ]
-    )
+    ).withColumn(SEQ, F.col(SEQ) * spread)
     order = Window.partitionBy("account_id").orderBy(F.asc_nulls_last("event_date"), "_seq")
     want = (
         rows.withColumn("pa", F.lag("api_calls").over(order))
@@ -148,7 +158,7 @@ def test_drop_to_zero_equals_a_plain_lag_under_skew(staged_events, staged_subs,
         .where("(api_calls = 0 or active_users = 0) and (pa > 0 or pu > 0)")
         .select("event_id", "pu", "pa")
     )
-    got = anomaly.drop_to_zero(rows, account_days(rows, staged_subs({})), rows_per_task).select(
+    got = anomaly.drop_to_zero(rows, account_days(rows, staged_subs({}))).select(
         "event_id", "prev_active_users", "prev_api_calls"
     )
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

@@ -4,7 +4,7 @@ from ledgerlens import session
 def test_partitions_grow_with_the_input_only():
     assert session.shuffle_partitions(0, 8) == 8
     assert session.shuffle_partitions(10 * session.BYTES_PER_PARTITION + 1, 8) == 11
-    assert session.shuffle_partitions(100 * 1024**4, 200) == session.MOST_PARTITIONS
+    assert session.shuffle_partitions(100 * 1024**4, 200) == 100 * 1024**4 // session.BYTES_PER_PARTITION
 
 
 def test_input_bytes_counts_files_and_folders(spark, tmp_path):
