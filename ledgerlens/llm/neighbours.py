@@ -11,7 +11,7 @@ The vectors given in the test tables are close to random, where no index finds m
 
 Queries and vectors meet in blocks: centroids of the first half form groups of cells with about
 ``block`` vectors (a group that holds more, as with many copies of one vector, is dealt over several
-blocks), and queries come in blocks of at most ``block``; each pair of blocks gives at most ``k`` rows
+blocks), and queries come in blocks of about ``query_block``; each pair of blocks gives at most ``k`` rows
 for each query, so no group grows with the data.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take
@@ -35,7 +35,8 @@ SAMPLE = 20_000
 MOST_CENTROIDS = 128
 SHARE = 0.4
 LEAST = 1_000
-BLOCK = 2_048
+BLOCK = 8_192
+QUERY_BLOCK = 1_024
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -89,7 +90,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding", share: float = SHARE, least: int = LEAST, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row for which ``is_query`` (of vec_id) holds."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -125,7 +126,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     slices = F.array(*[F.lit(-(-n // block) or 1) for n in rows_of])
 
     asked = index.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_blocks = max(1, -(-int(index.filter(is_query).count()) // block))
+    n_blocks = max(1, -(-int(index.filter(is_query).count()) // query_block))
     shared = spark.sparkContext.broadcast((centres, counts))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +171,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
             out.append(pd.DataFrame({"query_id": query, "vec_id": ids[seen][best], "score": exact[best]}))
         return pd.concat(out)
 
+    # walking is the dearest step for a query, so queries are spread whatever their size in bytes
+    asked = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec_id")
     queries = asked.mapInArrow(visit, "vec_id long, v array<double>, g int, cells array<int>")
     queries = queries.withColumn("s", F.explode(F.sequence(F.lit(0), F.get(slices, F.col("g")) - 1))).withColumn("b", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(n_blocks)))
     entries = index.withColumn("g", group_of).withColumn("s", F.pmod(F.xxhash64(F.lit("e"), "vec_id", F.monotonically_increasing_id()), F.get(slices, F.col("g"))))
