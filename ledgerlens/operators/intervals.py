@@ -93,6 +93,57 @@ def events_outside_window(events: DataFrame, days: DataFrame, lifecycles: DataFr
     )
 
 
+def events_outside_window_summary(events: DataFrame, days: DataFrame, lifecycles: DataFrame) -> DataFrame:
+    """Each event outside every window of its account, once, against the account's lifecycles as a whole.
+
+    ``starting_later`` lifecycles begin after the event, ``ended_before`` ended before it without
+    beginning after it, the rest (missing dates) are ``undecided``. ``previous_end`` is the last end
+    before the event, ``next_start`` the first start after it. Running sums over the account's calendar
+    give all of them, so an account's events are never paired with its lifecycles. For an event without
+    a date all lifecycles are undecided.
+    """
+    start, end = F.col("start_date"), F.col("end_date")
+    own = lifecycles.where(F.col("account_id").isNotNull())
+    totals = own.groupBy("account_id").agg(F.count(F.lit(1)).alias("_all"), F.count(start).alias("_dated"))
+    begun = own.where(start.isNotNull()).groupBy("account_id", start.alias("event_date")).agg(
+        F.count(F.lit(1)).alias("_begun"), F.lit(None).cast("long").alias("_ended"), F.lit(None).cast("date").alias("_end"),
+    )
+    # a lifecycle counts as ended from the day after its end, or from its start where that is later
+    over = F.greatest(F.date_add(end, 1), start)
+    ended = own.where(end.isNotNull()).groupBy("account_id", over.alias("event_date")).agg(
+        F.lit(None).cast("long").alias("_begun"), F.count(F.lit(1)).alias("_ended"), F.max(end).alias("_end"),
+    )
+    lost = days.where(~F.col("covered") & F.col("known")).select("account_id", "event_date")
+    asked = F.max("_asked").alias("_asked")
+    added = [F.sum("_begun").alias("_begun"), F.sum("_ended").alias("_ended"), F.max("_end").alias("_end"), asked]
+    marks = (
+        lost.where(F.col("event_date").isNotNull()).withColumn("_asked", F.lit(True))
+        .unionByName(begun, allowMissingColumns=True).unionByName(ended, allowMissingColumns=True)
+        .groupBy("account_id", "event_date").agg(*added)
+    )
+    calendar = Window.partitionBy("account_id").orderBy("event_date")
+    so_far = calendar.rowsBetween(Window.unboundedPreceding, 0)
+    onwards = calendar.rowsBetween(1, Window.unboundedFollowing)
+    dated = marks.select(
+        "account_id", "event_date", "_asked",
+        F.coalesce(F.sum("_begun").over(so_far), F.lit(0)).alias("_so_far"),
+        F.coalesce(F.sum("_ended").over(so_far), F.lit(0)).alias("ended_before"),
+        F.max("_end").over(so_far).alias("previous_end"),
+        F.min(F.when(F.col("_begun").isNotNull(), F.col("event_date"))).over(onwards).alias("next_start"),
+    ).where("_asked").drop("_asked")
+    undated = lost.where(F.col("event_date").isNull())
+    seen = dated.unionByName(undated, allowMissingColumns=True).join(totals, "account_id")
+    later = F.when(F.col("event_date").isNull(), 0).otherwise(F.col("_dated") - F.col("_so_far"))
+    before = F.coalesce("ended_before", F.lit(0))
+    context = seen.select(
+        "account_id", "event_date", later.alias("starting_later"), before.alias("ended_before"),
+        (F.col("_all") - later - before).alias("undecided"), "previous_end", "next_start",
+    )
+    return events_on(events, context).select(
+        "event_id", "account_id", "event_date", "starting_later", "ended_before", "undecided", "previous_end", "next_start"
+    )
+
+
 def events_no_window(events: DataFrame, days: DataFrame) -> DataFrame:
     """Events in no window, orphans included; the lifecycle columns are empty by definition."""
     return unmatched_events(events, days).select(

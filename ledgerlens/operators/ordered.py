@@ -2,8 +2,9 @@
 
 A window over a hot key puts all of its rows into one task. Here the rows of a key are first split
 into cells of equal rank value and at most 2**BLOCK_BITS sequence numbers; the window runs inside a
-cell, and a second, far smaller pass over one row per cell carries the state from cell to cell. The
-sequence column must be a unique integer; the closer it is to a running number, the fewer the cells.
+cell. Far smaller passes carry the state on: over the cells of one key and rank value, then over the
+rank values of a key, so no window holds all cells of a hot key. The sequence column must be a unique
+integer; the closer it is to a running number, the fewer the cells.
 """
 
 from collections.abc import Sequence
@@ -42,16 +43,20 @@ def numbered(
 ) -> DataFrame:
     """Add ROW_NUMBER per key in (rank, seq) order."""
     split, parts, cell = _cells(df, keys, rank, seq, bits)
-    earlier = (
-        Window.partitionBy(*parts)
-        .orderBy("_rank", "_block")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    ranked = [*parts, "_rank"]
+    earlier = Window.partitionBy(*ranked).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    smaller = Window.partitionBy(*parts).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = split.groupBy(*cell).agg(F.count(F.lit(1)).alias("_size"))
+    starts = (
+        sizes.groupBy(*ranked)
+        .agg(F.sum("_size").alias("_size"))
+        .select(*ranked, F.coalesce(F.sum("_size").over(smaller), F.lit(0)).alias("_start"))
     )
     offsets = (
-        split.groupBy(*cell)
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select(*cell, F.sum("_size").over(earlier).alias("_before"))
-        .where(F.col("_before").isNotNull())
+        sizes.select(*cell, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_earlier"))
+        .join(starts, ranked)
+        .select(*cell, (F.col("_start") + F.col("_earlier")).alias("_before"))
+        .where(F.col("_before") > 0)
     )
     inside = F.row_number().over(Window.partitionBy(*cell).orderBy(seq))
     return (
@@ -79,13 +84,19 @@ def with_previous(
     ``across`` off, the preceding row must have the same rank.
     """
     split, parts, cell = _cells(df, keys, rank, seq, bits)
-    group = parts if across else [*parts, "_rank"]
+    ranked = [*parts, "_rank"]
     tails = split.groupBy(*cell).agg(*[F.max_by(c, seq).alias(f"_last_{c}") for c in columns])
     last = F.struct(*[F.col(f"_last_{c}").alias(c) for c in columns])
-    carried = tails.select(
-        *cell,
-        F.lag(last).over(Window.partitionBy(*group).orderBy("_rank", "_block")).alias("_carried"),
-    ).where(F.col("_carried").isNotNull())
+    tails = tails.select(*cell, last.alias("_tail"))
+    earlier = F.lag("_tail").over(Window.partitionBy(*ranked).orderBy("_block"))
+    carried = tails.select(*cell, earlier.alias("_carried"))
+    if across:
+        smaller = F.lag("_end").over(Window.partitionBy(*parts).orderBy("_rank"))
+        ends = tails.groupBy(*ranked).agg(F.max_by("_tail", "_block").alias("_end"))
+        carried = carried.join(ends.select(*ranked, smaller.alias("_prior")), ranked).select(
+            *cell, F.coalesce("_carried", "_prior").alias("_carried")
+        )
+    carried = carried.where(F.col("_carried").isNotNull())
     inside = F.lag(F.struct(*columns)).over(Window.partitionBy(*cell).orderBy(seq))
     return (
         split.withColumn("_inside", inside)

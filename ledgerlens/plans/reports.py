@@ -14,7 +14,7 @@ from ledgerlens.plans import fit, health, kpi, model
 from ledgerlens.plans.warehouse import Warehouse
 from ledgerlens.session import fit_shuffles
 from ledgerlens.sources import files, sinks, star
-from ledgerlens.sources.lookups import date_spine_over, fx_rates
+from ledgerlens.sources.lookups import date_spine_over
 from ledgerlens.sources.schemas import RAW_SUBSCRIPTIONS, RAW_USAGE_EVENTS, SEQ
 
 AS_OF = dt.date(2024, 6, 30)
@@ -55,7 +55,7 @@ def _csv_round_trip(w: Warehouse, raw: DataFrame, scan: Callable, name: str) ->
 
 def _fx_rates(w: Warehouse) -> DataFrame:
     used = w.lifecycles.groupBy("currency").agg(F.count(F.lit(1)).alias("lifecycles"))
-    return fx_rates(w.spark).join(used, "currency", "left").select(
+    return w.rates.join(used, "currency", "left").select(
         "currency", "rate_to_usd", F.coalesce("lifecycles", F.lit(0)).alias("lifecycles")
     )
 
@@ -86,7 +86,7 @@ def _derived(name: str, value: Callable, *inputs: str) -> Report:
     """One derived lifecycle column next to its inputs, computed from staged rows and rates."""
 
     def report(w: Warehouse) -> DataFrame:
-        priced = w.lifecycles.join(F.broadcast(fx_rates(w.spark)), "currency", "left")
+        priced = w.lifecycles.join(F.broadcast(w.rates), "currency", "left")
         return priced.select("subscription_id", "account_id", *inputs, value(w).alias(name))
 
     return report
@@ -161,6 +161,9 @@ REPORTS: dict[str, Report] = {
     "dq21_events_outside_window": lambda w: intervals.events_outside_window(
         w.events, w.days, w.lifecycles
     ),
+    "dq21_events_outside_window_summary": lambda w: intervals.events_outside_window_summary(
+        w.events, w.days, w.lifecycles
+    ),
     # statistical anomalies
     "an01_mrr_sigma_by_plan": lambda w: anomaly.mrr_sigma_by_plan(w.lifecycles),
     "an02_api_sigma": lambda w: anomaly.api_sigma(w.events),
@@ -265,6 +268,7 @@ ORDER: dict[str, tuple[tuple[str, bool], ...]] = {
     "dq19_subs_without_events": (("plan_type", False), ("mrr_amount", True)),
     "dq20_bad_account_format": (("source_table", False), ("account_id", False)),
     "dq21_events_outside_window": (("account_id", False), ("event_date", False)),
+    "dq21_events_outside_window_summary": (("account_id", False), ("event_date", False)),
     "an01_mrr_sigma_by_plan": (("plan_type", False), ("mrr_amount", True)),
     "an02_api_sigma": (("api_calls", True),),
     "an03_users_sigma": (("active_users", True),),

@@ -5,44 +5,58 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens import constants as C
 from ledgerlens.operators.days import account_days
 from ledgerlens.operators.intervals import int_usage_per_subscription
-from ledgerlens.operators.staging import stage_subscriptions, stg_subscriptions, stg_usage_events
+from ledgerlens.operators.staging import lifecycle_key, stage_subscriptions, stg_usage_events
 from ledgerlens.plans import model
 from ledgerlens.sources.lookups import date_spine, fx_rates
 from ledgerlens.sources.schemas import SEQ
-from ledgerlens.sources.sinks import materialise, register_view, scratch_path
+from ledgerlens.sources.sinks import materialise, register_view, remove, scratch_path
 
 
 class Warehouse:
-    """Lazy raw and staged frames, and modelled tables that are written once on first use.
+    """Raw frames as given; staged and modelled tables that are written once on first use.
 
-    Four tables are read by many reports, so they are stored as Parquet in the session's shared folder:
-    readers prune columns, events are added up and shuffled by account only once, and a lost executor
-    does not rebuild the interval rollup.
+    Staged lifecycles and events and four modelled tables are read by many reports, so they are stored
+    as Parquet in the session's shared folder: dates are parsed once, readers prune columns and push
+    filters down, events are added up and shuffled by account only once, and a lost executor does not
+    rebuild the interval rollup. ``close`` deletes what was stored. ``rates`` (currency to USD) replaces
+    the built-in exchange rates, ``spike`` the user count above which activity KPIs leave an event out.
     """
 
-    def __init__(self, spark: SparkSession, subscriptions: DataFrame, events: DataFrame, as_of: dt.date):
+    def __init__(
+        self,
+        spark: SparkSession,
+        subscriptions: DataFrame,
+        events: DataFrame,
+        as_of: dt.date,
+        rates: dict | None = None,
+        spike: int = C.USER_SPIKE,
+    ):
         self.spark = spark
         self.raw_subscriptions = subscriptions
         self.raw_events = events
         self.as_of = as_of
+        self.rates = fx_rates(spark, rates)
+        self.spike = spike
+        self._paths: dict[str, str] = {}
 
     @cached_property
     def lifecycles(self) -> DataFrame:
         """Staged subscriptions without the lifecycle key, for checks that do not need it."""
-        return stage_subscriptions(self.raw_subscriptions)
+        return self._stored(stage_subscriptions(self.raw_subscriptions), "lifecycles")
 
     @cached_property
     def stg_subscriptions(self) -> DataFrame:
-        return stg_subscriptions(self.raw_subscriptions)
+        return self._stored(lifecycle_key(self.lifecycles), "stg_subscriptions")
 
     @cached_property
     def events(self) -> DataFrame:
-        return stg_usage_events(self.raw_events)
+        return self._stored(stg_usage_events(self.raw_events), "events")
 
     def build_int_subscriptions(self) -> DataFrame:
-        return model.int_subscriptions(self.stg_subscriptions, fx_rates(self.spark), self.as_of)
+        return model.int_subscriptions(self.stg_subscriptions, self.rates, self.as_of)
 
     def build_int_usage(self) -> DataFrame:
         return int_usage_per_subscription(self.int_subscriptions, self.days)
@@ -51,7 +65,13 @@ class Warehouse:
         return model.fct_subscriptions(self.int_usage, self.int_subscriptions, on)
 
     def publish(self, folder: str, spine_start: dt.date, spine_end: dt.date) -> dict[str, DataFrame]:
-        """Write the six model tables under ``folder``, replacing older ones, and name all for SQL."""
+        """Write the six model tables under ``folder``, replacing older ones, and name all for SQL.
+
+        The raw tables, the exchange rates and the staged tables are named as well.
+        """
+        register_view(self.raw_subscriptions.drop(SEQ), "subscriptions")
+        register_view(self.raw_events.drop(SEQ), "usage_events")
+        register_view(self.rates, "seed_exchange_rates")
         register_view(self.stg_subscriptions.drop(SEQ), "stg_subscriptions")
         register_view(self.events.drop(SEQ), "stg_usage_events")
         tables = {
@@ -67,11 +87,20 @@ class Warehouse:
         }
 
     def _stored(self, df: DataFrame, name: str) -> DataFrame:
-        return materialise(df, scratch_path(self.spark, name))
+        self._paths[name] = scratch_path(self.spark, name)
+        return materialise(df, self._paths[name])
+
+    def close(self) -> None:
+        """Delete the stored tables; those asked for later are built anew."""
+        names = {"account_days": "days", "int_usage_per_subscription": "int_usage", "fct_subscriptions": "fct"}
+        while self._paths:
+            name, path = self._paths.popitem()
+            self.__dict__.pop(names.get(name, name), None)
+            remove(self.spark, path)
 
     @cached_property
     def days(self) -> DataFrame:
-        return self._stored(account_days(self.events, self.lifecycles), "account_days")
+        return self._stored(account_days(self.events, self.lifecycles, self.spike), "account_days")
 
     @cached_property
     def int_subscriptions(self) -> DataFrame:

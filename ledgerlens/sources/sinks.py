@@ -43,3 +43,9 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
     """Name ``df`` for SQL; the view stays lazy."""
     df.createOrReplaceTempView(name)
     return df.sparkSession.table(name)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table, wherever Spark can reach it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -100,6 +100,27 @@ def test_events_outside_window_list_every_lifecycle_of_the_account(frames, match
     assert sorted((r.event_id, r.subscription_id, r.issue) for r in got) == sorted(want)
 
 
+def test_summary_of_events_outside_windows_adds_up_the_pairs(frames, matched):
+    subs, events, pairs = matched
+    hit = {e for e, _ in pairs}
+
+    def summary(e):
+        own = [s for s in subs if s.account_id == e.account_id]
+        day = e.event_date
+        later = [s for s in own if day and s.start_date and s.start_date > day]
+        ended = [s for s in own if day and s.end_date and s.end_date < day and s not in later]
+        return (
+            e.event_id, len(later), len(ended), len(own) - len(later) - len(ended),
+            max((s.end_date for s in ended), default=None), min((s.start_date for s in later), default=None),
+        )
+
+    known = {s.account_id for s in subs} - {None}
+    want = [summary(e) for e in events if e._seq not in hit and e.account_id in known]
+    got = intervals.events_outside_window_summary(frames[1], frames[2], frames[0]).collect()
+    fields = ("event_id", "starting_later", "ended_before", "undecided", "previous_end", "next_start")
+    assert sorted(map(str, [tuple(r[f] for f in fields) for r in got])) == sorted(map(str, want)) != []
+
+
 def test_lifecycles_without_events(frames, matched):
     subs, events, pairs = matched
     hit = {s for _, s in pairs}

@@ -1,10 +1,12 @@
 import datetime as dt
+import os
 from decimal import Decimal
 
 import pytest
 
 from ledgerlens import constants as C
 from ledgerlens.plans import model
+from ledgerlens.plans.warehouse import Warehouse
 
 AS_OF = dt.date(2024, 12, 31)
 
@@ -110,3 +112,17 @@ def test_published_tables_answer_sql(spark, small, tmp_path):
         JOIN stg_subscriptions s USING (subscription_sk) JOIN dim_date d ON d.date_actual = f.start_date"""
     ).collect()
     assert row.n == 3
+    base = "SELECT (SELECT count(*) FROM subscriptions) s, (SELECT count(*) FROM usage_events) e, (SELECT count(*) FROM seed_exchange_rates) r"
+    assert all(spark.sql(base).first())
+
+
+def test_own_rates_and_close(spark, make_warehouse):
+    made = make_warehouse([dict(currency="CHF", mrr_amount=100)], [{}])
+    own = Warehouse(spark, made.raw_subscriptions, made.raw_events, made.as_of, rates={"CHF": Decimal("1.1000")})
+    assert [float(r.mrr_usd) for r in own.int_subscriptions.collect()] == [110.0]
+    stored = own.int_subscriptions.inputFiles()[0].removeprefix("file:")
+    assert os.path.exists(stored)
+    own.close()
+    assert not os.path.exists(stored)
+    assert own.int_subscriptions.count() == 1  # built anew
+    own.close()

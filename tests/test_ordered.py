@@ -34,6 +34,17 @@ def test_numbered_equals_row_number(skewed, bits):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_no_window_holds_all_cells_of_a_key(skewed):
+    """With numbers dealt by input split every row may be a cell; windows then run by rank value first."""
+    sparse = skewed.withColumn("_seq", F.col("_seq") * (1 << 33))
+    got = numbered(sparse, ["k"], day_rank(F.col("d")), "rn")
+    want = sparse.withColumn("rn", F.row_number().over(in_order("k")))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    specs = [line for line in text.splitlines() if "Window [" in line]
+    assert specs and all("_block" not in line.split("], [")[-1] or "_rank" in line.split("], [")[-2] for line in specs)
+
+
 @pytest.mark.parametrize("bits", [3, 20])
 @pytest.mark.parametrize("across", [True, False])
 def test_previous_equals_lag(skewed, bits, across):
