@@ -16,6 +16,7 @@ different texts without leaves have likeness 0.
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,24 +85,38 @@ def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column)
     return F.when(root_a == root_b, 1.0).otherwise(share)
 
 
+def with_cell(docs: DataFrame, key: str) -> DataFrame:
+    """Add ``__cell``: the number of a range of ``key`` that holds about 1 024 rows, -1 for a null key.
+
+    Borders are keys of ``docs`` picked by hash, so ranges follow the keys however unevenly those are
+    spread; at most 2 * MOST_CELLS borders are used.
+    """
+    rows = docs.count()
+    one_in = math.ceil(rows / (min(MOST_CELLS, math.ceil(rows / DOCS_PER_CELL)) or 1)) or 1
+    number = F.col(key).cast("double")
+    picked = docs.where(number.isNotNull() & (F.pmod(F.xxhash64(key), F.lit(one_in)) == 0))
+    borders = picked.agg(F.slice(F.array_sort(F.collect_set(number)), 1, 2 * MOST_CELLS).alias("borders")).first().borders
+    if not borders:
+        borders = [0.0]
+    ranges = Bucketizer(splits=[-math.inf, *borders, math.inf], inputCol="__number", outputCol="__range", handleInvalid="keep")
+    placed = ranges.transform(docs.withColumn("__number", number))
+    cell = F.when(F.col(key).isNull(), -1).otherwise(F.col("__range"))
+    return placed.withColumn("__cell", cell.cast("long")).drop("__number", "__range")
+
+
 def with_next(docs: DataFrame, key: str, column: str, name: str) -> DataFrame:
     """Add ``name``: the value of ``column`` in the next row by ``key`` (nulls first), after the last row the first's.
 
-    Rows of equal keys stand in the order of ``column``. Keys are cut into at most 65 536 cells of
-    equal width, about 1 024 rows each; the rows that open a cell also go to the cell before, so one
-    shuffle by cell is enough and no task sees all rows.
+    Rows of equal keys stand in the order of ``column``. The rows that open a cell (a range of keys)
+    also go to the cell before, so one shuffle by cell is enough and no task sees all rows.
     """
-    low, high, rows = docs.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    wanted = min(MOST_CELLS, math.ceil(rows / DOCS_PER_CELL)) or 1
-    width = max(1.0, (float(high or 0) - float(low or 0) + 1) / wanted)
-    cell = F.coalesce(F.floor((F.col(key).cast("double") - F.lit(float(low or 0))) / F.lit(width)), F.lit(-1))
-    placed = docs.withColumn("__cell", cell)
+    placed = with_cell(docs, key)
     everything = Window.orderBy("__cell")
     borders = placed.groupBy("__cell").agg(F.min(key).alias("__opens")).select(
         F.col("__cell").alias("__of"), "__opens",
         F.coalesce(F.lag("__cell").over(everything), F.max("__cell").over(Window.partitionBy())).alias("__before"),
     )
-    # at most MOST_CELLS + 1 rows, so it may be broadcast whatever the input
+    # at most 2 * MOST_CELLS + 2 rows, so it may be broadcast whatever the input
     opening = placed.join(F.broadcast(borders), F.col("__cell") == F.col("__of"))
     home = F.struct(F.col("__cell").alias("cell"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("__before").alias("cell"), F.lit(True).alias("guest"))

@@ -53,6 +53,19 @@ def test_next_row_over_many_cells(spark, monkeypatch):
     assert got == {a: f"t{b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}
 
 
+def test_cells_follow_uneven_keys(spark, monkeypatch):
+    """A few far outliers do not bring the other rows into one cell."""
+    monkeypatch.setattr(fingerprints, "DOCS_PER_CELL", 4)
+    ids = [*range(3_000), 2**62, -(2**62), None]
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    placed = fingerprints.with_cell(df, "id").withColumnRenamed("__cell", "cell")
+    rows = sorted(placed.filter("id is not null").collect())
+    assert [r.cell for r in rows] == sorted(r.cell for r in rows)
+    sizes = [r["count"] for r in placed.groupBy("cell").count().collect()]
+    assert len(sizes) > 300 and max(sizes) < 100
+    assert placed.filter("id is null").first().cell == -1
+
+
 def test_single_row_follows_itself(spark):
     df = spark.createDataFrame([(5, "abcd")], "doc_id long, text string")
     row = fingerprints.against_edit(df).first()
