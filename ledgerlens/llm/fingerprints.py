@@ -26,6 +26,7 @@ from ledgerlens.llm.tables import let, text_of
 LEAF = r"(?:[^\t\n\x0b\f\r ]*[^\t\n\x0b\f\r .!?][\t\x0b\f\r ]+){0,7}[^\t\n\x0b\f\r ]+[\t\x0b\f\r ]*"
 DOCS_PER_CELL = 1024
 MOST_CELLS = 65_536
+PICKED = 16
 
 
 def leaves(text: Column) -> Column:
@@ -88,14 +89,16 @@ def likeness(root_a: Column, leaves_a: Column, root_b: Column, leaves_b: Column)
 def with_cell(docs: DataFrame, key: str) -> DataFrame:
     """Add ``__cell``: the number of a range of ``key`` that holds about 1 024 rows, -1 for a null key.
 
-    Borders are keys of ``docs`` picked by hash, so ranges follow the keys however unevenly those are
-    spread; at most 2 * MOST_CELLS borders are used.
+    Keys of ``docs`` are picked by hash, PICKED for each range wanted, and every PICKED-th is a border; so
+    ranges follow the keys however unevenly those are spread. At most 2 * MOST_CELLS borders are used.
     """
     rows = docs.count()
     one_in = math.ceil(rows / (min(MOST_CELLS, math.ceil(rows / DOCS_PER_CELL)) or 1)) or 1
+    each = min(PICKED, one_in)
     number = F.col(key).cast("double")
-    picked = docs.where(number.isNotNull() & (F.pmod(F.xxhash64(key), F.lit(one_in)) == 0))
-    borders = picked.agg(F.slice(F.array_sort(F.collect_set(number)), 1, 2 * MOST_CELLS).alias("borders")).first().borders
+    picked = docs.where(number.isNotNull() & (F.pmod(F.xxhash64(key), F.lit(one_in // each)) == 0))
+    every = F.filter(F.array_sort(F.collect_set(number)), lambda x, i: i % each == each - 1)
+    borders = picked.agg(F.slice(every, 1, 2 * MOST_CELLS).alias("borders")).first().borders
     if not borders:
         borders = [0.0]
     ranges = Bucketizer(splits=[-math.inf, *borders, math.inf], inputCol="__number", outputCol="__range", handleInvalid="keep")
