@@ -1,20 +1,14 @@
 """Common table expressions, in DuckDB SQL, that the oracle queries start from."""
 
-from ledgerlens import constants as C
-
 AS_OF = "DATE '2024-06-30'"
 SPINE = ("DATE '2023-10-01'", "DATE '2024-06-30'")
-FAR = f"DATE '{C.FAR_DATE}'"
+FAR = "DATE '9999-12-31'"
 
 
 def text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def listed(values) -> str:
-    return "(" + ", ".join(text(v) for v in values) + ")"
-
-
 def avg(x: str, digits: int) -> str:
     return f"round((sum({x})::DOUBLE / count({x}))::DECIMAL(28,10), {digits})::DOUBLE"
 
@@ -132,9 +126,9 @@ ev AS (
 )""",
     "lc": f"""
 fx(currency, rate_to_usd) AS (
-  VALUES {", ".join(f"({text(c)}, {r}::DECIMAL(10,4))" for c, r in C.FX_TO_USD.items())}
+  VALUES ('USD', 1.0000::DECIMAL(10,4)), ('EUR', 1.0800::DECIMAL(10,4)), ('GBP', 1.2700::DECIMAL(10,4))
 ),
-ceilings(plan_type, top) AS (VALUES {", ".join(f"({text(p)}, {v})" for p, v in C.PLAN_CEILING.items())}),
+ceilings(plan_type, top) AS (VALUES ('Basic', 50), ('Starter', 100), ('Professional', 500), ('Enterprise', 2000)),
 lc AS (
   SELECT subs.*, fx.rate_to_usd,
     round(mrr_amount * fx.rate_to_usd, 2) AS mrr_usd,
@@ -142,19 +136,19 @@ lc AS (
     coalesce(status = 'active', false) AS is_active,
     CASE WHEN end_date >= start_date OR end_date IS NULL
       THEN date_diff('day', start_date, coalesce(end_date, {AS_OF}))::INTEGER END AS subscription_length_days,
-    CASE WHEN date_diff('day', start_date, trial_end_date) BETWEEN 0 AND {C.SUSPECT_TRIAL_DAYS}
+    CASE WHEN date_diff('day', start_date, trial_end_date) BETWEEN 0 AND 90
       THEN date_diff('day', start_date, trial_end_date)::INTEGER END AS trial_length_days,
     CASE billing_period WHEN 'monthly' THEN 30 WHEN 'quarterly' THEN 90 WHEN 'annual' THEN 365 END
       AS billing_cycle_days,
-    CASE WHEN start_date > end_date THEN '{C.INVERTED}'
-      WHEN date_diff('day', start_date, trial_end_date) > {C.SUSPECT_TRIAL_DAYS} THEN '{C.SUSPECT_TRIAL}'
-      WHEN status = 'active' AND mrr_amount = 0 THEN '{C.ZERO_MRR}'
-      WHEN fx.rate_to_usd IS NULL THEN '{C.UNKNOWN_CURRENCY}'
-      WHEN status = 'active' AND mrr_amount IS NULL THEN '{C.NULL_MRR}'
-      WHEN discount_percentage = 100 THEN '{C.FULL_DISCOUNT}'
-      WHEN mrr_amount > {C.MRR_EXTREME} THEN '{C.OUTLIER_EXTREME}'
-      WHEN mrr_amount > {C.MRR_HIGH} THEN '{C.OUTLIER_HIGH}'
-      WHEN mrr_amount > ceilings.top THEN '{C.ANOMALY_VS_PLAN}' END AS data_quality_flag
+    CASE WHEN start_date > end_date THEN 'inverted_dates'
+      WHEN date_diff('day', start_date, trial_end_date) > 90 THEN 'suspect_trial_date'
+      WHEN status = 'active' AND mrr_amount = 0 THEN 'zero_mrr_active'
+      WHEN fx.rate_to_usd IS NULL THEN 'unknown_currency'
+      WHEN status = 'active' AND mrr_amount IS NULL THEN 'null_mrr_active'
+      WHEN discount_percentage = 100 THEN 'full_discount_zero_revenue'
+      WHEN mrr_amount > 50000 THEN 'mrr_outlier_extreme'
+      WHEN mrr_amount > 5000 THEN 'mrr_outlier_high'
+      WHEN mrr_amount > ceilings.top THEN 'mrr_anomaly_vs_plan' END AS data_quality_flag
   FROM subs LEFT JOIN fx USING (currency) LEFT JOIN ceilings USING (plan_type)
 )""",
     "usage": f"""
@@ -163,9 +157,9 @@ hits AS (
   FROM lc LEFT JOIN ev ON ev.account_id = lc.account_id
     AND ev.event_date BETWEEN lc.start_date AND coalesce(lc.end_date, {FAR})
   UNION ALL BY NAME
-  SELECT '{C.ORPHAN_KEY_PREFIX}' || ev.account_id AS subscription_sk, ev.account_id AS owner,
-    CASE WHEN ev.account_id IN (SELECT account_id FROM lc) THEN '{C.OUTSIDE_WINDOW}'
-      ELSE '{C.NO_RECORD}' END AS orphan_flag, ev.*
+  SELECT 'NO_SUB_' || ev.account_id AS subscription_sk, ev.account_id AS owner,
+    CASE WHEN ev.account_id IN (SELECT account_id FROM lc) THEN 'usage_outside_subscription_window'
+      ELSE 'no_subscription_record' END AS orphan_flag, ev.*
   FROM ev ANTI JOIN lc ON ev.account_id = lc.account_id
     AND ev.event_date BETWEEN lc.start_date AND coalesce(lc.end_date, {FAR})
 ),

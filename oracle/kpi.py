@@ -1,15 +1,14 @@
 """Oracles of the KPIs and the product-fit reports."""
 
-from ledgerlens import constants as C
-from oracle.base import FAR, SPINE, avg, listed, near, over, pct, text
+from oracle.base import FAR, SPINE, avg, near, over, pct
 
 _MONTHS = f"""months AS (
   SELECT d::DATE AS m, strftime(d, '%Y-%m') AS year_month, (d + INTERVAL 1 MONTH)::DATE AS next
   FROM (SELECT unnest(generate_series({SPINE[0]}, {SPINE[1]}, INTERVAL 1 DAY)) AS d) WHERE day(d) = 1
 )"""
-_CLEAN = f"coalesce(data_quality_flag, '') NOT IN {listed(C.REVENUE_FLAGS)}"
-_TRUSTED = f"coalesce(data_quality_flag, '') NOT IN {listed(C.USAGE_OUTLIER_FLAGS)}"
-_DATED = f"data_quality_flag IS DISTINCT FROM {text(C.INVERTED)}"
+_CLEAN = "coalesce(data_quality_flag, '') NOT IN ('mrr_outlier_extreme', 'mrr_outlier_high', 'mrr_anomaly_vs_plan')"
+_TRUSTED = "coalesce(data_quality_flag, '') NOT IN ('mrr_outlier_extreme', 'mrr_outlier_high')"
+_DATED = "data_quality_flag IS DISTINCT FROM 'inverted_dates'"
 _OPEN = "start_date < m AND coalesce(end_date, m) >= m"
 _LEFT = "status = 'churned' AND end_date >= m AND end_date < next"
 _FEATURES = "total_feature_a_usage + total_feature_b_usage + total_feature_c_usage"
@@ -74,9 +73,9 @@ def _health(divide: str) -> str:
         f"""SELECT subscription_sk, account_id, plan_type, status, {near("usage_score", 3)} AS usage_score,
   {near("tenure_score", 3)} AS tenure_score, {near("feature_score", 3)} AS feature_score,
   {near("support_score", 3)} AS support_score, if(is_outlier, NULL, points) AS health_score,
-  CASE WHEN is_outlier THEN {text(C.BAND_UNSCOREABLE)} WHEN active_zero_usage THEN {text(C.BAND_ZERO_USAGE)}
-    WHEN points >= 70 THEN {text(C.BAND_HEALTHY)} WHEN points >= 40 THEN {text(C.BAND_MODERATE)}
-    ELSE {text(C.BAND_AT_RISK)} END AS health_band
+  CASE WHEN is_outlier THEN 'Unscoreable: data quality issue' WHEN active_zero_usage THEN 'HIGH RISK: active but no usage'
+    WHEN points >= 70 THEN 'Healthy' WHEN points >= 40 THEN 'Moderate'
+    ELSE 'At risk' END AS health_band
 FROM scored""",
         f"""{_components(divide)},
 scored AS (SELECT *, round((100 * (0.45::DOUBLE * usage_score + 0.2::DOUBLE * tenure_score
@@ -145,7 +144,7 @@ FROM (SELECT year_month, coalesce(sum(if({_OPEN}, effective_mrr_usd, 0)), 0)::DO
         f"""SELECT strftime(start_date, '%Y-%m') AS cohort_month, count(*) AS cohort_size,
   count_if(status = 'churned')::BIGINT AS churned, count_if(status <> 'churned')::BIGINT AS retained,
   {pct("count_if(status <> 'churned')", "count(*)", 1)} AS retention_pct
-FROM fct WHERE start_date IS NOT NULL AND coalesce(data_quality_flag, {text(C.SUSPECT_TRIAL)}) = {text(C.SUSPECT_TRIAL)}
+FROM fct WHERE start_date IS NOT NULL AND coalesce(data_quality_flag, 'suspect_trial_date') = 'suspect_trial_date'
 GROUP BY 1""",
     ),
     "kp08_churn_by_plan": over(
@@ -177,7 +176,7 @@ FROM fct WHERE usage_event_count > 0 AND plan_type IS NOT NULL GROUP BY plan_typ
     ),
     "kp15_usage_vs_retention": over(
         "fct",
-        f"""SELECT if(status = 'active', {text(C.RETAINED)}, {text(C.CHURNED)}) AS retention_status, count(*) AS subscriptions,
+        f"""SELECT if(status = 'active', 'Retained (active)', 'Churned') AS retention_status, count(*) AS subscriptions,
   {avg("avg_active_users", 1)} AS avg_active_users, {avg("total_api_calls", 0)} AS avg_total_api_calls,
   {avg("avg_session_duration_mins", 1)} AS avg_session_mins, {avg("usage_event_count", 1)} AS avg_usage_events,
   {avg(_FEATURES, 1)} AS avg_total_feature_usage

@@ -1,7 +1,6 @@
 """Oracles of the dimensional model."""
 
-from ledgerlens import constants as C
-from oracle.base import doubles, fact, over, text
+from oracle.base import doubles, fact, over
 from oracle.quality import _calendar
 
 _MONEY = ("mrr_amount", "rate_to_usd", "mrr_usd", "effective_mrr_usd", "discount_percentage")
@@ -47,23 +46,23 @@ FROM ({fact("u.subscription_sk = l.subscription_sk")})""",
     ),
     "md04_dim_account": over(
         "fct",
-        f"""SELECT account_id, subscription_id AS current_subscription_id, plan_type AS current_plan_type,
+        """SELECT account_id, subscription_id AS current_subscription_id, plan_type AS current_plan_type,
   status AS current_status, mrr_amount::DOUBLE AS current_mrr_amount, currency AS current_currency,
   mrr_usd::DOUBLE AS current_mrr_usd, effective_mrr_usd::DOUBLE AS current_effective_mrr_usd, customer_segment,
   payment_method, billing_period, start_date AS current_subscription_start, end_date AS current_subscription_end,
   trial_end_date, data_quality_flag
 FROM fct
-QUALIFY data_quality_flag IS NOT DISTINCT FROM {text(C.NO_RECORD)} OR row_number() OVER (
-  PARTITION BY account_id, data_quality_flag IS NOT DISTINCT FROM {text(C.NO_RECORD)}
+QUALIFY data_quality_flag IS NOT DISTINCT FROM 'no_subscription_record' OR row_number() OVER (
+  PARTITION BY account_id, data_quality_flag IS NOT DISTINCT FROM 'no_subscription_record'
   ORDER BY start_date DESC NULLS LAST, _seq DESC NULLS LAST) = 1""",
     ),
     "md05_dim_date": over("ev", _calendar("ev", "event_date")),
     "md06_dim_plan": over(
         "fct",
-        f"""SELECT DISTINCT coalesce(plan_type, 'unknown') AS plan_type, coalesce(tier, 0) AS plan_tier,
+        """SELECT DISTINCT coalesce(plan_type, 'unknown') AS plan_type, coalesce(tier, 0) AS plan_tier,
   price::DOUBLE AS list_price_usd_monthly FROM fct LEFT JOIN plans USING (plan_type)""",
         "plans(plan_type, tier, price) AS (VALUES "
-        + ", ".join(f"({text(p)}, {t}, {C.PLAN_LIST_PRICE[p]})" for p, t in C.PLAN_TIER.items())
+        + "('Basic', 1, 29.00), ('Starter', 2, 49.00), ('Professional', 3, 299.00), ('Enterprise', 4, 999.00)"
         + ")",
     ),
 }

@@ -22,6 +22,12 @@ def sql():
     return con
 
 
+def test_oracle_shares_nothing_with_the_engine():
+    """Labels, rates and thresholds stand in the SQL as literals, so a wrong one in the engine shows."""
+    sources = glob.glob(os.path.join(os.path.dirname(entry_points.__file__), "oracle", "*.py"))
+    assert sources and not any("ledgerlens" in open(path).read() for path in sources)
+
+
 def test_every_report_has_an_oracle():
     assert set(reports.REPORTS) <= set(entry_points.queries())
     assert set(reports.REPORTS) <= set(entry_points.oracle_sql())
