@@ -42,15 +42,20 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     return _warehouses[key]
 
 
+def close() -> None:
+    """Delete what the reports' warehouses have stored and forget them."""
+    while _warehouses:
+        _warehouses.popitem()[1].close()
+
+
 def _spine() -> kpi.Spine:
     return kpi.Spine(SPINE_START, SPINE_END)
 
 
 # --- sources, sinks and staging steps -----------------------------------------------------------
 def _csv_round_trip(w: Warehouse, raw: DataFrame, scan: Callable, name: str) -> DataFrame:
-    path = sinks.scratch_path(w.spark, name)
-    raw.drop(SEQ).write.option("header", True).option("nullValue", "NULL").option("emptyValue", "").csv(path)
-    return scan(w.spark, path)
+    written = raw.drop(SEQ).write.option("header", True).option("nullValue", "NULL").option("emptyValue", "")
+    return scan(w.spark, w.written_once(name, written.csv))
 
 
 def _fx_rates(w: Warehouse) -> DataFrame:
@@ -66,7 +71,8 @@ def _register_view(w: Warehouse) -> DataFrame:
 
 
 def _materialise(w: Warehouse) -> DataFrame:
-    return sinks.materialise(w.lifecycles, sinks.scratch_path(w.spark, "staged_lifecycles"))
+    path = w.written_once("staged_lifecycles", lambda target: sinks.materialise(w.lifecycles, target))
+    return w.spark.read.schema(w.lifecycles.schema).parquet(path)
 
 
 def _parsed_dates(w: Warehouse) -> DataFrame:

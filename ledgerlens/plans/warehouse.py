@@ -1,6 +1,7 @@
 """The tables every report reads: raw, staged and modelled, over one pair of raw tables."""
 
 import datetime as dt
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,6 +91,14 @@ class Warehouse:
         self._paths[name] = scratch_path(self.spark, name)
         return materialise(df, self._paths[name])
 
+    def written_once(self, name: str, write: Callable[[str], object]) -> str:
+        """The path of a copy that ``write`` makes at the first call; later calls read the same one."""
+        if name not in self._paths:
+            path = scratch_path(self.spark, name)
+            write(path)
+            self._paths[name] = path
+        return self._paths[name]
+
     def close(self) -> None:
         """Delete the stored tables; those asked for later are built anew."""
         names = {"account_days": "days", "int_usage_per_subscription": "int_usage", "fct_subscriptions": "fct"}

@@ -49,6 +49,17 @@ def test_report_matches_oracle(spark, sql, name):
         assert operator not in plan
 
 
+def test_copies_are_written_once_and_removed(spark):
+    reports.close()
+    names = ("src1_scan_subscriptions", "src2_scan_usage_events", "snk1_materialise")
+    files = [reports.report(name, spark, SF).inputFiles() for name in names]
+    assert files == [reports.report(name, spark, SF).inputFiles() for name in names]
+    places = {os.path.dirname(path.removeprefix("file:")) for found in files for path in found}
+    assert len(places) == 3 and all(map(os.path.isdir, places))
+    reports.close()
+    assert not any(map(os.path.exists, places))
+
+
 def test_entry_runs(spark):
     assert entry_points.entry(spark).count() > 0
 
