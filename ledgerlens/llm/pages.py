@@ -4,12 +4,20 @@ A page is read as a stream of tags and text. Block elements end blocks; white sp
 becomes one space. Scripts, styles and form controls are skipped.
 
 The first pass decides what a block's own figures decide. Blocks inside navigation, footers, side
-bars, forms, notices, adverts or comments (by element, role, class or id) are boilerplate, as are
-blocks made of links. Where the page marks its article (or main part), blocks outside it are
-boilerplate and blocks inside are text. Elsewhere length, link density and the density of stop words
-decide. Short blocks without a decision stay open; in the second pass they inherit the label of the
-nearest decided neighbours, the nearer one where those differ, the following one on equal distance
-for headings and the preceding one for others. Open blocks of a page without decided blocks are text.
+bars, forms, notices, adverts or comments (by element, role, class or id) are boilerplate. Length,
+link density and the density of stop words are taken of every other block: blocks made of links are
+boilerplate, long ones with many stop words are text, wherever they stand. Short blocks without a
+decision stay open; in the second pass they inherit the label of the nearest decided neighbours, the
+nearer one where those differ, the following one on equal distance for headings and the preceding one
+for others. Open blocks of a page without decided blocks are text.
+
+An article, main or articleBody element is a sign besides. The region of a page is the smallest such
+element that holds most of the text found by stop words (for an articleBody the article around it);
+without one, all articles or all main parts where these do together; on a page where no block is
+found by stop words, all articles, or else all main parts. Undecided blocks inside the region are
+text. Those outside are boilerplate, but for what stands between a first heading (h1) and a region
+without one, and what lies nearer to a block of text outside than to the region. Without a region no
+mark counts.
 
 Null and empty pages give an empty text, pages without markup their text. Markup cut off at the end
 is read as far as it goes. Repeated rows are pages of their own.
@@ -55,14 +63,14 @@ WORD = re.compile(r"[^\W\d_]+")
 
 
 def _marks(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element is no part of an article, and how surely it is one (3 to 0)."""
+    """Whether an element is no part of an article, and whether it is one (2) or a main part (1)."""
     level = 2 if tag == "article" else 1 if tag == "main" else 0
     if not attributes:
         return tag in OUTSIDE, level
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     names = {w.lower() for k in ("class", "id", "role") for w in NAME.findall(found.get(k, ""))}
     if found.get("itemprop") == "articleBody":
-        level = 3
+        level = 2
     elif found.get("role") in ("main", "article"):
         level = max(level, 1 if found["role"] == "main" else 2)
     hidden = found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTRIBUTE.sub(" ", attributes))
@@ -70,19 +78,42 @@ def _marks(tag: str, attributes: str) -> tuple[bool, int]:
     return out and tag not in ("body", "html") and level < 2, level
 
 
+class Element:
+    """An element marked as an article (level 2) or main part (1); ``good`` counts characters found by stop words in it."""
+
+    __slots__ = ("tag", "level", "good")
+
+    def __init__(self, tag: str, level: int):
+        self.tag, self.level, self.good = tag, level, 0
+
+
 class Block:
-    """Text between block borders; label: 1 text, 0 boilerplate, None open."""
+    """Text between block borders; ``path`` has the marked elements around it, the outermost first; label: 1 text, 0 boilerplate, None open."""
+
+    __slots__ = ("text", "linked", "out", "path", "heading", "label")
 
-    __slots__ = ("text", "linked", "out", "level", "heading", "label")
+    def __init__(self, text: str, linked: int, out: bool, path: tuple[Element, ...], heading: str):
+        self.text, self.linked, self.out, self.path, self.heading, self.label = text, linked, out, path, heading, None
 
-    def __init__(self, text: str, linked: int, out: bool, level: int, heading: bool):
-        self.text, self.linked, self.out, self.level, self.heading, self.label = text, linked, out, level, heading, None
+    def judge(self) -> int | None:
+        """What links, length and stop words say."""
+        density = self.linked / len(self.text)
+        if density > LINKED or ("©" in self.text and len(self.text) < LONG):
+            return 0
+        if len(self.text) >= SHORT:
+            words = WORD.findall(self.text.lower())
+            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+            if stops >= STOP_HIGH or (stops >= STOP_LOW and len(self.text) >= LONG):
+                return 1
+            if stops < STOP_LOW and density > 0.2:
+                return 0
+        return None
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, boilerplate, level of article
+    stack: list[tuple[str, bool, tuple[Element, ...]]] = []  # element, boilerplate, marked elements around
     parts: list[str] = []
     linked = anchors = 0
 
@@ -91,9 +122,9 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                level = stack[-1][2] if stack else 0
-                heading = any(s[0] in HEADINGS for s in stack[-3:])
-                found.append(Block(text, min(linked, len(text)), bool(stack and stack[-1][1]), level, heading))
+                path = stack[-1][2] if stack else ()
+                heading = next((s[0] for s in stack[-3:] if s[0] in HEADINGS), "")
+                found.append(Block(text, min(linked, len(text)), bool(stack and stack[-1][1]), path, heading))
             parts.clear()
         linked = 0
 
@@ -147,42 +178,69 @@ def blocks(page: str) -> list[Block]:
             if block and stack and (stack[-1][0] in CLOSED_BY_BLOCK or (tag in SAME_CLOSES and stack[-1][0] == tag)):
                 stack.pop()
             out, level = _marks(tag, attributes)
-            above = stack[-1] if stack else ("", False, 0)
-            if tag == "header" and above[2] == 0:
+            above = stack[-1] if stack else ("", False, ())
+            if tag == "header" and not above[2]:
                 out = True
-            if block or out:
+            if block or out or level:
                 if not block:
                     end()
-                stack.append((tag, out or above[1], max(level, above[2])))
+                stack.append((tag, out or above[1], (*above[2], Element(tag, level)) if level else above[2]))
     end()
     return found
 
 
+def _region(found: list[Block]) -> set[Element]:
+    """The marked elements that hold the article, if any do."""
+    inside = [b for b in found if not b.out]
+    marked: dict[Element, tuple[Element, ...]] = {}
+    good = 0
+    for b in inside:
+        size = len(b.text) if b.label else 0
+        good += size
+        for i, e in enumerate(b.path):
+            marked.setdefault(e, b.path[:i])
+            e.good += size
+    if not good:
+        top = max((e.level for e in marked), default=0)
+        return {e for e in marked if e.level == top}
+    most = [e for e in marked if e.good * 2 > good]
+    if most:
+        least = max(most, key=lambda e: len(marked[e]))  # those that hold most lie inside each other
+        around = [e for e in marked[least] if e.level == 2]
+        return {around[-1] if around and least.level == 2 and least.tag != "article" else least}
+    for level in (2, 1):
+        together = {e for e in marked if e.level == level}
+        if 2 * sum(len(b.text) for b in inside if b.label and not together.isdisjoint(b.path)) > good:
+            return together
+    return set()
+
+
 def label(found: list[Block]) -> None:
     """Both passes, in place."""
-    marked = max((b.level for b in found if not b.out), default=0)
     for b in found:
-        density = b.linked / len(b.text)
-        if b.out or b.level < marked:
-            b.label = 0
-        elif density > LINKED and (not marked or len(b.text) < LONG):
-            b.label = 0
-        elif marked:
-            b.label = 1 if len(b.text) >= SHORT or b.heading or not b.linked else None
-        elif "©" in b.text and len(b.text) < LONG:
-            b.label = 0
-        elif len(b.text) >= SHORT:
-            words = WORD.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if stops >= STOP_HIGH or (stops >= STOP_LOW and len(b.text) >= LONG):
-                b.label = 1
-            elif stops < STOP_LOW and density > 0.2:
-                b.label = 0
-    decided = [b.label for b in found]
+        b.label = 0 if b.out else b.judge()
+    region = _region(found)
+    if region:
+        within = [not b.out and not region.isdisjoint(b.path) for b in found]
+        for b, w in zip(found, within, strict=True):
+            if w and (b.linked <= LINKED * len(b.text) or len(b.text) >= LONG):
+                b.label = 1 if len(b.text) >= SHORT or b.heading or not b.linked else None
+        first = within.index(True)
+        if not any(w and b.heading == "h1" for b, w in zip(found, within, strict=True)):
+            start = next((i for i in range(first) if found[i].heading == "h1" and found[i].label is None), first)
+            for b in found[start:first]:
+                b.label = 1 if b.label is None else b.label
+        # outside, the region itself is no neighbour that makes text
+        outer = [0 if w else b.label for b, w in zip(found, within, strict=True)]
+        _inherit(found, outer, [b.label is None and not w for b, w in zip(found, within, strict=True)])
+    _inherit(found, [b.label for b in found], [b.label is None for b in found])
+
+
+def _inherit(found: list[Block], decided: list[int | None], open_: list[bool]) -> None:
+    """Open blocks take the label of the nearest decided ones."""
     before, after = _nearest(decided), _nearest(decided[::-1])[::-1]
-    for i, b in enumerate(found):
-        if b.label is None:
-            (d, x), (e, y) = before[i], after[i]
+    for b, o, (d, x), (e, y) in zip(found, open_, before, after, strict=True):
+        if o:
             if x is None or y is None:
                 b.label = 1 if x is None and y is None else y if x is None else x
             else:

@@ -19,6 +19,20 @@ def test_unmarked_page():
     assert pages.main_text(page) == f"Title\n\n{body}\n\nShort one.\n\n{body}"
 
 
+def test_marks_are_one_sign_of_several():
+    body, card = " ".join(LONG.split()), "<article><h3><a href=/>Teaser</a></h3><p><a href=/>Read on</a></p></article>"
+    plain = f"<div><h1>Title</h1><p>{LONG}</p><p>Short one.</p><p>{LONG}</p></div>"
+    whole = f"Title\n\n{body}\n\nShort one.\n\n{body}"
+    assert pages.main_text(f"<body>{plain}{card}</body>") == whole
+    assert pages.main_text(f"<body><main>{plain}</main>{card}</body>") == whole
+    inner = f"<h1>Head</h1><p>The lead.</p><div itemprop=articleBody><p>{LONG}</p><p>Short one.</p></div>"
+    for around in ("article", "div", "main"):
+        assert pages.main_text(f"<body><p>Menu</p><{around}>{inner}</{around}><p>Imprint</p></body>").endswith(f"Head\n\nThe lead.\n\n{body}\n\nShort one.")
+    assert pages.main_text(f"<body><article><p>{LONG * 3}</p></article><div><p>{LONG}</p></div><p>End</p></body>").count(body) == 4
+    linked = "".join(f"<p><a href=/>{LONG}</a></p>" for _ in range(9))
+    assert pages.main_text(f"<body><article><p>{LONG}</p></article>{linked}</body>") == body
+
+
 def test_broken_markup():
     assert pages.main_text(None) == pages.main_text("") == pages.main_text("<!-- open") == pages.main_text("<script>x") == ""
     assert pages.main_text("just text, 1 < 2 &amp; so") == "just text, 1 < 2 & so"
