@@ -11,10 +11,16 @@ decision stay open; in the second pass they inherit the label of the nearest dec
 nearer one where those differ, the following one on equal distance for headings and the preceding one
 for others. Open blocks of a page without decided blocks are text.
 
+A form, or a name in class, id or role, does not make an element boilerplate that holds most of the
+page's text: of what stop words find and of all that links do not rule out; comments must hold all
+that stop words find, and beside an article or main part elsewhere that must be long. An article, main or articleBody inside ends the mark of a form or name around it
+where it holds most of the text itself, or the page has no text found by stop words and no mark elsewhere.
+Hidden elements and navigation, footers, asides, menus and dialogs by their element always count.
+
 An article, main or articleBody element is a sign besides. The region of a page is the smallest such
 element that holds most of the text found by stop words (for an articleBody the article around it);
-without one, all articles or all main parts where these do together; on a page where no block is
-found by stop words, all articles, or else all main parts. Undecided blocks inside the region are
+without one, all articles or all main parts where these do together, or hold most of all text that
+links do not rule out. Undecided blocks inside the region are
 text. Those outside are boilerplate, but for what stands between a first heading (h1) and a region
 without one, and what lies nearer to a block of text outside than to the region. Without a region no
 mark counts.
@@ -35,7 +41,7 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SKIPPED = frozenset("script style noscript template svg math iframe object embed applet canvas audio video select textarea button title noframes datalist".split())
 VOID = frozenset("area base br col hr img input link meta param source track wbr embed".split())
-OUTSIDE = frozenset("nav footer aside form menu dialog".split())
+OUTSIDE = frozenset("nav footer aside menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SAME_CLOSES = frozenset("li dd dt td th tr option".split())
@@ -43,6 +49,7 @@ SAME_CLOSES = frozenset("li dd dt td th tr option".split())
 ALWAYS_OUT = frozenset("ad ads advert adverts advertisement advertising promo promoted sponsor sponsored cookie cookies consent gdpr comment comments reply replies disqus respond sidebar breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended recommendations widget widgets navbar navigation complementary contentinfo banner search".split())
 OFTEN_OUT = frozenset("nav menu header footer foot masthead topbar toolbar notice notices alert disclaimer copyright legal tags meta byline aside skip links dialog".split())
 TEXT_WORDS = frozenset("content main article post entry story text body".split())
+COMMENTS = frozenset("comment comments reply replies disqus respond".split())
 #: Frequent words of the languages read most.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so what up its about into than them can only other"
@@ -62,11 +69,11 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element is no part of an article, and whether it is one (2) or a main part (1)."""
+def _marks(tag: str, attributes: str) -> tuple[bool, int, int]:
+    """Whether an element is surely no part of an article; by form or name perhaps none (1; comments 2); is one (2) or a main part (1)."""
     level = 2 if tag == "article" else 1 if tag == "main" else 0
     if not attributes:
-        return tag in OUTSIDE, level
+        return tag in OUTSIDE, int(tag == "form"), level
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     names = {w.lower() for k in ("class", "id", "role") for w in NAME.findall(found.get(k, ""))}
     if found.get("itemprop") == "articleBody":
@@ -74,21 +81,23 @@ def _marks(tag: str, attributes: str) -> tuple[bool, int]:
     elif found.get("role") in ("main", "article"):
         level = max(level, 1 if found["role"] == "main" else 2)
     hidden = found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", ATTRIBUTE.sub(" ", attributes))
-    out = tag in OUTSIDE or bool(hidden) or bool(names & ALWAYS_OUT) or bool(names & OFTEN_OUT and not names & TEXT_WORDS)
-    return out and tag not in ("body", "html") and level < 2, level
+    if tag in ("body", "html") or level == 2:
+        return False, 0, level
+    named = bool(names & ALWAYS_OUT) or bool(names & OFTEN_OUT and not names & TEXT_WORDS)
+    return tag in OUTSIDE or bool(hidden), 2 if names & COMMENTS else int(named or tag == "form"), level
 
 
 class Element:
-    """An element marked as an article (level 2) or main part (1); ``good`` counts characters found by stop words in it."""
+    """An element marked as an article (level 2) or main part (1), or perhaps boilerplate (doubt 1; comments 2); ``good`` counts characters found by stop words in it, ``plain`` those not ruled out."""
 
-    __slots__ = ("tag", "level", "good")
+    __slots__ = ("tag", "doubt", "level", "good", "plain")
 
-    def __init__(self, tag: str, level: int):
-        self.tag, self.level, self.good = tag, level, 0
+    def __init__(self, tag: str, doubt: int, level: int):
+        self.tag, self.doubt, self.level, self.good, self.plain = tag, doubt, level, 0, 0
 
 
 class Block:
-    """Text between block borders; ``path`` has the marked elements around it, the outermost first; label: 1 text, 0 boilerplate, None open."""
+    """Text between block borders; ``path`` has the elements around it that have a mark, the outermost first; label: 1 text, 0 boilerplate, None open."""
 
     __slots__ = ("text", "linked", "out", "path", "heading", "label")
 
@@ -177,48 +186,79 @@ def blocks(page: str) -> list[Block]:
         elif tag not in VOID and not attributes.endswith("/"):
             if block and stack and (stack[-1][0] in CLOSED_BY_BLOCK or (tag in SAME_CLOSES and stack[-1][0] == tag)):
                 stack.pop()
-            out, level = _marks(tag, attributes)
+            out, doubt, level = _marks(tag, attributes)
             above = stack[-1] if stack else ("", False, ())
-            if tag == "header" and not above[2]:
+            if tag == "header" and not any(e.level for e in above[2]):
                 out = True
-            if block or out or level:
+            if block or out or doubt or level:
                 if not block:
                     end()
-                stack.append((tag, out or above[1], (*above[2], Element(tag, level)) if level else above[2]))
+                stack.append((tag, out or above[1], (*above[2], Element(tag, doubt, level)) if doubt or level else above[2]))
     end()
     return found
 
 
+def _measure(found: list[Block]) -> tuple[int, int]:
+    """Counts good and plain of elements; those of the page."""
+    for b in found:
+        for e in b.path:
+            e.good = e.plain = 0
+    good = plain = 0
+    for b in found:
+        if b.label != 0:
+            size, sure = len(b.text), len(b.text) if b.label else 0
+            good, plain = good + sure, plain + size
+            for e in b.path:
+                e.good, e.plain = e.good + sure, e.plain + size
+    return good, plain
+
+
+def _settle(found: list[Block]) -> None:
+    """Blocks in what forms or names make boilerplate are out, unless most of the text stands there."""
+    inside = [b for b in found if not b.out]
+    if not any(e.doubt for b in inside for e in b.path):
+        return
+    good, plain = _measure(inside)
+    clear = [b for b in inside if not any(e.doubt for e in b.path)]
+    marked = any(e.level for b in clear for e in b.path)
+    free = marked or any(b.label for b in clear)
+    for b in inside:
+        for e in b.path:
+            most = (2 * e.good > good or not good) and 2 * e.plain > plain
+            if e.doubt and not (e.level and most):
+                b.out = b.out or not most or (marked and e.good < LONG) or (e.doubt == 2 and e.good < good)
+            elif e.level and (most or not free):
+                b.out = False
+        if b.out:
+            b.label = 0
+
+
 def _region(found: list[Block]) -> set[Element]:
     """The marked elements that hold the article, if any do."""
     inside = [b for b in found if not b.out]
-    marked: dict[Element, tuple[Element, ...]] = {}
-    good = 0
-    for b in inside:
-        size = len(b.text) if b.label else 0
-        good += size
-        for i, e in enumerate(b.path):
-            marked.setdefault(e, b.path[:i])
-            e.good += size
-    if not good:
-        top = max((e.level for e in marked), default=0)
-        return {e for e in marked if e.level == top}
-    most = [e for e in marked if e.good * 2 > good]
+    good, plain = _measure(inside)
+    marked = {e: [x for x in b.path[:i] if x.level] for b in inside for i, e in enumerate(b.path) if e.level}
+    most = [e for e in marked if 2 * e.good > good]
     if most:
         least = max(most, key=lambda e: len(marked[e]))  # those that hold most lie inside each other
         around = [e for e in marked[least] if e.level == 2]
         return {around[-1] if around and least.level == 2 and least.tag != "article" else least}
-    for level in (2, 1):
-        together = {e for e in marked if e.level == level}
-        if 2 * sum(len(b.text) for b in inside if b.label and not together.isdisjoint(b.path)) > good:
-            return together
-    return set()
+    for total, sure in ((good, True), (plain, False)):
+        for level in (2, 1):
+            together = {e for e in marked if e.level == level}
+            held = sum(len(b.text) for b in inside if (b.label if sure else b.label != 0) and not together.isdisjoint(b.path))
+            if together and 2 * held > total:
+                return together
+    if good:
+        return set()
+    return {e for e in marked if e.level == max(x.level for x in marked)}
 
 
 def label(found: list[Block]) -> None:
     """Both passes, in place."""
     for b in found:
         b.label = 0 if b.out else b.judge()
+    _settle(found)
     region = _region(found)
     if region:
         within = [not b.out and not region.isdisjoint(b.path) for b in found]

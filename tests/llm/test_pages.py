@@ -32,6 +32,26 @@ def test_marks_are_one_sign_of_several():
     linked = "".join(f"<p><a href=/>{LONG}</a></p>" for _ in range(9))
     assert pages.main_text(f"<body><article><p>{LONG}</p></article>{linked}</body>") == body
 
+    words, notice = "слово и дело " * 20, "<p>This is what we do with all of it, and you can say no to it at any time.</p>"
+    page = f'<body>{notice}<article><p>{words}</p><p>{words}</p><p>{words}</p></article><div>© 2020 A Company</div></body>'
+    assert pages.main_text(page).count(words.strip()) == 3
+
+
+def test_wrappers_of_the_text_are_no_boilerplate():
+    body = " ".join(LONG.split())
+    for inner, text in ((f"<article><h1>Head</h1><p>Short.</p><p>{LONG}</p></article>", f"Head\n\nShort.\n\n{body}"), ("<article><h1>Head</h1><p>Short.</p></article>", "Head\n\nShort."), (f"<p>{LONG}</p><p>{LONG}</p>", f"{body}\n\n{body}"), ("<main><p>Short.</p></main>", "Short.")):
+        for wrapper in ('<div class="content with-sidebar">', '<div id="modal-root">', '<div class="has-banner">', "<form method=post>", '<form class="has-comments"><div id="modal-root">', '<section class="post has-comments">'):
+            page = f'<body>{wrapper}<nav><a href="/">Home</a></nav>{inner}<div class="ad">Buy now.</div></body>'
+            assert pages.main_text(page) == text, page
+    page = f'<body><article><p>{LONG}</p><p>{LONG}</p></article><div class="related"><article><p>{LONG}</p></article></div><div id="comments"><p>{LONG}</p></div><form><p>{LONG}</p></form></body>'
+    assert pages.main_text(page) == f"{body}\n\n{body}"
+    assert pages.main_text(f'<body><p>{LONG}</p><div id="comments"><p>{LONG}</p><p>{LONG}</p></div><div style="display: none"><article>{LONG * 9}</article></div></body>') == body
+
+    junk = "Reed Reed Reed Reed " * 30
+    assert pages.main_text(f'<body><div class="ad">{body}</div><article><p>{junk}</p><p>{junk}</p></article></body>') == "\n\n".join([junk.strip()] * 2)
+
+    assert pages.main_text('<body><div class="ad">It is the best of all that there is for you, and now you can have it at home.</div><article><p>Junk.</p></article></body>') == "Junk."
+
 
 def test_broken_markup():
     assert pages.main_text(None) == pages.main_text("") == pages.main_text("<!-- open") == pages.main_text("<script>x") == ""
