@@ -1,7 +1,9 @@
 """Main text of web pages by two passes over their blocks.
 
 A page is read as a stream of tags and text. Block elements end blocks; white space in a block
-becomes one space. Scripts, styles and form controls are skipped.
+becomes one space. Scripts, styles and form controls are skipped. Only an element whose content is no
+markup (script, style, textarea, title) reaches to the end of the page without its closing tag; others
+end with the element around them or, if no closing tag of theirs follows, at the next block border.
 
 The first pass decides what a block's own figures decide. Blocks inside navigation, footers, side
 bars, forms, notices, adverts or comments (by element, role, class or id) are boilerplate. Length,
@@ -39,7 +41,9 @@ from pyspark.sql import functions as F
 
 #: Elements by their role in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-SKIPPED = frozenset("script style noscript template svg math iframe object embed applet canvas audio video select textarea button title noframes datalist".split())
+RAW = frozenset("script style textarea title iframe noframes".split())
+SKIPPED = frozenset("noscript template svg math object applet canvas audio video select button datalist".split())
+NESTED = frozenset("svg math object template".split())
 VOID = frozenset("area base br col hr img input link meta param source track wbr embed".split())
 OUTSIDE = frozenset("nav footer aside menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -62,6 +66,7 @@ SHORT, LONG = 70, 200
 LINKED = 0.5
 STOP_LOW, STOP_HIGH = 0.15, 0.3
 
+LOWER = {ord(c): ord(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|$)")
 OTHER = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?/][^>]*+(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -125,6 +130,23 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, tuple[Element, ...]]] = []  # element, boilerplate, marked elements around
     parts: list[str] = []
     linked = anchors = 0
+    muted: int | None = None  # the place in the stack of a skipped element
+    loose = False  # in a skipped element without a closing tag
+    closings: dict[str, int] = {}
+    low = ""
+
+    def unclosed(tag: str, at: int) -> bool:
+        """Whether no closing tag of a skipped element follows (before the next of its kind opens)."""
+        nonlocal low
+        if tag not in closings:
+            low = low or page.translate(LOWER)
+            closings[tag] = low.rfind(f"</{tag}")
+        if closings[tag] < at:
+            return True
+        if tag in NESTED:
+            return False
+        following = re.compile(rf"<(/?){tag}(?![^\s/>])", re.I).search(page, at)
+        return following is None or not following[1]
 
     def end() -> None:
         nonlocal linked
@@ -142,9 +164,10 @@ def blocks(page: str) -> list[Block]:
         opening = page.find("<", at)
         if opening != at:
             run = page[at : opening if opening >= 0 else size]
-            parts.append(run)
-            if anchors:
-                linked += len(run.strip())
+            if muted is None and not loose:
+                parts.append(run)
+                if anchors:
+                    linked += len(run.strip())
             if opening < 0:
                 break
             at = opening
@@ -152,25 +175,55 @@ def blocks(page: str) -> list[Block]:
         if m is None:
             m = OTHER.match(page, at)
             if m is None:  # a lone sign
-                parts.append("&lt;")
+                if muted is None and not loose:
+                    parts.append("&lt;")
                 at += 1
             else:
-                if m[0].startswith("<![CDATA["):
+                if m[0].startswith("<![CDATA[") and muted is None and not loose:
                     parts.append(html.escape(m[0][9:].removesuffix("]]>")))
                 at = m.end()
             continue
         at = m.end()
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         tag = tag.lower()
-        if tag in SKIPPED and not closing:
+        if tag in RAW and not closing:
             if not attributes.endswith("/"):
                 over = re.compile(rf"</{re.escape(tag)}\s*+>?", re.I).search(page, at)
                 at = over.end() if over else size
             continue
+        if muted is not None:  # only what is skipped inside it, its own end or that of an element around it count
+            if closing:
+                place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+                if place >= muted:
+                    del stack[place:]
+                    if place == muted:
+                        muted = None
+                    continue
+                if place < 0:
+                    continue
+                del stack[muted:]
+                muted = None
+            elif tag in BLOCKS and stack[muted][0] in ("svg", "math") and not any(s[0] == "foreignobject" for s in stack[muted:]):
+                del stack[muted:]  # neither has such elements: it lacks its end
+                muted = None
+            else:
+                if tag not in VOID and not attributes.endswith("/"):
+                    stack.append((tag, *stack[-1][1:]))
+                continue
+        elif tag in SKIPPED and not closing:
+            if not attributes.endswith("/"):
+                if unclosed(tag, at):
+                    loose = True
+                else:
+                    muted = len(stack)
+                    stack.append((tag, *(stack[-1][1:] if stack else (False, ()))))
+            continue
         if tag == "br":
+            loose = False
             parts.append(" ")
             continue
         block = tag in BLOCKS
+        loose = loose and not block
         if block:
             end()
         if tag == "a":

@@ -62,6 +62,19 @@ def test_broken_markup():
     assert pages.main_text("</p></div>x<td>y</table>z") == "x\n\ny\n\nz"
 
 
+def test_skipped_elements_without_an_end():
+    for tag in "button select svg math object canvas audio video datalist noscript template embed".split():
+        for bad in (f"<{tag}>", f"<div><{tag}></div>", f"<div><{tag}><b></b></div>", f"<{tag}><{tag} id=a>"):
+            assert pages.main_text(f"<body>{bad}<article><p>One</p><p>Two</p></article></body>") == "One\n\nTwo", bad
+            assert pages.main_text(f"<body><article><p>One</p>{bad}<p>Two</p></article></body>") == "One\n\nTwo", bad
+        if tag != "embed":
+            assert pages.main_text(f"<article><p>One <{tag}><i>x</i>{'' if tag in ('svg', 'math') else '<p>y</p>'}< z <br></{tag.upper()}> two</p><p>Three</p></article>") == "One two\n\nThree"
+            assert pages.main_text(f"<article><div><{tag}>x</div><p>One</p></article><p><{tag}>x</{tag}></p>") == "One"
+    assert pages.main_text("<article><p>One<svg><title>x</title><svg>x</svg>x</svg> two</p><button>x<p>Three<button>x</button></article>") == "One two\n\nThree"
+    assert pages.main_text("<article><svg><path><p>One</p><svg><foreignObject><p>x</p></foreignObject></svg><p>Two</p></article>") == "One\n\nTwo"
+    assert pages.main_text("<p>One</p><object>" + "<object>" * 20_000 + "<p>Two</p>") == "One\n\nTwo"
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "clash"), (1, "u", None, "clash"), (None, None, "<article><p>ü</p></article>", "c")], "page_id long, url string, html string, text string")
     rows = pages.extract(df, ["page_id", "url"]).collect()
