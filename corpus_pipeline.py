@@ -1,5 +1,9 @@
-"""From raw documents to packed sequences: drop toxic and poor documents, frequent lines and near copies, then pack."""
+"""From raw documents to packed sequences: drop toxic and poor documents, frequent lines and near copies, then pack.
 
+A stage whose model found nothing to learn from (no labels, or of one kind only) warns and keeps all documents.
+"""
+
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +17,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     usable = labelled.remainder("doc_id", toxicity.FOLDS) != toxicity.HELD_OUT
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), usable)
+    if not model.learned:
+        warnings.warn("toxicity: nothing to learn from, all documents are kept", stacklevel=2)
+        return docs
     return model.scores(docs, also=[c for c in docs.columns if c != "doc_id"]).filter("score < 0.5").select(docs.columns)
 
 
@@ -20,6 +27,9 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model does not reject."""
     usable = labelled.remainder("doc_id", quality.FOLDS) != quality.HELD_OUT
     model = quality.fit(docs, read(spark, sf_dir, "labels"), usable)
+    if not model.learned:
+        warnings.warn("quality: nothing to learn from, all documents are kept", stacklevel=2)
+        return docs
     return model.scores(docs, also=[c for c in docs.columns if c != "doc_id"]).filter(F.col("score") >= quality.THRESHOLD).select(docs.columns)
 
 

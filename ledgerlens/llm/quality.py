@@ -8,8 +8,8 @@ has a shape of its own).
 
 The sample has at most ``rows`` labelled documents and n-grams found in fewer than ``least`` of them
 are left out, which bounds the model; every document is scored over its whole text. Null and empty
-texts have no n-grams and get the score of the bias alone. Without labels of both kinds the score is
-the share of label 1 (0 without labels).
+texts have no n-grams and get the score of the bias alone. Without labels of both kinds, or n-grams
+that enough documents share, the score is the share of label 1 (0 without labels).
 """
 
 import math
@@ -121,6 +121,7 @@ class Model:
 
     def __init__(self, weights: dict, bias: float = 0.0, slope: float = 1.0, offset: float = 0.0, constant: float | None = None):
         self.weights, self.bias, self.slope, self.offset, self.constant = weights, bias, slope, offset, constant
+        self.learned = constant is None
 
     def scores(self, docs: DataFrame, key: str = "doc_id", text: str = "text", also: list[str] = ()) -> DataFrame:
         """key, ``also``, score of every row."""
@@ -152,6 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = ROWS, le
     table = stored(counts.filter(F.col("n") >= least), "quality_counts")
     # bounded by the sample: rows of at most ``rows`` documents, n-grams that ``least`` of them share
     known = {r.gram: (i, r.good, r.n - r.good) for i, r in enumerate(table.orderBy("gram").toLocalIterator())}
+    if not known:
+        return Model({}, constant=float(kinds[2]))
     good, poor = (np.array([k[j] for k in known.values()]) + 1.0 for j in (1, 2))
     ratios = np.log((good / good.sum()) / (poor / poor.sum()))
     usable_rows = grams.select("label", F.array_sort("grams").alias("grams"), F.xxhash64("grams").alias("h")).orderBy("h", "label")

@@ -117,6 +117,7 @@ class Model:
 
     def __init__(self, lexicon, trees=None, isotonic=None, constant: float = 0.0):
         self.lexicon, self.trees, self.isotonic, self.constant = lexicon, trees, isotonic, constant
+        self.learned = trees is not None
 
     def scores(self, docs: DataFrame, key: str = "doc_id", text: str = "text", also: list[str] = ()) -> DataFrame:
         """key, ``also``, score of every row."""

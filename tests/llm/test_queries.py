@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
@@ -76,3 +77,19 @@ def test_pipeline_over_messy_rows(spark, messy):
             current = stage(spark, current, SF)
             assert current.columns == start.columns
         assert corpus_pipeline.STAGES[-1][1](spark, current, SF).count() >= 0
+
+
+@pytest.mark.parametrize(("module", "stage"), [(toxicity, corpus_pipeline.drop_toxic), (quality, corpus_pipeline.drop_poor)])
+def test_filters_keep_all_without_a_model(spark, monkeypatch, module, stage):
+    docs = spark.createDataFrame([(i, f"clean text {i}", "en", "s", 12) for i in range(20)] + [(None, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    same = [(i, 0, 1) for i in range(20)]
+    for rows in ([], same, [(i, 1 - q, 1 - t) for i, q, t in same], [(500, 0, 1), (501, 1, 0)]):
+        monkeypatch.setattr(corpus_pipeline, "read", lambda *_, rows=rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int"))
+        with pytest.warns(UserWarning, match="nothing to learn from"):
+            out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
+    few = spark.createDataFrame([(i, f"w{i}" if i else "v", "en", "s", 2) for i in range(4)], docs.schema)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    assert quality.fit(few, labels, F.lit(True), least=9).learned is False
+    assert module.fit(few, labels.limit(0), F.lit(True)).learned is False
