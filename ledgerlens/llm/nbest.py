@@ -16,12 +16,14 @@ Null and empty texts have no pieces and one segmentation of score 0. Of equal sc
 first; the order is the same in every run.
 """
 
+import hashlib
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,8 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 KEPT_UNITS = 400_000
+#: Ids in a batch of results, about.
+BATCH_IDS = 2_000_000
 N = 4
 
 
@@ -91,6 +95,16 @@ class Vocabulary:
             out.extend([i] if i >= 0 else [self.bytes.get(b, 0) for b in text[begin].encode("utf-8", "surrogatepass")])
         return out
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids; undoes any segmentation."""
+        text = "".join(map(self.pieces.__getitem__, ids))
+        if "<0x" in text:  # bytes, unless these are the text's own characters
+            out, values = [], {i: b for b, i in self.bytes.items()}
+            for i in ids:
+                out.append(bytes([values[i]]) if i in values else self.pieces[i].encode())
+            text = b"".join(out).decode("utf-8", "replace")
+        return text.removeprefix(MARK).replace(MARK, " ")
+
 
 def forward(ends: list) -> list[float]:
     """Best score of every prefix."""
@@ -175,8 +189,8 @@ class Segmenter:
             kept = self.units[unit] = best_and_loss(self.vocabulary, unit)
         return kept
 
-    def __call__(self, text: str) -> tuple[list[float], list[int], dict[int, list[list[int]]], list[tuple]]:
-        """Scores of the n best, ids of the best, the units that may differ, and which alternative each segmentation takes there."""
+    def _found(self, text: str) -> tuple[list[float], list[list[int]], dict[int, list[list[int]]], list[tuple]]:
+        """Scores of the n best, ids of each unit's best, the units that may differ, and which alternative each segmentation takes there."""
         units = self.vocabulary.units(text)
         kept = list(map(self.unit, units))
         total = sum(k[0] for k in kept)
@@ -185,45 +199,116 @@ class Segmenter:
         for _, i in sorted(near, key=lambda x: x[1]):
             others = self.several(units[i])
             options[i] = [ids for _, ids in others]
+            if kept[i][1] in options[i] and kept[i][1] != options[i][0]:  # of equal score
+                options[i].remove(kept[i][1])
+                options[i].insert(0, kept[i][1])
             merged = ((loss + others[0][0] - score, (*taken, (i, k))) for loss, taken in chosen for k, (score, _) in enumerate(others))
             chosen = heapq.nsmallest(self.n, merged)
-        return [total - loss for loss, _ in chosen], list(chain.from_iterable(k[1] for k in kept)), options, [taken for _, taken in chosen]
+        return [total - loss for loss, _ in chosen], [k[1] for k in kept], options, [taken for _, taken in chosen]
+
+    def __call__(self, text: str) -> tuple[list[float], list[int], dict[int, list[list[int]]], list[tuple]]:
+        """Scores of the n best, ids of the best, the units that may differ, and which alternative each segmentation takes there."""
+        scores, units, options, taken = self._found(text)
+        return scores, list(chain.from_iterable(units)), options, taken
+
+    def every(self, text: str) -> tuple[list[float], list[array]]:
+        """Scores and ids of the n best segmentations."""
+        scores, units, options, taken = self._found(text)
+        best, out = array("i", chain.from_iterable(units)), []
+        starts = list(accumulate(map(len, units), initial=0))
+        for choice in taken:
+            ids, at = array("i"), 0
+            for i, k in choice:
+                ids += best[at : starts[i]]
+                ids.extend(options[i][k])
+                at = starts[i + 1]
+            out.append(ids + best[at:])
+        return scores, out
 
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text (score, ids)."""
-        scores, _, options, taken = self(text)
-        units = self.vocabulary.units(text)
-        return [(s, list(chain.from_iterable(options[i][dict(t)[i]] if i in options else self.unit(u)[1] for i, u in enumerate(units)))) for s, t in zip(scores, taken, strict=True)]
+        return [(s, ids.tolist()) for s, ids in zip(*self.every(text), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; undoes any segmentation."""
-        text = "".join(map(self.vocabulary.pieces.__getitem__, ids))
-        if "<0x" in text:  # bytes, unless these are the text's own characters
-            out, values = [], {i: b for b, i in self.vocabulary.bytes.items()}
-            for i in ids:
-                out.append(bytes([values[i]]) if i in values else self.vocabulary.pieces[i].encode())
-            text = b"".join(out).decode("utf-8", "replace")
-        return text.removeprefix(MARK).replace(MARK, " ")
+        return self.vocabulary.decode(ids)
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
-    """key, n_chars, n_pieces, ids_crc32 (of the best), scores (array of the n best, falling), decoded_sha256 of every row."""
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_chars long, n_pieces long, ids_crc32 long, scores array<double>, decoded string"
+def _nested(rows: list[list[array]]) -> pa.Array:
+    """array<array<int>> of ids."""
+    lists = list(chain.from_iterable(rows))
+    flat = array("i")
+    for ids in lists:
+        flat += ids
+    inner = pa.array(array("i", accumulate(map(len, lists), initial=0)), pa.int32())
+    outer = pa.array(array("i", accumulate(map(len, rows), initial=0)), pa.int32())
+    values = pa.Array.from_buffers(pa.int32(), len(flat), [None, pa.py_buffer(flat)])
+    return pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, values))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import array
 
+def _segmented(docs: DataFrame, model: str, key: str, text: str, n: int, columns: dict[str, tuple]) -> DataFrame:
+    """key and ``columns`` of every row: name -> (type, function of segmenter, content, scores and ids; None for the ids)."""
+    schema = ", ".join([f"`{key}` {docs.schema[key].dataType.simpleString()}", *(f"{c} {t}" for c, (t, _) in columns.items())])
+    arrow = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = Segmenter(Vocabulary.load(model), n)
         for batch in batches:
-            out = []
-            for value in batch.column(1):
+            start, held, out = 0, 0, {c: [] for c in columns}
+            for row, value in enumerate(batch.column(1), 1):
                 content = value.as_py() or ""
-                scores, ids, _, _ = segment(content)
-                out.append((len(content), len(ids), zlib.crc32(array.array("I", ids).tobytes()), scores, segment.decode(ids)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.string()]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, "n_chars", "n_pieces", "ids_crc32", "scores", "decoded"])
-
-    found = docs.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
-    return found.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+                scores, ids = segment.every(content)
+                for c, (_, value_of) in columns.items():
+                    out[c].append(ids if value_of is None else value_of(segment, content, scores, ids))
+                held += sum(map(len, ids))
+                if held >= BATCH_IDS or row == batch.num_rows:
+                    arrays = [_nested(out[c]) if f is None else pa.array(out[c], arrow[t]) for c, (t, f) in columns.items()]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, row - start), *arrays], names=[key, *columns])
+                    start, held, out = row, 0, {c: [] for c in columns}
+
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
+
+
+def _hash(segment: Segmenter, ids: array) -> str:
+    return hashlib.sha256(segment.decode(ids).encode("utf-8", "replace")).hexdigest()
+
+
+#: What both operators say of a row: name -> (type, function).
+BEST = {
+    "n_chars": ("long", lambda segment, content, scores, ids: len(content)),
+    "n_pieces": ("long", lambda segment, content, scores, ids: len(ids[0])),
+    "ids_crc32": ("long", lambda segment, content, scores, ids: zlib.crc32(ids[0].tobytes())),
+    "scores": ("array<double>", lambda segment, content, scores, ids: scores),
+}
+
+
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
+    """key, n_chars, n_pieces, ids_crc32 and decoded_sha256 (of the best), scores and ids (arrays of the n best, falling) of every row."""
+    columns = BEST | {"ids": ("array<array<int>>", None), "decoded_sha256": ("string", lambda segment, content, scores, ids: _hash(segment, ids[0]))}
+    return _segmented(docs, model, key, text, n, columns)
+
+
+def summary(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
+    """As ``encode``; in place of ids, all_n_pieces, all_ids_crc32 and all_decoded_sha256: arrays of the n best.
+
+    The ids are decoded where they are found, so they need not leave the task.
+    """
+    columns = BEST | {
+        "all_n_pieces": ("array<long>", lambda segment, content, scores, ids: list(map(len, ids))),
+        "all_ids_crc32": ("array<long>", lambda segment, content, scores, ids: [zlib.crc32(i.tobytes()) for i in ids]),
+        "all_decoded_sha256": ("array<string>", lambda segment, content, scores, ids: [_hash(segment, i) for i in ids]),
+    }
+    return _segmented(docs, model, key, text, n, columns).withColumn("decoded_sha256", F.get("all_decoded_sha256", F.lit(0)))
+
+
+def decode(rows: DataFrame, model: str, keep: list[str], ids: str = "ids") -> DataFrame:
+    """``keep`` and decoded, the texts of ``ids`` (array<array<int>>) of every row; null where ids are null."""
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", decoded array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary.load(model)
+        for batch in batches:
+            texts = [None if v is None else [None if i is None else vocabulary.decode(i) for i in v] for v in (x.as_py() for x in batch.column(len(keep)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.list_(pa.string()))], names=[*keep, "decoded"])
+
+    return rows.select(*keep, F.col(ids).alias("__ids")).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nbest.encode(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return nbest.summary(read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,27 @@ def test_rows(messy, nothing):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     empty = rows.filter("doc_id = 3").first()
     assert (empty.n_pieces, empty.scores) == (0, [0.0])
+
+
+def test_ids_of_all_segmentations(messy, nothing, monkeypatch):
+    import hashlib
+    import zlib
+    from array import array
+
+    monkeypatch.setattr(nbest, "BATCH_IDS", 10)
+    model = tokenizer("piece_bpe_32k.model")
+    segmenter = nbest.Segmenter(nbest.Vocabulary.load(model))
+    found, short = nbest.encode(messy, model), nbest.summary(messy, model)
+    assert found.schema["ids"].dataType.simpleString() == "array<array<int>>"
+    assert short.count() == messy.count() and nbest.summary(nothing, model).count() == 0
+    texts = sorted((r.doc_id or -1, r.text or "") for r in messy.collect())
+    rows = sorted(found.collect(), key=lambda r: (r.doc_id or -1, r.n_chars))
+    for (_, text), r, q in zip(texts, rows, sorted(short.collect(), key=lambda r: (r.doc_id or -1, r.n_chars)), strict=True):
+        assert list(zip(r.scores, r.ids, strict=True)) == segmenter.segmentations(text)
+        assert len(r.ids) == (nbest.N if len(text) > 4 and text.strip() else len(r.scores)) == len({tuple(i) for i in r.ids})
+        assert (r.n_pieces, r.n_pieces, r.scores) == (len(r.ids[0]), q.n_pieces, q.scores)
+        assert q.all_n_pieces == list(map(len, r.ids)) and q.ids_crc32 == r.ids_crc32 == q.all_ids_crc32[0]
+        assert q.all_ids_crc32 == [zlib.crc32(array("i", i).tobytes()) for i in r.ids]
+        assert q.all_decoded_sha256 == [hashlib.sha256(text.encode()).hexdigest()] * len(r.ids) and q.decoded_sha256 == r.decoded_sha256
+    decoded = nbest.decode(found, model, ["doc_id"]).collect()
+    assert sorted((r.doc_id or -1, d) for r in decoded for d in r.decoded) == sorted((i, t) for (i, t), r in zip(texts, rows, strict=True) for _ in r.ids)
