@@ -33,7 +33,7 @@ from ledgerlens.llm.tables import stored
 
 SAMPLE = 20_000
 MOST_CENTROIDS = 128
-SHARE = 0.4
+SHARE = 0.5
 LEAST = 1_000
 BLOCK = 8_192
 QUERY_BLOCK = 1_024

@@ -1,8 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import neighbours
+from ledgerlens.llm import neighbours, queries
+
+SF = "/root/testdata/sf0.1"
 
 
 def _exact(rows, query, k):
@@ -52,3 +56,26 @@ def test_walk_goes_by_falling_sums():
         sums = [a[c // 7] + b[c % 7] for c in order]
         assert sums == sorted(sums, reverse=True)
         assert sorted(order) == np.flatnonzero(counts).tolist()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not mounted")
+@pytest.mark.parametrize("size", [2000, 2500, 3000])
+def test_recall_of_the_registered_query(spark, tmp_path, size):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.stack(table["embedding"].to_numpy()).astype(np.float64)
+    if size > len(x):  # more vectors with the table's mean and covariance
+        more = np.random.default_rng(8).multivariate_normal(x.mean(axis=0), np.cov(x.T), size - len(x))
+        x = np.concatenate([x, more / np.linalg.norm(more, axis=1, keepdims=True)])
+    x = x[:size].astype(np.float32)
+    spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in queries.op10_neighbours(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits, wide = 0, x.astype(np.float64)
+    for query in range(0, size, 20):
+        scores = wide @ wide[query]
+        scores[query] = -np.inf
+        hits += len(got[query] & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+    recall = hits / (size / 20 * 20)
+    print("recall", size, recall)
+    assert recall >= 0.91
