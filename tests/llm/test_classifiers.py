@@ -2,8 +2,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerlens.llm import quality, toxicity
+from ledgerlens.llm import labelled, quality, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +61,11 @@ def test_features():
     assert values[0] > 0 and values[2] > 0 and values[4] > 0 and values[6] > 0 and values[13] > 0
     assert toxicity.features("", frozenset(), frozenset()) == [0.0] * toxicity.FEATURES
     assert quality.shape("THE!!!!") == "X!!" and quality.shape("Él,") == "Xx," and quality.shape("ab12") == "x9"
+
+
+def test_sample_has_one_row_for_each_key(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 50}") for i in range(300)] + [(2, None), (2, None), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    drawn = [sorted(map(tuple, labelled.sample(d, labels, "quality", F.lit(True), 3).collect())) for d in (docs, docs.repartition(7))]
+    assert drawn[0] == drawn[1] and [(r[0], r[2]) for r in drawn[0]] == [(1, 1.0), (2, 0.0), (3, 1.0)]
+    assert len(labelled.sample(docs, labels, "quality", F.lit(True), 2).collect()) == 2
