@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import fingerprints, linededup, nbest, neighbours, packing, pages, quality, simhash, tokencount, toxicity
-from ledgerlens.llm.tables import read, tokenizer
+from ledgerlens.llm import crosstokens, fingerprints, linededup, multiindex, nbest, neighbours, packing, pages, quality, ranked, simhash, tokencount, toxicity
+from ledgerlens.llm.tables import read, stored, tokenizer
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,21 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = crosstokens.align(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    kept = stored(aligned.select("doc_id", "n_a", "n_b", F.size("ends").cast("long").alias("n_groups"), digest, "pairs", "links"), "aligned")
+    return crosstokens.agreement(kept).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_line_dedup": op2_line_dedup,
@@ -61,4 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_neighbours": op10_neighbours,
+    "op11_vector_dedup": op11_vector_dedup,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_cross_tokens": op13_cross_tokens,
 }
