@@ -9,8 +9,8 @@ Where a token of A and one of B end together, a group ends; tokens that end toge
 full tokenization, anchors are the byte offsets at which both tokenizers start a token that begins with a
 space; each is verified to be a shared end. Both tokenizers start anew at a single space before a visible
 character, so tokenization itself goes word by word with a memo; the ids are those of the whole text. Anchors cut a document into windows of a few token ids, and the
-alignment of a window depends on its ids alone, so it is memoised by both tuples of ids (packed). The memo
-is bounded by entries of bounded length, and a window of more than ``LONG`` bytes of ids is aligned without it.
+alignment of a window depends on its ids alone, so it is memoised by both tuples of ids (packed as one key). The memo
+is bounded by entries of bounded length, and a window of more than ``LONG`` bytes of ids is not kept.
 
 A pair of ids counts, over the corpus, as many links as hold it. Links of a document are added up to one
 number for each pair before anything is shuffled, and pairs are added up again on the map side. The counts
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.tables import stored
 
-#: Bounds of both memos: entries of a generation, and the longest word (characters) and window (bytes of A's ids) kept.
-WORDS = 100_000
-WINDOWS = 75_000
+#: Bounds of both memos: entries of a generation, and the longest word (characters) and window (bytes of its ids) kept.
+WORDS = 200_000
+WINDOWS = 120_000
 LONG_WORD = 64
-LONG = 128
+LONG = 160
 CHUNK = 64
 BROADCAST_PAIRS = 2_000_000
 #: A space after no space and before a character that is no white space (U+007F to U+00A0 are left out whole).
@@ -90,7 +90,7 @@ class Aligner:
         self.windows = Memo(WINDOWS)
         #: Every id in decimal with the sign after it, inside a group and at the end of its part.
         self.shown = [f"{i}{end}" for table, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for i in range(len(table)) for end in ends]
-        self.b_from = 2 * len(self.a_bytes)
+        self.b_from = len(self.a_bytes)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Packed ids by A and by B; both empty where the bytes do not come out as the space and the text."""
@@ -156,13 +156,13 @@ class Aligner:
             out.append((";".join([e[0] for e in each]), pairs, sizes))
         # long windows do not recur
         for window in new:
-            if len(window[0]) > LONG:
+            if len(window) > LONG:
                 del memo[window]
         memo.turn()
         return out
 
-    def windows_of(self, packed_a: bytes, packed_b: bytes) -> list[tuple[bytes, bytes]]:
-        """A document's ids cut at its anchors."""
+    def windows_of(self, packed_a: bytes, packed_b: bytes) -> list[bytes]:
+        """A document's ids cut at its anchors; each window's ids of A, then those of B raised by ``b_from``, packed."""
         a, b = np.frombuffer(packed_a, np.int32), np.frombuffer(packed_b, np.int32)
         if not len(a):
             return []
@@ -176,22 +176,25 @@ class Aligner:
         # an offset at which both start a marked token ends a token of both
         _, x, y = np.intersect1d(*starts, assume_unique=True, return_indices=True)
         cut_a, cut_b = (4 * marked[0][x]).tolist(), (4 * marked[1][y]).tolist()
-        return [(packed_a[i:j], packed_b[k:m]) for i, j, k, m in zip([0, *cut_a], [*cut_a, len(packed_a)], [0, *cut_b], [*cut_b, len(packed_b)], strict=True)]
+        raised = (b + self.b_from).tobytes()
+        return [packed_a[i:j] + raised[k:m] for i, j, k, m in zip([0, *cut_a], [*cut_a, len(packed_a)], [0, *cut_b], [*cut_b, len(raised)], strict=True)]
 
-    def align_windows(self, windows: list[tuple[bytes, bytes]]) -> list[tuple[str, bytes, bytes]]:
+    def align_windows(self, windows: list[bytes]) -> list[tuple[str, bytes, bytes]]:
         """Groups as text, linked pairs and byte lengths of groups of windows; all at once, since they end together end to end."""
         if not windows:
             return []
-        a, b = (np.frombuffer(b"".join([w[k] for w in windows]), np.int32) for k in (0, 1))
-        in_a, in_b = (np.cumsum([len(w[k]) // 4 for w in windows]) for k in (0, 1))
+        both, per_window = np.frombuffer(b"".join(windows), np.int32), np.cumsum([len(w) // 4 for w in windows])
+        of_b = both >= self.b_from
+        a, b = both[~of_b], both[of_b] - self.b_from
+        in_a = np.cumsum(~of_b)[per_window - 1]
         ends, last_a, last_b = np.intersect1d(np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b]), assume_unique=True, return_indices=True)
         # in the notation a group's ids of A stand before its ids of B
         of_a, of_b = (np.searchsorted(last, np.arange(len(ids))) for last, ids in ((last_a, a), (last_b, b)))
         shown = np.empty(len(a) + len(b), dtype=np.int64)
         shown[np.arange(len(a)) + np.append(0, last_b + 1)[of_a]] = 2 * a + (np.arange(len(a)) == last_a[of_a])
-        shown[np.arange(len(b)) + last_a[of_b] + 1] = self.b_from + 2 * b + (np.arange(len(b)) == last_b[of_b])
+        shown[np.arange(len(b)) + last_a[of_b] + 1] = 2 * self.b_from + 2 * b + (np.arange(len(b)) == last_b[of_b])
         words = list(map(self.shown.__getitem__, shown.tolist()))
-        places = [0, *(in_a + in_b).tolist()]
+        places = [0, *per_window.tolist()]
         pairs, sizes = ((a[last_a].astype(np.int64) << 32) | b[last_b]).tobytes(), np.diff(ends, prepend=0).astype(np.int64).tobytes()
         groups = [0, *(8 * (np.searchsorted(last_a, in_a - 1) + 1)).tolist()]
         return [
