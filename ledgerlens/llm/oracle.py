@@ -64,4 +64,50 @@ WITH docs AS (
 SELECT doc_id, n_lines, n_dropped, sha256(kept.text) AS kept_sha256 FROM docs JOIN kept USING (i)
 """
 
-ORACLES = {"op1_fingerprints": OP1, "op2_line_dedup": OP2}
+OP11 = r"""
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), least AS (
+    SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+), degrees AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least USING (vec_id) LEFT JOIN degrees USING (vec_id)
+"""
+
+
+def _terms(table: str) -> str:
+    """Terms of a text column, as a list."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"SELECT *, regexp_extract_all(coalesce({lower}, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM {table}"
+
+
+OP12 = f"""
+WITH docs AS (
+    SELECT doc_id, len(terms) AS n, terms FROM ({_terms("documents")})
+), whole AS (
+    SELECT count(*) FILTER (WHERE n > 0) AS big_n, sum(n)::BIGINT AS words FROM docs
+), wanted AS (
+    SELECT DISTINCT item_id, unnest(terms) AS term FROM ({_terms("benchmark")})
+), counts AS (
+    SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM docs)
+    WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counts, whole GROUP BY term
+), scores AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // words))))::BIGINT AS score
+    FROM wanted JOIN counts USING (term) JOIN weights USING (term), whole GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+ORACLES = {"op1_fingerprints": OP1, "op2_line_dedup": OP2, "op11_vector_dedup": OP11, "op12_ranked_search": OP12}
