@@ -15,7 +15,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from ledgerlens.operators import sizing  # noqa: E402
 from ledgerlens.plans.reports import REPORTS, close, report, warehouse  # noqa: E402
 
-TABLES = ("lifecycles", "stg_subscriptions", "events", "days", "int_subscriptions", "int_usage", "fct")
+TABLES = ("lifecycles", "stg_subscriptions", "events", "days", "int_subscriptions", "borders", "int_usage", "fct")
 
 
 def main() -> None:

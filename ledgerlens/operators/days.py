@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens import constants as C
+from ledgerlens.session import lookup_words
 from ledgerlens.sources.schemas import SEQ
 
 # (event column, parts the usage rollup needs)
@@ -37,6 +38,10 @@ def _parts() -> dict[str, Column]:
     return parts
 
 
+def part_names() -> list[str]:
+    return list(_parts())
+
+
 def merged_parts() -> list[Column]:
     """The parts of the usage rollup, added up over account-days."""
     return [
@@ -117,15 +122,38 @@ def account_days(events: DataFrame, lifecycles: DataFrame, spike: int = C.USER_S
     )
 
 
+def listed(events: DataFrame, days: DataFrame, words: int | None = None) -> DataFrame:
+    """Events that may lie on the listed account-days, by a Bloom filter of two hashes.
+
+    The filter is an array of ``words`` numbers of 64 bits (``session.lookup_words``), whatever the number
+    of days, built by one aggregate and held by every task that scans events. So most events not asked for
+    are gone before the shuffle; none that is asked for is.
+    """
+    words = words or lookup_words(events.sparkSession)
+    if words & (words - 1):
+        raise ValueError("words must be a power of two")
+    # the lower 32 bits of a hash and the upper ones are two hashes
+    mixed = F.xxhash64("account_id", "event_date")
+    places = F.array(*[F.shiftrightunsigned(mixed, k).bitwiseAND(F.lit(64 * words - 1)) for k in (0, 32)])
+    word, bit = (lambda p: F.shiftrightunsigned(p, 6).cast("int")), (lambda p: p.bitwiseAND(F.lit(63)).cast("int"))
+    marked = days.select(F.explode(places).alias("p")).select(word(F.col("p")).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("p"))).alias("b"))
+    every = events.sparkSession.range(words).select(F.col("id").cast("int").alias("w"), F.lit(0).cast("long").alias("b"))
+    held = marked.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x["b"])
+    table = held.agg(in_order.alias("bits")).scalar()
+    found = F.forall(places, lambda p: F.shiftrightunsigned(F.get(F.col("_bits"), word(p)), 0).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bit(p))) != 0)
+    return events.withColumn("_bits", table).where(found).drop("_bits")
+
+
 def events_on(events: DataFrame, days: DataFrame) -> DataFrame:
     """The events of the listed account-days, with whatever else ``days`` carries.
 
-    ``days`` has one row per account and day. It is a share of the data, so nothing is held on
-    executors: both sides are dealt by account and day, or adaptive execution broadcasts the days found
-    if they turn out small.
+    ``days`` has one row per account and day. Events are first thinned out by a Bloom filter where they are
+    scanned; what is left and the days are dealt by account and day, or adaptive execution broadcasts the
+    days found if they turn out small.
     """
     carried = [c for c in days.columns if c not in ("account_id", "event_date")]
     keys = days.select(F.col("account_id").alias("_account"), F.col("event_date").alias("_day"), *carried)
     same_account = F.col("account_id").eqNullSafe(F.col("_account"))
     same_day = F.col("event_date").eqNullSafe(F.col("_day"))
-    return events.join(keys, same_account & same_day).drop("_account", "_day")
+    return listed(events, days).join(keys, same_account & same_day).drop("_account", "_day")

@@ -1,8 +1,8 @@
 """Matching events to lifecycles by account and inclusive date interval.
 
 Whether and how an event matches depends on its account and day alone. ``days`` below are the
-account-days of :mod:`ledgerlens.operators.days`, which stand for the events; lifecycles are reduced
-to one row per account and window before they meet. Full event rows are only touched again for
+account-days of :mod:`ledgerlens.operators.days`, which stand for the events; a lifecycle reads two rows
+of its account, at the borders of its window, and never its days. Full event rows are only touched again for
 reports that list them.
 """
 
@@ -11,11 +11,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens import constants as C
 from ledgerlens.functions import mean_of_parts
-from ledgerlens.operators.days import events_on, merged_parts, until
+from ledgerlens.operators.days import events_on, merged_parts, part_names, until
 from ledgerlens.operators.rules import classify
 
-WINDOWS_PER_TASK = 100_000
-
 
 # --- unmatched rows -----------------------------------------------------------------------------
 def unmatched_events(events: DataFrame, days: DataFrame, known: bool | None = None) -> DataFrame:
@@ -165,31 +163,82 @@ def active_zero_usage(lifecycles: DataFrame, days: DataFrame) -> DataFrame:
 
 
 # --- rollup -------------------------------------------------------------------------------------
-def window_usage(
-    days: DataFrame, lifecycles: DataFrame, windows_per_task: int = WINDOWS_PER_TASK
-) -> DataFrame:
-    """Event parts added up per distinct (account, start, until) window.
+_BEGIN, _DAY, _END = 0, 1, 2
+_KEY = ["account_id", "_day", "_side"]
+
+
+def _valid(lifecycles: DataFrame) -> DataFrame:
+    """account_id, start_date, _until of lifecycles whose window can hold a day."""
+    ends = lifecycles.select("account_id", "start_date", until(F.col("end_date")).alias("_until"))
+    return ends.where(F.col("account_id").isNotNull() & (F.col("start_date") <= F.col("_until")))
+
+
+def window_borders(days: DataFrame, lifecycles: DataFrame) -> DataFrame:
+    """What is known at each first and last day of a window: one row per account, ``_day`` and ``_side``.
 
-    The windows of an account are dealt out in parts of about ``windows_per_task`` (one for most), each
-    of which gets a copy of the account's days.
+    An account's days and the distinct borders of its windows stand in one order: a begin before its day,
+    an end after it. Running sums up to a border give the sum of any window by subtraction. For the maximum
+    a sparse table is doubled row by row: ``_ahead[l]`` is the maximum of the 2^l rows from here on,
+    ``_back[l]`` that of the 2^l rows up to here. No account has more rows than three to a calendar day,
+    however many lifecycles it has.
     """
-    windows = (
-        lifecycles.select("account_id", "start_date", until(F.col("end_date")).alias("_until"))
-        .where(F.col("account_id").isNotNull() & (F.col("start_date") <= F.col("_until")))
-        .distinct()
-    )
-    split = F.ceil(F.count(F.lit(1)) / windows_per_task).cast("int").alias("_splits")
-    splits = windows.groupBy("account_id").agg(split)
-    dealt = windows.join(splits, "account_id").withColumn("_split", F.pmod(F.hash("start_date", "_until"), "_splits"))
-    copied = (
-        days.join(splits, "account_id")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1)))
-        .withColumnRenamed("account_id", "_owner")
-        .drop("_splits")
-    )
-    same = (F.col("account_id") == F.col("_owner")) & (F.col("_split") == F.col("_copy"))
-    hits = dealt.join(copied, same & F.col("event_date").between(F.col("start_date"), F.col("_until")))
-    return hits.groupBy("account_id", "start_date", "_until").agg(*merged_parts())
+    windows = _valid(lifecycles)
+    borders = F.array(
+        F.struct(F.col("start_date").alias("_day"), F.lit(_BEGIN).alias("_side")),
+        F.struct(F.col("_until").alias("_day"), F.lit(_END).alias("_side")),
+    )
+    edges = windows.select("account_id", F.inline(borders)).distinct()
+    own = days.where(F.col("account_id").isNotNull() & F.col("event_date").isNotNull())
+    marks = (
+        own.withColumnRenamed("event_date", "_day").select("account_id", "_day", *part_names(), F.lit(_DAY).alias("_side"))
+        .unionByName(edges, allowMissingColumns=True)
+    )
+    # the longest order, as far as counts tell, sets how often the table is doubled
+    counted = own.select("account_id", F.lit(1).alias("n")).unionByName(windows.select("account_id", F.lit(2).alias("n")))
+    longest = counted.groupBy("account_id").agg(F.sum("n").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    in_order = Window.partitionBy("account_id").orderBy("_day", "_side")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    peak = "_max_active_users"
+    summed = [c for c in part_names() if c != peak]
+    table = marks.select(
+        *_KEY, F.col(peak).alias("_l0"), F.row_number().over(in_order).alias("_row"),
+        F.count(summed[0]).over(so_far).alias("_days"),
+        *[F.sum(c).over(so_far).alias(c) for c in summed],
+        *[F.count(c).over(so_far).alias(f"_n{c}") for c in summed],
+    )
+    levels = max(1, longest.bit_length())
+    for level in range(1, levels):
+        reached = F.greatest(f"_l{level - 1}", F.lead(f"_l{level - 1}", 1 << (level - 1)).over(in_order))
+        table = table.withColumn(f"_l{level}", reached)
+    ahead = F.array(*[F.col(f"_l{k}") for k in range(levels)])
+    back = F.array(*[F.lag(f"_l{k}", (1 << k) - 1).over(in_order) for k in range(levels)])
+    kept = table.withColumn("_ahead", ahead).withColumn("_back", back).where(F.col("_side") != _DAY)
+    return kept.select(*_KEY, "_row", "_days", *summed, *[f"_n{c}" for c in summed], "_ahead", "_back")
+
+
+def window_usage(days: DataFrame, lifecycles: DataFrame, borders: DataFrame | None = None) -> DataFrame:
+    """Lifecycles with the event parts added up over their window, from the two border rows of each."""
+    borders = window_borders(days, lifecycles) if borders is None else borders
+    values = [c for c in borders.columns if c not in _KEY]
+
+    def at(day: Column, side: int, name: str, to: DataFrame) -> DataFrame:
+        found = borders.select(F.struct(*values).alias(name), *[F.col(c).alias(f"_k{c}") for c in _KEY])
+        same = (F.col("account_id") == F.col("_kaccount_id")) & (day == F.col("_k_day")) & (F.col("_k_side") == side)
+        return to.join(found, same, "left").drop(*[f"_k{c}" for c in _KEY])
+
+    ends = lifecycles.withColumn("_until", until(F.col("end_date")))
+    both = at(F.col("_until"), _END, "_to", at(F.col("start_date"), _BEGIN, "_from", ends))
+    holds = F.col("start_date") <= F.col("_until")
+
+    def between(column: str) -> Column:
+        seen = F.col(f"_to._n{column}") > F.col(f"_from._n{column}")
+        total = (F.col(f"_to.{column}") - F.coalesce(f"_from.{column}", F.lit(0))).cast(borders.schema[column].dataType)
+        return F.when(holds & seen, total).alias(column)
+
+    level = F.floor(F.log2(F.col("_to._row") - F.col("_from._row") + 1)).cast("int")
+    peak = F.greatest(F.get("_from._ahead", level), F.get("_to._back", level))
+    summed = [c for c in part_names() if c != "_max_active_users"]
+    return both.select(*lifecycles.columns, *[between(c) for c in summed], F.when(holds, peak).alias("_max_active_users"))
 
 
 def _finished(flag: Column) -> list[Column]:
@@ -220,22 +269,16 @@ def _finished(flag: Column) -> list[Column]:
     ]
 
 
-def int_usage_per_subscription(
-    lifecycles: DataFrame, days: DataFrame, windows_per_task: int = WINDOWS_PER_TASK
-) -> DataFrame:
+def int_usage_per_subscription(lifecycles: DataFrame, days: DataFrame, borders: DataFrame | None = None) -> DataFrame:
     """Usage per lifecycle, plus one row per account for its events outside every lifecycle.
 
-    This is a full outer interval join followed by a rollup, taken apart: lifecycles look up the usage
-    of their window, and the account-days that no window covers are added up per account.
+    This is a full outer interval join followed by a rollup, taken apart: lifecycles read the two border
+    rows of their window (``borders``, where the caller has stored them), and the account-days that no
+    window covers are added up per account.
     """
-    usage = window_usage(days.where("covered"), lifecycles, windows_per_task)
-    matched = (
-        lifecycles.select(
-            "subscription_sk", "account_id", "start_date", until(F.col("end_date")).alias("_until")
-        )
-        .join(usage, ["account_id", "start_date", "_until"], "left")
-        .select("subscription_sk", "account_id", *_finished(F.lit(None).cast("string")))
-    )
+    own = lifecycles.select("subscription_sk", "account_id", "start_date", "end_date")
+    usage = window_usage(days.where("covered"), own, borders)
+    matched = usage.select("subscription_sk", "account_id", *_finished(F.lit(None).cast("string")))
     lost = days.where(~F.col("covered")).groupBy("account_id", "known").agg(*merged_parts())
     flag = F.when(F.col("known"), C.OUTSIDE_WINDOW).otherwise(C.NO_RECORD)
     key = F.concat(F.lit(C.ORPHAN_KEY_PREFIX), F.col("account_id"))

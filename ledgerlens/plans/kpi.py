@@ -1,7 +1,7 @@
 """Revenue, churn and engagement KPIs over the subscription fact and the account-days of usage.
 
-Monthly figures never pair every month with every row: a lifecycle is expanded to the spine months
-it touches, so the rows grow with the months actually covered, and sums combine before the shuffle.
+Monthly figures never pair every month with every row: a lifecycle gives one event where it begins and
+one where it is over, and running sums over an account's months, and then over the months, add them up.
 """
 
 import datetime as dt
@@ -63,32 +63,59 @@ def _live_revenue(fct: DataFrame) -> DataFrame:
     return fct.where((F.col("status") == "active") & _revenue_clean())
 
 
+# --- sweep over months --------------------------------------------------------------------------
+def _swept(lifecycles: DataFrame, spine: Spine, sums: list[str]) -> DataFrame:
+    """Per spine month, what lies over it: ``lifecycles``, ``accounts`` (distinct) and the named sums.
+
+    ``lifecycles`` have account_id, ``first`` and ``last`` month. Each gives two events, one that opens its
+    first spine month and one that closes the month after its last, so rows do not grow with the spine.
+    An account's events are added up by month, and running sums tell in which months it turns live or
+    not; the months' own running sums see one row per month. A sum is null where nothing is known.
+    """
+    first = F.greatest("first", F.lit(spine.first_month))
+    last = F.least("last", F.lit(spine.last_month))
+    steps = F.array(
+        F.struct(first.alias("month"), F.lit(1).alias("step")),
+        F.struct(F.add_months(last, 1).alias("month"), F.lit(-1).alias("step")),
+    )
+    known = F.col("first").isNotNull() & F.col("last").isNotNull()
+    events = lifecycles.where(known & (first <= last)).select("account_id", *sums, F.inline(steps))
+    signed = [F.sum(F.col(c) * F.col("step")).alias(c) for c in sums]
+    counted = [F.sum(F.when(F.col(c).isNotNull(), F.col("step"))).alias(f"_n_{c}") for c in sums]
+    by_account = events.groupBy("account_id", "month").agg(F.sum("step").alias("step"), *signed, *counted)
+    so_far = Window.partitionBy("account_id").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    live = F.sum("step").over(so_far)
+    turned = (live > 0).cast("int") - (live - F.col("step") > 0).cast("int")
+    turns = by_account.withColumn("_turned", F.when(F.col("account_id").isNotNull(), turned))
+    added = ["step", "_turned", *sums, *[f"_n_{c}" for c in sums]]
+    by_month = turns.groupBy("month").agg(*[F.sum(c).alias(c) for c in added])
+    every = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    running = spine.months(lifecycles).join(by_month, "month", "left").select(
+        "month", *[F.coalesce(F.sum(c).over(every), F.lit(0)).alias(c) for c in added]
+    )
+    return running.select(
+        "month", F.col("step").alias("lifecycles"), F.col("_turned").alias("accounts"),
+        *[F.when(F.col(f"_n_{c}") > 0, F.col(c)).alias(c) for c in sums],
+    )
+
+
 # --- revenue ------------------------------------------------------------------------------------
 def monthly_mrr(fct: DataFrame, spine: Spine) -> DataFrame:
     """Per month start: accounts and MRR of the lifecycles that cover it and are active today."""
     start, end = F.col("start_date"), F.col("end_date")
     covers_start = F.when(_month(start) == start, start).otherwise(F.add_months(_month(start), 1))
     last = F.when(end.isNull(), F.lit(spine.last_month)).otherwise(_month(end))
-    covered = (
-        fct.where((F.col("status") == "active") & start.isNotNull())
-        .select(
-            "account_id",
-            F.col("effective_mrr_usd").alias("_all"),
-            F.when(_revenue_clean(), F.col("effective_mrr_usd")).alias("_clean"),
-            F.explode(spine.clipped(covers_start, last)).alias("month"),
-        )
-    )
-    per_account = covered.groupBy("month", "account_id").agg(
-        F.sum("_clean").alias("_clean"), F.sum("_all").alias("_all")
+    covering = fct.where((F.col("status") == "active") & start.isNotNull()).select(
+        "account_id",
+        F.col("effective_mrr_usd").alias("_all"),
+        F.when(_revenue_clean(), F.col("effective_mrr_usd")).alias("_clean"),
+        covers_start.alias("first"), last.alias("last"),
     )
-    per_month = per_account.groupBy("month").agg(
-        F.count("account_id").alias("active_accounts"),
-        F.round(F.sum("_clean"), 2).alias("mrr_usd_clean"),
-        F.round(F.sum("_all"), 2).alias("mrr_usd_all_rows"),
-    )
-    return per_month.select(
+    return _swept(covering, spine, ["_clean", "_all"]).where(F.col("lifecycles") > 0).select(
         year_month(F.col("month")).alias("year_month"),
-        "active_accounts", "mrr_usd_clean", "mrr_usd_all_rows",
+        F.col("accounts").alias("active_accounts"),
+        F.round("_clean", 2).alias("mrr_usd_clean"),
+        F.round("_all", 2).alias("mrr_usd_all_rows"),
     )
 
 
@@ -120,33 +147,24 @@ def revenue_by_plan_segment(fct: DataFrame) -> DataFrame:
 
 
 # --- churn --------------------------------------------------------------------------------------
-def _month_states(fct: DataFrame, spine: Spine) -> DataFrame:
-    """One row per lifecycle and spine month in which it was live at the start or churned."""
+def _live(fct: DataFrame, spine: Spine, sums: list[str]) -> DataFrame:
+    """Per spine month, the lifecycles that were live at its start."""
     start, end = F.col("start_date"), F.col("end_date")
     last = F.when(end.isNull(), F.lit(spine.last_month)).otherwise(_month(end))
-    live = spine.clipped(F.add_months(_month(start), 1), last)
-    churn_month = F.when(F.col("status") == "churned", _month(end))
-    churned = spine.clipped(churn_month, churn_month)
-    states = F.concat(
-        F.transform(live, lambda m: F.struct(m.alias("month"), F.lit(True).alias("live"))),
-        F.transform(churned, lambda m: F.struct(m.alias("month"), F.lit(False).alias("live"))),
-    )
-    return fct.select("account_id", "effective_mrr_usd", F.inline(states))
+    return _swept(fct.select("account_id", *sums, F.add_months(_month(start), 1).alias("first"), last.alias("last")), spine, sums)
+
+
+def _churned(fct: DataFrame) -> DataFrame:
+    """Lifecycles that churned, with the month of their end."""
+    return fct.where((F.col("status") == "churned") & F.col("end_date").isNotNull()).withColumn("month", _month(F.col("end_date")))
 
 
 def logo_churn(fct: DataFrame, spine: Spine) -> DataFrame:
     """Accounts live at each month start, accounts churned within the month, and their share."""
-    usable = fct.where(not_flagged(F.col("data_quality_flag"), [C.INVERTED]))
-    per_account = (
-        _month_states(usable.where(F.col("account_id").isNotNull()), spine)
-        .groupBy("month", "account_id")
-        .agg(F.max(F.col("live").cast("int")).alias("_live"), F.min(F.col("live").cast("int")).alias("_kept"))
-    )
-    per_month = per_account.groupBy("month").agg(
-        F.sum("_live").alias("_live"), F.sum(1 - F.col("_kept")).alias("_churned")
-    )
-    live, churned = F.coalesce("_live", F.lit(0)), F.coalesce("_churned", F.lit(0))
-    return spine.months(fct).join(per_month, "month", "left").select(
+    usable = fct.where(not_flagged(F.col("data_quality_flag"), [C.INVERTED]) & F.col("account_id").isNotNull())
+    lost = _churned(usable).select("month", "account_id").distinct().groupBy("month").agg(F.count(F.lit(1)).alias("_churned"))
+    live, churned = F.col("accounts"), F.coalesce("_churned", F.lit(0))
+    return _live(usable, spine, []).join(lost, "month", "left").select(
         year_month(F.col("month")).alias("year_month"),
         live.alias("active_at_start"),
         churned.alias("churned_in_month"),
@@ -157,15 +175,11 @@ def logo_churn(fct: DataFrame, spine: Spine) -> DataFrame:
 def revenue_churn(fct: DataFrame, spine: Spine) -> DataFrame:
     """The same on MRR, without the lifecycles whose MRR or dates cannot be trusted."""
     usable = fct.where(not_flagged(F.col("data_quality_flag"), [*C.REVENUE_FLAGS, C.INVERTED]))
-    mrr = F.col("effective_mrr_usd")
-    per_month = _month_states(usable, spine).groupBy("month").agg(
-        F.sum(F.when(F.col("live"), mrr)).alias("_live"),
-        F.sum(F.when(~F.col("live"), mrr)).alias("_churned"),
-    )
+    lost = _churned(usable).groupBy("month").agg(F.sum("effective_mrr_usd").alias("_churned"))
     zero = F.lit(0).cast("decimal(26,2)")
-    live = F.coalesce(F.col("_live").cast("decimal(26,2)"), zero)
+    live = F.coalesce(F.col("effective_mrr_usd").cast("decimal(26,2)"), zero)
     churned = F.coalesce(F.col("_churned").cast("decimal(26,2)"), zero)
-    return spine.months(fct).join(per_month, "month", "left").select(
+    return _live(usable, spine, ["effective_mrr_usd"]).join(lost, "month", "left").select(
         year_month(F.col("month")).alias("year_month"),
         F.round(live, 2).alias("mrr_active_at_start"),
         F.round(churned, 2).alias("mrr_churned"),

@@ -151,14 +151,13 @@ _CURRENT = {
 def dim_account(fct: DataFrame) -> DataFrame:
     """One row per account with its latest lifecycle, plus accounts known from usage alone."""
     flag = F.col("data_quality_flag")
-    newest = F.struct(F.coalesce(F.unix_date("start_date"), F.lit(-(2**31))), F.coalesce(SEQ, F.lit(-1)))
-    row = F.struct(*[F.col(c).alias(name) for c, name in _CURRENT.items()])
-    latest = (
-        fct.where(not_flagged(flag, [C.NO_RECORD]))
-        .groupBy("account_id")
-        .agg(F.max_by(row, newest).alias("_row"))
-        .select("account_id", "_row.*")
-    )
+    # start day and sequence as one number: a plain hash aggregate finds the largest, which leads back to its row
+    day = (F.coalesce(F.unix_date("start_date"), F.lit(-(2**31))) + F.lit(2**31)).cast("decimal(11,0)")
+    age = day * F.lit(str(2**63)).cast("decimal(20,0)") + F.coalesce(SEQ, F.lit(-1)).cast("decimal(20,0)")
+    own = fct.where(not_flagged(flag, [C.NO_RECORD])).withColumn("_age", age)
+    newest = own.groupBy(F.col("account_id").alias("_account")).agg(F.max("_age").alias("_newest"))
+    same = F.col("account_id").eqNullSafe(F.col("_account")) & (F.col("_age") == F.col("_newest"))
+    latest = own.join(newest, same).select("account_id", *[F.col(c).alias(name) for c, name in _CURRENT.items()])
     unknown = fct.where(flag == C.NO_RECORD).select("account_id", "data_quality_flag")
     return latest.unionByName(unknown, allowMissingColumns=True)
 

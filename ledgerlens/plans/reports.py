@@ -237,9 +237,9 @@ REPORTS: dict[str, Report] = {
     "kp09_customer_lifetime": lambda w: kpi.customer_lifetime(w.fct),
     "kp09_customer_lifetime_without_orphans": lambda w: kpi.customer_lifetime(w.fct, exclude_orphans=True),
     # engagement
-    "kp10_dau": lambda w: kpi.dau(w.days, _spine()),
-    "kp11_wau": lambda w: kpi.wau(w.days, _spine()),
-    "kp12_mau": lambda w: kpi.mau(w.days, _spine()),
+    "kp10_dau": lambda w: kpi.dau(w.days_between(SPINE_START, SPINE_END), _spine()),
+    "kp11_wau": lambda w: kpi.wau(w.days_between(SPINE_START, SPINE_END), _spine()),
+    "kp12_mau": lambda w: kpi.mau(w.days_between(SPINE_START, SPINE_END), _spine()),
     "kp13_feature_adoption": lambda w: kpi.feature_adoption(w.fct),
     "kp14_usage_by_tier": lambda w: kpi.usage_by_tier(w.fct),
     "kp15_usage_vs_retention": lambda w: kpi.usage_vs_retention(w.fct),

@@ -5,10 +5,11 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens import constants as C
 from ledgerlens.operators.days import account_days
-from ledgerlens.operators.intervals import int_usage_per_subscription
+from ledgerlens.operators.intervals import int_usage_per_subscription, window_borders
 from ledgerlens.operators.staging import lifecycle_key, stage_subscriptions, stg_usage_events
 from ledgerlens.plans import model
 from ledgerlens.sources.lookups import date_spine, fx_rates
@@ -16,13 +17,22 @@ from ledgerlens.sources.schemas import SEQ
 from ledgerlens.sources.sinks import materialise, register_view, remove, scratch_path
 
 
+MONTH = "_event_month"
+
+
+def _within(by_month: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    months = F.col(MONTH).between(f"{first:%Y-%m}", f"{last:%Y-%m}")
+    return by_month.where(months & F.col("event_date").between(F.lit(first), F.lit(last))).drop(MONTH)
+
+
 class Warehouse:
     """Raw frames as given; staged and modelled tables that are written once on first use.
 
     Staged lifecycles and events and four modelled tables are read by many reports, so they are stored
     as Parquet in the session's shared folder: dates are parsed once, readers prune columns and push
     filters down, events are added up and shuffled by account only once, and a lost executor does not
-    rebuild the interval rollup. ``close`` deletes what was stored. ``rates`` (currency to USD) replaces
+    rebuild the interval rollup. Events and account-days lie in a folder for each month, so a range of days
+    reads its own months. ``close`` deletes what was stored. ``rates`` (currency to USD) replaces
     the built-in exchange rates, ``spike`` the user count above which activity KPIs leave an event out.
     """
 
@@ -53,14 +63,22 @@ class Warehouse:
         return self._stored(lifecycle_key(self.lifecycles), "stg_subscriptions")
 
     @cached_property
+    def _events_by_month(self) -> DataFrame:
+        return self._by_month(stg_usage_events(self.raw_events), "events")
+
+    @property
     def events(self) -> DataFrame:
-        return self._stored(stg_usage_events(self.raw_events), "events")
+        return self._events_by_month.drop(MONTH)
+
+    def events_between(self, first: dt.date, last: dt.date) -> DataFrame:
+        """Staged events of a range of days, from the folders of its months alone."""
+        return _within(self._events_by_month, first, last)
 
     def build_int_subscriptions(self) -> DataFrame:
         return model.int_subscriptions(self.stg_subscriptions, self.rates, self.as_of)
 
     def build_int_usage(self) -> DataFrame:
-        return int_usage_per_subscription(self.int_subscriptions, self.days)
+        return int_usage_per_subscription(self.int_subscriptions, self.days, self.borders)
 
     def build_fct(self, on: tuple[str, ...] = ("subscription_sk", "account_id")) -> DataFrame:
         return model.fct_subscriptions(self.int_usage, self.int_subscriptions, on)
@@ -91,6 +109,11 @@ class Warehouse:
         self._paths[name] = scratch_path(self.spark, name)
         return materialise(df, self._paths[name])
 
+    def _by_month(self, df: DataFrame, name: str) -> DataFrame:
+        """Stored in a folder for each month of the event date; rows without a date have one of their own."""
+        self._paths[name] = scratch_path(self.spark, name)
+        return materialise(df.withColumn(MONTH, F.date_format("event_date", "yyyy-MM")), self._paths[name], [MONTH])
+
     def written_once(self, name: str, write: Callable[[str], object]) -> str:
         """The path of a copy that ``write`` makes at the first call; later calls read the same one."""
         if name not in self._paths:
@@ -101,15 +124,28 @@ class Warehouse:
 
     def close(self) -> None:
         """Delete the stored tables; those asked for later are built anew."""
-        names = {"account_days": "days", "int_usage_per_subscription": "int_usage", "fct_subscriptions": "fct"}
+        names = {"events": "_events_by_month", "account_days": "_days_by_month", "window_borders": "borders", "int_usage_per_subscription": "int_usage", "fct_subscriptions": "fct"}
         while self._paths:
             name, path = self._paths.popitem()
             self.__dict__.pop(names.get(name, name), None)
             remove(self.spark, path)
 
     @cached_property
+    def _days_by_month(self) -> DataFrame:
+        return self._by_month(account_days(self.events, self.lifecycles, self.spike), "account_days")
+
+    @property
     def days(self) -> DataFrame:
-        return self._stored(account_days(self.events, self.lifecycles, self.spike), "account_days")
+        return self._days_by_month.drop(MONTH)
+
+    def days_between(self, first: dt.date, last: dt.date) -> DataFrame:
+        """Account-days of a range of days, from the folders of its months alone."""
+        return _within(self._days_by_month, first, last)
+
+    @cached_property
+    def borders(self) -> DataFrame:
+        """Running sums and maxima of usage at the first and last days of windows."""
+        return self._stored(window_borders(self.days.where("covered"), self.int_subscriptions), "window_borders")
 
     @cached_property
     def int_subscriptions(self) -> DataFrame:

@@ -4,6 +4,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 BYTES_PER_PARTITION = 128 * 1024 * 1024
+#: Name and bounds of the setting that sizes Bloom filters, in words of 64 bits (128 KB to 32 MB).
+LOOKUP_WORDS = "spark.ledgerlens.lookupWords"
+FEWEST_WORDS, MOST_WORDS = 1 << 14, 1 << 22
 
 
 def input_bytes(spark: SparkSession, *paths: str) -> int:
@@ -17,17 +20,26 @@ def shuffle_partitions(total_bytes: int, at_least: int) -> int:
     return max(at_least, wanted)
 
 
+def lookup_words(spark: SparkSession) -> int:
+    """Words of a Bloom filter, as set for the input by ``fit_shuffles``."""
+    return int(spark.conf.get(LOOKUP_WORDS, str(FEWEST_WORDS)))
+
+
 def fit_shuffles(spark: SparkSession, *paths: str) -> int:
     """Start shuffles with partitions of a size a task can hold, given the input.
 
     Adaptive execution merges partitions that turn out small but never makes more of them than it
     started with (200 by default, half a terabyte each at 100 TB), so only a larger number is set.
+    The size of Bloom filters grows with the input as well, up to a bound.
     """
     fixed = "spark.sql.shuffle.partitions"
     initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
     key = initial if spark.conf.get("spark.sql.adaptive.enabled") == "true" else fixed
     current = int(spark.conf.get(key, None) or spark.conf.get(fixed))
-    fitted = shuffle_partitions(input_bytes(spark, *paths), current)
+    total = input_bytes(spark, *paths)
+    words = min(MOST_WORDS, max(lookup_words(spark), 1 << (total >> 20).bit_length()))
+    spark.conf.set(LOOKUP_WORDS, str(words))
+    fitted = shuffle_partitions(total, current)
     if fitted > current:
         spark.conf.set(key, fitted)
     return fitted

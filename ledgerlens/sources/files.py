@@ -22,6 +22,23 @@ def scan_usage_events(spark: SparkSession, path: str) -> DataFrame:
     return _scan(spark, path, RAW_USAGE_EVENTS)
 
 
+def load_checked(spark: SparkSession, path: str, schema: T.StructType, table_path: str, multi_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Store a CSV scan and give its sound rows (with a sequence number) and its rejected records.
+
+    A record is rejected when a field does not fit its type or the number of fields is wrong; it is kept as
+    it stood in the file, with the file's name, and none of its fields counts as missing. ``multi_line``
+    lets quoted fields hold line feeds, for which a file cannot be split among tasks.
+    """
+    record = "_record"
+    layout = T.StructType([*schema.fields, T.StructField(record, T.StringType())])
+    reader = spark.read.schema(layout).option("header", True).option("nullValue", "NULL").option("multiLine", multi_line)
+    read = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", record).csv(path)
+    numbered = read.withColumn("_file", F.input_file_name()).withColumn(SEQ, F.monotonically_increasing_id())
+    stored = materialise(numbered, table_path)
+    sound = stored.where(F.col(record).isNull()).drop(record, "_file")
+    return sound, stored.where(F.col(record).isNotNull()).select("_file", record, SEQ)
+
+
 def load_raw(scanned: DataFrame, table_path: str) -> DataFrame:
     """Store a scan as a raw table with a sequence number in file order.
 

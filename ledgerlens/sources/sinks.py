@@ -30,13 +30,53 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/ledgerlens/{app}/{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, path: str) -> DataFrame:
+def materialise(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table, replacing what was there, and read it back.
 
-    The table cuts the lineage: a lost executor costs a re-read, not a rebuild of all that led to it.
+    The table cuts the lineage: a lost executor costs a re-read, not a rebuild of all that led to it. A new
+    version is written whole beside the old one, and then takes its place by renaming, so a build that
+    fails leaves the old table and no reader meets half of one: who has listed the files replaced gets an
+    error and reads again. A swap cut off between its two renames is made good by the next build. Stores
+    without renaming copy there. ``df`` may read the very table.
     """
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    fs, target = _file_system(spark, path)
+    folder, name = target.getParent(), target.getName()
+    version = uuid.uuid4().hex
+    before = _versions(spark, path)
+    if before and not fs.exists(target):  # a swap was cut off between its two steps
+        fs.rename(before.pop().getPath(), target)
+    fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(folder, f"_{name}.{kind}-{version}") for kind in ("new", "old"))
+    try:
+        df.write.partitionBy(*(partition_by or [])).mode("overwrite").parquet(fresh.toString())
+    except BaseException:
+        fs.delete(fresh, True)
+        raise
+    if fs.exists(target):
+        _renamed(fs, target, old)
+    _renamed(fs, fresh, target)
+    for stale in (*[v.getPath() for v in before], old):
+        fs.delete(stale, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _versions(spark: SparkSession, path: str) -> list:
+    """Replaced versions beside a table, oldest first."""
+    fs, target = _file_system(spark, path)
+    if not fs.exists(target.getParent()):
+        return []
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}.old-*"))
+    return sorted(found or [], key=lambda status: status.getModificationTime())
+
+
+def _renamed(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"could not rename {source} to {target}")
 
 
 def register_view(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +86,8 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table, wherever Spark can reach it."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    """Delete a written table and what is left of replaced ones, wherever Spark can reach it."""
+    fs, target = _file_system(spark, path)
+    for version in _versions(spark, path):
+        fs.delete(version.getPath(), True)
+    fs.delete(target, True)
