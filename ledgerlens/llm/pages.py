@@ -63,7 +63,7 @@ STOP_WORDS = frozenset(
 )
 
 SHORT, LONG = 70, 200
-LINKED = 0.5
+LINKED, LOOSE = 0.5, 0.2
 STOP_LOW, STOP_HIGH = 0.15, 0.3
 
 LOWER = {ord(c): ord(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -119,7 +119,7 @@ class Block:
             stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
             if stops >= STOP_HIGH or (stops >= STOP_LOW and len(self.text) >= LONG):
                 return 1
-            if stops < STOP_LOW and density > 0.2:
+            if stops < STOP_LOW and density > LOOSE:
                 return 0
         return None
 
@@ -307,10 +307,20 @@ def _region(found: list[Block]) -> set[Element]:
     return {e for e in marked if e.level == max(x.level for x in marked)}
 
 
+def _unlisted(found: list[Block]) -> bool:
+    """Whether the long blocks that are no lists of links hold few stop words of any list: another language, or code."""
+    words = [w for b in found if not b.out and len(b.text) >= LONG and b.linked <= LOOSE * len(b.text) for w in WORD.findall(b.text.lower())]
+    return sum(w in STOP_WORDS for w in words) < STOP_LOW * len(words) or not words
+
+
 def label(found: list[Block]) -> None:
     """Both passes, in place."""
     for b in found:
         b.label = 0 if b.out else b.judge()
+    if _unlisted(found):  # stop words say nothing here: length and links alone decide long blocks
+        for b in found:
+            if not b.out and b.label is None and len(b.text) >= LONG and b.linked <= LOOSE * len(b.text):
+                b.label = 1
     _settle(found)
     region = _region(found)
     if region:

@@ -1,3 +1,7 @@
+import html
+
+import pytest
+
 from ledgerlens.llm import pages
 
 LONG = "The quick brown fox is in the middle of a long and winding story about it and that, and so on for some time. " * 2
@@ -80,3 +84,22 @@ def test_rows(spark):
     rows = pages.extract(df, ["page_id", "url"]).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in rows) == [(0, "ü", 1), (1, "", 0), (1, "", 0)]
     assert pages.extract(df.limit(0), ["page_id", "url"]).count() == 0
+
+
+PARAGRAPHS = {
+    "italian": "Il governo ha annunciato ieri sera che nei prossimi mesi verranno costruite nuove ferrovie nelle regioni meridionali, dove i cittadini aspettano da anni collegamenti migliori tra le città più grandi. ",
+    "polish": "Rząd ogłosił wczoraj wieczorem, że w najbliższych miesiącach powstaną nowe linie kolejowe w regionach południowych, gdzie mieszkańcy od lat czekają na lepsze połączenia między miastami. ",
+    "russian": "Правительство объявило вчера вечером, что в ближайшие месяцы в южных областях построят новые железные дороги, где жители уже много лет ждут лучшего сообщения между городами. ",
+    "chinese": "政府昨天晚上宣布未来几个月将在南部地区修建新的铁路那里的居民多年来一直在等待城市之间更好的交通连接。",
+    "code": "for (i = 0; i < n; i++) { total[i] = weight[i] * value[i]; if (total[i] > limit) { total[i] = limit; } } return total; ",
+}
+
+
+@pytest.mark.parametrize("language", PARAGRAPHS)
+def test_unmarked_pages_in_other_languages_keep_every_paragraph(language):
+    text = PARAGRAPHS[language]
+    whole = [html.escape(f"{k} " + text * (1 + 260 // len(text))) for k in range(3)]
+    links = "".join(f'<li><a href="/{k}">{text[: 20]}</a></li>' for k in range(8))
+    page = f"<nav><ul>{links}</ul></nav><div><div>{html.escape(text[:30])}</div>{''.join(f'<p>{p}</p>' for p in whole)}</div><footer><p>© 2024 {html.escape(text[:40])}</p></footer>"
+    got = pages.main_text(page)
+    assert all(" ".join(html.unescape(p).split()) in got for p in whole) and "©" not in got

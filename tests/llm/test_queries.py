@@ -12,6 +12,7 @@ import corpus_pipeline
 from ledgerlens.llm import linededup, quality, simhash, toxicity
 from ledgerlens.llm.oracle import ORACLES
 from ledgerlens.llm.queries import QUERIES
+from ledgerlens.llm.tables import stored
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not mounted")
@@ -80,6 +81,21 @@ def test_pipeline_over_messy_rows(spark, messy):
         assert corpus_pipeline.STAGES[-1][1](spark, current, SF).count() >= 0
 
 
+def test_pipeline_keeps_columns_of_any_name(spark):
+    names = ["score", "probability", "prediction", "rawPrediction", "x", "fp", "label", "features", "n_lines", "n_dropped", "__r1", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    clashing = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    plain = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        clashing, plain = stored(stage(spark, clashing, SF), f"clash_{name}"), stored(stage(spark, plain, SF), f"plain_{name}")
+        assert clashing.columns == [*docs.columns, *names]
+        rows = clashing.collect()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+        assert sorted((r.doc_id, r.text, r.n_chars) for r in rows) == sorted((r.doc_id, r.text, r.n_chars) for r in plain.collect()) != []
+    packed, other = (corpus_pipeline.pack(spark, d, SF) for d in (clashing, plain))
+    assert sorted(map(str, packed.collect())) == sorted(map(str, other.collect()))
+
+
 @pytest.mark.parametrize(("module", "stage"), [(toxicity, corpus_pipeline.drop_toxic), (quality, corpus_pipeline.drop_poor)])
 def test_filters_keep_all_without_a_model(spark, monkeypatch, module, stage):
     docs = spark.createDataFrame([(i, f"clean text {i}", "en", "s", 12) for i in range(20)] + [(None, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
