@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.tables import stored
 
 #: Bounds of both memos: entries of a generation, and the longest word (characters) and window (bytes of its ids) kept.
-WORDS = 200_000
-WINDOWS = 120_000
+WORDS = 300_000
+WINDOWS = 200_000
 LONG_WORD = 64
 LONG = 160
-CHUNK = 64
+CHUNK = 256
 BROADCAST_PAIRS = 2_000_000
 #: A space after no space and before a character that is no white space (U+007F to U+00A0 are left out whole).
 VISIBLE = re.compile("[\x21-\x7e\u00a1-\u167f\u1681-\u1fff\u200b-\u2027\u2030-\u205e\u2060-\u2fff\u3001-\U0010ffff]")
