@@ -22,9 +22,9 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,9 @@ MARK = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
+#: Bounds of what a segmenter keeps: units, and the longest of them (characters).
 KEPT_UNITS = 400_000
+LONG_UNIT = 64
 #: Ids in a batch of results, about.
 BATCH_IDS = 2_000_000
 N = 4
@@ -46,6 +48,9 @@ class Vocabulary:
     def __init__(self, pieces: list[str], scores: list[float], special: set[int] = frozenset()):
         self.pieces = pieces
         self.bytes = {int(m[1], 16): i for i, p in enumerate(pieces) if (m := BYTE.fullmatch(p))}
+        self.raw_bytes = frozenset(self.bytes.values())
+        #: The bytes of each piece, with spaces for marks.
+        self.raw = [bytes([int(m[1], 16)]) if (m := BYTE.fullmatch(p)) else p.replace(MARK, " ").encode() for p in pieces]
         self.find = {p: (s, i) for i, (p, s) in enumerate(zip(pieces, scores, strict=True)) if i not in special and not BYTE.fullmatch(p) and p}
         self.longest = max(map(len, self.find), default=1)
         together = {p[k : k + 2] for p in self.find for k in range(len(p) - 1)}
@@ -73,7 +78,12 @@ class Vocabulary:
 
     def units(self, text: str) -> list[str]:
         """The text in units: no piece goes over a border between them."""
-        return [u for u in self.unit.findall(MARK + text.replace(" ", MARK)) if u] if text else []
+        if not text:
+            return []
+        found = self.unit.findall(MARK + text.replace(" ", MARK))
+        if not found[-1]:  # the empty match at the end
+            found.pop()
+        return found
 
     def lattice(self, text: str) -> list[list[tuple[int, float, int]]]:
         """For each end the pieces that end there: (begin, score, id); id -1 is an unknown character."""
@@ -95,6 +105,11 @@ class Vocabulary:
             out.extend([i] if i >= 0 else [self.bytes.get(b, 0) for b in text[begin].encode("utf-8", "surrogatepass")])
         return out
 
+    def decode_unit(self, ids: list[int]) -> bytes:
+        """What the ids of a unit stand for in the text with its leading space."""
+        raw = b"".join(map(self.raw.__getitem__, ids))
+        return raw if self.raw_bytes.isdisjoint(ids) else raw.decode("utf-8", "replace").replace(MARK, " ").encode()
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; undoes any segmentation."""
         text = "".join(map(self.pieces.__getitem__, ids))
@@ -174,60 +189,107 @@ def best_and_loss(vocabulary: Vocabulary, text: str) -> tuple[float, list[int],
     return first[size], ids if -1 not in ids else vocabulary.ids(text, cuts), first[size] - second[size]
 
 
+class Units(dict):
+    """What was found for the units met last; long units do not recur and are not kept."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, unit: str):
+        found = self.find(unit)
+        if len(unit) <= LONG_UNIT:
+            if len(self) >= KEPT_UNITS:
+                self.clear()
+            self[unit] = found
+        return found
+
+
+class Found:
+    """The n best segmentations of a text.
+
+    ``units`` has the ids (packed) of each unit's best segmentation, ``texts`` what these decode to;
+    ``options`` the same for all segmentations of the units that may differ, and ``taken`` which of
+    them each segmentation has there: ((unit, option), ...).
+    """
+
+    __slots__ = ("scores", "units", "texts", "options", "taken")
+
+    def __init__(self, scores: list[float], units: tuple[bytes, ...], texts: tuple[bytes, ...], options: dict[int, list[tuple[bytes, bytes]]], taken: list[tuple]):
+        self.scores, self.units, self.texts, self.options, self.taken = scores, units, texts, options, taken
+
+    def _with(self, own: tuple[bytes, ...], which: int, choices: list[tuple]) -> Iterator[bytes]:
+        """``own`` joined, with what each choice has in place of the best."""
+        best = b"".join(own)
+        starts = {i: sum(map(len, own[:i])) for i in self.options}
+        for choice in choices:
+            parts, at = [], 0
+            for i, k in choice:
+                parts += [best[at : starts[i]], self.options[i][k][which]]
+                at = starts[i] + len(own[i])
+            yield b"".join([*parts, best[at:]])
+
+    def ids(self) -> list[array]:
+        """Ids of each segmentation."""
+        return [array("i", packed) for packed in self._with(self.units, 0, self.taken)]
+
+    def digests(self) -> list[str]:
+        """sha256 of the text that each segmentation decodes to; one that decodes to the same in every unit has the same."""
+        changed = [tuple((i, k) for i, k in choice if self.options[i][k][1] != self.texts[i]) for choice in self.taken]
+        different = list(dict.fromkeys(changed))
+        known = {c: hashlib.sha256(text.removeprefix(b" ")).hexdigest() for c, text in zip(different, self._with(self.texts, 1, different), strict=True)}
+        return [known[c] for c in changed]
+
+
 class Segmenter:
     """N-best segmentations of whole texts; keeps what it found for the units met last."""
 
     def __init__(self, vocabulary: Vocabulary, n: int = N):
-        self.vocabulary, self.n, self.units = vocabulary, n, {}
-        self.several = lru_cache(4096)(lambda unit: search(vocabulary, unit, n))
-
-    def unit(self, unit: str) -> tuple[float, list[int], float]:
-        kept = self.units.get(unit)
-        if kept is None:
-            if len(self.units) >= KEPT_UNITS:
-                self.units.clear()
-            kept = self.units[unit] = best_and_loss(self.vocabulary, unit)
-        return kept
-
-    def _found(self, text: str) -> tuple[list[float], list[list[int]], dict[int, list[list[int]]], list[tuple]]:
-        """Scores of the n best, ids of each unit's best, the units that may differ, and which alternative each segmentation takes there."""
+        self.vocabulary, self.n = vocabulary, n
+        self.units, self.several = Units(self._best), Units(self._several)
+
+    def _best(self, unit: str) -> tuple[float, float, bytes, bytes]:
+        """Score and loss to the second of the best segmentation; its ids and what they decode to."""
+        score, ids, loss = best_and_loss(self.vocabulary, unit)
+        return score, loss, array("i", ids).tobytes(), self.vocabulary.decode_unit(ids)
+
+    def _several(self, unit: str) -> list[tuple[float, bytes, bytes]]:
+        """Scores and ids of the n best, and what they decode to."""
+        return [(score, array("i", ids).tobytes(), self.vocabulary.decode_unit(ids)) for score, ids in search(self.vocabulary, unit, self.n)]
+
+    def _nearest(self, losses: tuple[float, ...]) -> list[int]:
+        """Places of the n - 1 smallest finite losses (of equal ones the first), in order of place."""
+        if self.n < 2:
+            return []
+        each = np.array(losses)
+        if len(each) >= self.n:
+            most = np.partition(each, self.n - 2)[self.n - 2]
+            places = np.flatnonzero(each <= most)
+        else:
+            places = np.arange(len(each))
+        return sorted(sorted((i for i in places.tolist() if losses[i] < float("inf")), key=losses.__getitem__)[: self.n - 1])
+
+    def found(self, text: str) -> Found:
+        """The n best segmentations."""
         units = self.vocabulary.units(text)
-        kept = list(map(self.unit, units))
-        total = sum(k[0] for k in kept)
-        near = heapq.nsmallest(self.n - 1, ((k[2], i) for i, k in enumerate(kept) if k[2] < float("inf")))
-        chosen, options = [(0.0, ())], {}
-        for _, i in sorted(near, key=lambda x: x[1]):
-            others = self.several(units[i])
-            options[i] = [ids for _, ids in others]
-            if kept[i][1] in options[i] and kept[i][1] != options[i][0]:  # of equal score
-                options[i].remove(kept[i][1])
-                options[i].insert(0, kept[i][1])
-            merged = ((loss + others[0][0] - score, (*taken, (i, k))) for loss, taken in chosen for k, (score, _) in enumerate(others))
+        if not units:
+            return Found([0.0], (), (), {}, [()])
+        scores, losses, ids, texts = zip(*map(self.units.__getitem__, units), strict=True)
+        total, chosen, options = sum(scores), [(0.0, ())], {}
+        for i in self._nearest(losses):
+            others = self.several[units[i]]
+            options[i] = [(own, decoded) for _, own, decoded in others]
+            if (ids[i], texts[i]) in options[i] and ids[i] != options[i][0][0]:  # of equal score
+                options[i].remove((ids[i], texts[i]))
+                options[i].insert(0, (ids[i], texts[i]))
+            merged = ((loss + others[0][0] - score, (*taken, (i, k))) for loss, taken in chosen for k, (score, _, _) in enumerate(others))
             chosen = heapq.nsmallest(self.n, merged)
-        return [total - loss for loss, _ in chosen], [k[1] for k in kept], options, [taken for _, taken in chosen]
-
-    def __call__(self, text: str) -> tuple[list[float], list[int], dict[int, list[list[int]]], list[tuple]]:
-        """Scores of the n best, ids of the best, the units that may differ, and which alternative each segmentation takes there."""
-        scores, units, options, taken = self._found(text)
-        return scores, list(chain.from_iterable(units)), options, taken
-
-    def every(self, text: str) -> tuple[list[float], list[array]]:
-        """Scores and ids of the n best segmentations."""
-        scores, units, options, taken = self._found(text)
-        best, out = array("i", chain.from_iterable(units)), []
-        starts = list(accumulate(map(len, units), initial=0))
-        for choice in taken:
-            ids, at = array("i"), 0
-            for i, k in choice:
-                ids += best[at : starts[i]]
-                ids.extend(options[i][k])
-                at = starts[i + 1]
-            out.append(ids + best[at:])
-        return scores, out
+        return Found([total - loss for loss, _ in chosen], ids, texts, options, [taken for _, taken in chosen])
 
     def segmentations(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text (score, ids)."""
-        return [(s, ids.tolist()) for s, ids in zip(*self.every(text), strict=True)]
+        found = self.found(text)
+        return [(s, ids.tolist()) for s, ids in zip(found.scores, found.ids(), strict=True)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; undoes any segmentation."""
@@ -247,7 +309,7 @@ def _nested(rows: list[list[array]]) -> pa.Array:
 
 
 def _segmented(docs: DataFrame, model: str, key: str, text: str, n: int, columns: dict[str, tuple]) -> DataFrame:
-    """key and ``columns`` of every row: name -> (type, function of segmenter, content, scores and ids; None for the ids)."""
+    """key and ``columns`` of every row: name -> (type, function of content, what was found and all ids; None for the ids)."""
     schema = ", ".join([f"`{key}` {docs.schema[key].dataType.simpleString()}", *(f"{c} {t}" for c, (t, _) in columns.items())])
     arrow = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
@@ -257,9 +319,10 @@ def _segmented(docs: DataFrame, model: str, key: str, text: str, n: int, columns
             start, held, out = 0, 0, {c: [] for c in columns}
             for row, value in enumerate(batch.column(1), 1):
                 content = value.as_py() or ""
-                scores, ids = segment.every(content)
+                found = segment.found(content)
+                ids = found.ids()
                 for c, (_, value_of) in columns.items():
-                    out[c].append(ids if value_of is None else value_of(segment, content, scores, ids))
+                    out[c].append(ids if value_of is None else value_of(content, found, ids))
                 held += sum(map(len, ids))
                 if held >= BATCH_IDS or row == batch.num_rows:
                     arrays = [_nested(out[c]) if f is None else pa.array(out[c], arrow[t]) for c, (t, f) in columns.items()]
@@ -269,34 +332,30 @@ def _segmented(docs: DataFrame, model: str, key: str, text: str, n: int, columns
     return docs.select(key, F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def _hash(segment: Segmenter, ids: array) -> str:
-    return hashlib.sha256(segment.decode(ids).encode("utf-8", "replace")).hexdigest()
-
-
 #: What both operators say of a row: name -> (type, function).
 BEST = {
-    "n_chars": ("long", lambda segment, content, scores, ids: len(content)),
-    "n_pieces": ("long", lambda segment, content, scores, ids: len(ids[0])),
-    "ids_crc32": ("long", lambda segment, content, scores, ids: zlib.crc32(ids[0].tobytes())),
-    "scores": ("array<double>", lambda segment, content, scores, ids: scores),
+    "n_chars": ("long", lambda content, found, ids: len(content)),
+    "n_pieces": ("long", lambda content, found, ids: len(ids[0])),
+    "ids_crc32": ("long", lambda content, found, ids: zlib.crc32(ids[0])),
+    "scores": ("array<double>", lambda content, found, ids: found.scores),
 }
 
 
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
     """key, n_chars, n_pieces, ids_crc32 and decoded_sha256 (of the best), scores and ids (arrays of the n best, falling) of every row."""
-    columns = BEST | {"ids": ("array<array<int>>", None), "decoded_sha256": ("string", lambda segment, content, scores, ids: _hash(segment, ids[0]))}
+    columns = BEST | {"ids": ("array<array<int>>", None), "decoded_sha256": ("string", lambda content, found, ids: found.digests()[0])}
     return _segmented(docs, model, key, text, n, columns)
 
 
 def summary(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", n: int = N) -> DataFrame:
     """As ``encode``; in place of ids, all_n_pieces, all_ids_crc32 and all_decoded_sha256: arrays of the n best.
 
-    The ids are decoded where they are found, so they need not leave the task.
+    The ids are decoded where they are found, unit by unit, so they need not leave the task.
     """
     columns = BEST | {
-        "all_n_pieces": ("array<long>", lambda segment, content, scores, ids: list(map(len, ids))),
-        "all_ids_crc32": ("array<long>", lambda segment, content, scores, ids: [zlib.crc32(i.tobytes()) for i in ids]),
-        "all_decoded_sha256": ("array<string>", lambda segment, content, scores, ids: [_hash(segment, i) for i in ids]),
+        "all_n_pieces": ("array<long>", lambda content, found, ids: list(map(len, ids))),
+        "all_ids_crc32": ("array<long>", lambda content, found, ids: list(map(zlib.crc32, ids))),
+        "all_decoded_sha256": ("array<string>", lambda content, found, ids: found.digests()),
     }
     return _segmented(docs, model, key, text, n, columns).withColumn("decoded_sha256", F.get("all_decoded_sha256", F.lit(0)))
 

@@ -14,10 +14,14 @@ Null texts count as empty; an empty document has the end id alone. Repeated rows
 """
 
 import re
+import sys
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -29,46 +33,91 @@ WINDOW = 4096
 TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 STEP_TOKENS = 1 << 20
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Bounds of what an encoder keeps: words, and the longest of them (characters).
 KEPT_WORDS = 600_000
+LONG_WORD = 64
+#: Characters of the texts that are encoded together, but for a longer text.
+CHUNK = 1 << 20
 
 #: Latin-1 without the characters at which engines differ about white space.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
 #: The file's own splitting pattern for lower-cased text of these characters.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9²³¹¼½¾a-zªµºß-öø-ÿ]+")
-
-
-class WordIds(dict):
-    """Packed ids of a word, kept for the words met last (a word is encoded alone, whatever stands around it)."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = out = packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        return out
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9²³¹¼½¾a-zªµºß-öø-ÿ]+")
+#: What the last token of every part ends with.
+PART_END = "</w>"
 
 
 def packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return array("I", ids).tobytes() if LITTLE else b"".join(i.to_bytes(4, "little") for i in ids)
 
 
 class Encoder:
-    """Token ids, as little-endian 32-bit numbers, equal to the tokenizer's own."""
+    """Token ids, as little-endian 32-bit numbers, equal to the tokenizer's own.
+
+    White space always parts tokens, so plain texts go word by word; the words met last are kept.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = WordIds(self.tokenizer)
+        #: Ids of words as they stand between white space, and of the parts these have.
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(PART_END)]] = True
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known, cut, new = self.words, [], set()
+        for text in texts:
+            words = text.lower().split() if PLAIN.fullmatch(text) and "<|" not in text else None
+            found = [] if words is None else list(map(known.get, words))
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            new.update([words[i] for i in missing])
+            cut.append((words, found, missing))
+        fresh = self._words(list(new))
+        out = []
+        for text, (words, found, missing) in zip(texts, cut, strict=True):
+            for i in missing:
+                found[i] = fresh[words[i]]
+            out.append(self._whole(text) if words is None else b"".join(found))
+        _keep(known, fresh)
+        return out
 
-    def __call__(self, text: str) -> bytes:
-        if PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
+    def _whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        known, cut = self.parts, list(map(PARTS.findall, words))
+        new = list(set(chain.from_iterable(cut)).difference(known))
+        fresh = dict(zip(new, self._parts(new), strict=True))
+        known.update(fresh)
+        out = {word: b"".join(map(known.__getitem__, parts)) for word, parts in zip(words, cut, strict=True)}
+        for part in fresh:
+            del known[part]
+        _keep(known, fresh)
+        return out
+
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, encoded as one text with spaces between them, which is cut again where parts end."""
+        if not parts:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != len(parts):
+            return list(map(self._whole, parts))
+        cuts, whole = [0, *(4 * (ends + 1)).tolist()], ids.tobytes()
+        return [whole[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _keep(known: dict[str, bytes], fresh: dict[str, bytes]) -> None:
+    """Adds what is short (long words do not recur); starts anew at ``KEPT_WORDS``."""
+    if len(known) >= KEPT_WORDS:
+        known.clear()
+    known.update((word, ids) for word, ids in fresh.items() if len(word) <= LONG_WORD)
+
 
 class Piece:
     """A run of one document's ids."""
@@ -154,7 +203,7 @@ def _pieces(docs: DataFrame, key: str, text: str, path: str, end_id: int) -> Dat
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, tier int, number long, offset long, ids binary, part int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, part = Encoder(path), Packer(), TaskContext.get().partitionId()
+        encode, packer, part, end = Encoder(path), Packer(), TaskContext.get().partitionId(), packed([end_id])
         arrow = None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -165,10 +214,16 @@ def _pieces(docs: DataFrame, key: str, text: str, path: str, end_id: int) -> Dat
             return pa.RecordBatch.from_arrays([*arrays, pa.array([part] * len(rows), pa.int32())], names=names)
 
         for batch in batches:
-            arrow, rows = batch.schema.field(0).type, []
-            for doc, content in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode(content.as_py() or "") + packed([end_id])
-                rows.extend(packer.put(Piece(doc.as_py(), 0, ids, len(ids) // 4)))
+            arrow, rows, docs, texts, held = batch.schema.field(0).type, [], [], [], 0
+            for row, (doc, content) in enumerate(zip(batch.column(0), batch.column(1), strict=True), 1):
+                docs.append(doc.as_py())
+                texts.append(content.as_py() or "")
+                held += len(texts[-1])
+                if held >= CHUNK or row == batch.num_rows:
+                    for own, ids in zip(docs, encode(texts), strict=True):
+                        ids += end
+                        rows.extend(packer.put(Piece(own, 0, ids, len(ids) // 4)))
+                    docs, texts, held = [], [], 0
             yield batch_of(rows)
         if arrow is not None:
             yield batch_of(list(packer.rest()))

@@ -45,7 +45,8 @@ def test_public_vocabulary_round_trip():
     model = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
     segmenter = nbest.Segmenter(nbest.Vocabulary.load(tokenizer("piece_bpe_32k.model")))
     for text in ["Hello,  world!\n\tü 𝄞 “x”", " lead", "tail ", "a" * 3000, "x.y.z(); {}", "日本語"]:
-        scores, ids, _, _ = segmenter(text)
+        found = segmenter.found(text)
+        scores, ids = found.scores, found.ids()[0].tolist()
         assert segmenter.decode(ids) == text == model.decode(ids)
         assert scores == sorted(scores, reverse=True)
         own = sum(segmenter.vocabulary.find.get(p, (segmenter.vocabulary.unknown, 0))[0] for p in model.encode(text, out_type=str) if not p.startswith("<0x"))

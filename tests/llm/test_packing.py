@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -64,4 +65,14 @@ def test_one_padded_sequence_over_all_partitions(spark, parts):
 def test_words_alone_give_the_tokenizers_ids():
     encode, whole = packing.Encoder(tokenizer(FILE)), Tokenizer.from_file(tokenizer(FILE))
     for text in ["It's we'LL 12³ ½x", "ÀÉ ß ÿ µm ªº", "a b\u0085c\x1fd", "é ΣΑΣ ΐ İ", "<|startoftext|> x <|endoftext|>", "!!!?? #$%&'s 'tis \t\r\n", "日本語 テスト", ""]:
-        assert encode(text) == packing.packed(whole.encode(text, add_special_tokens=False).ids)
+        assert encode([text]) == [packing.packed(whole.encode(text, add_special_tokens=False).ids)]
+
+
+def test_texts_together_give_the_tokenizers_ids(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_WORDS", 500)
+    rnd, encode, whole = random.Random(5), packing.Encoder(tokenizer(FILE)), Tokenizer.from_file(tokenizer(FILE))
+    signs = "abcxyzABÉßÿªµ0129²½'\"!?.,-_<|> \t\n\u00ad\u00d7\u00f7" + "'s't're " + "語\u0085"
+    for _ in range(200):
+        texts = ["".join(rnd.choices(signs, k=rnd.randint(0, 60))) for _ in range(rnd.randint(0, 20))] + ["w" * rnd.randint(0, 200)]
+        assert encode(texts) == [packing.packed(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert max(map(len, encode.words), default=0) <= packing.LONG_WORD
