@@ -22,7 +22,6 @@ Rows may repeat, and keys may be null or of any type; every row is a document of
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import stored
+from ledgerlens.llm.tables import kept_in_worker, stored
 
 #: Bounds of both memos: entries of a generation, and the longest word (characters) and window (bytes of its ids) kept.
 WORDS = 300_000
@@ -203,11 +202,6 @@ class Aligner:
         ]
 
 
-@lru_cache(maxsize=1)
-def _aligner(a_path: str, b_path: str) -> Aligner:
-    return Aligner(a_path, b_path)
-
-
 def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The alignment of every document.
 
@@ -222,7 +216,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        aligner = _aligner(a_path, b_path)
+        aligner = kept_in_worker(Aligner, a_path, b_path)
         for whole in batches:
             for start in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(start, CHUNK)

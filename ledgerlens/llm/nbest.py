@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.tables import kept_in_worker
+
 MARK = "▁"
 #: Letters after which a vocabulary may forbid some signs.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Bounds of what a segmenter keeps: units, and the longest of them (characters).
-KEPT_UNITS = 400_000
+KEPT_UNITS = 800_000
 LONG_UNIT = 64
 #: Ids in a batch of results, about.
 BATCH_IDS = 2_000_000
@@ -61,8 +63,13 @@ class Vocabulary:
         alone, stop = re.escape(alone), re.escape(alone) + cut
         other = f"[^{MARK}{LETTERS}{alone}]"
         self.unit = re.compile(f"[{alone}]|{MARK}*{other}*+(?:[{LETTERS}]++(?![{stop}]){other}++)*+[{LETTERS}]*+")
-        #: What ``find`` has, and (0, -1) for beginnings of pieces that are none themselves.
-        self.step = {p[:k]: (0.0, -1) for p in self.find for k in range(1, len(p))} | self.find
+        #: ``find`` by characters: a dictionary of next characters, with the hit under an empty string where a piece ends.
+        self.tree: dict = {}
+        for p, hit in self.find.items():
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = hit
         self.unknown = min((s for s, _ in self.find.values()), default=0.0) - 10.0
         if any(MARK in p.lstrip(MARK) for p in self.find):
             raise ValueError("pieces must not hold a mark after another character")
@@ -154,32 +161,28 @@ def best_and_loss(vocabulary: Vocabulary, text: str) -> tuple[float, list[int],
 
     The forward pass keeps the two best scores of every prefix; lookups end where no piece begins so.
     """
-    step, size, none = vocabulary.step.get, len(text), float("-inf")
+    tree, size, none = vocabulary.tree, len(text), float("-inf")
     first, second, begin, piece = [none] * (size + 1), [none] * (size + 1), [0] * (size + 1), [-1] * (size + 1)
     first[0] = 0.0
+
     for i in range(size):
-        x, y, j, single = first[i], second[i], i + 1, False
-        while j <= size and (hit := step(text[i:j])) is not None:
-            s, number = hit
-            if number >= 0:
-                v, z = x + s, y + s
-                if j == i + 1:
-                    single = True
+        x, y, j, node = first[i], second[i], i, tree.get(text[i])
+        # a character that is no piece is unknown
+        hit = (vocabulary.unknown, -1) if node is None else node.get("", (vocabulary.unknown, -1))
+        while True:
+            j += 1
+            if hit is not None:
+                v, z = x + hit[0], y + hit[0]
                 if v > first[j]:
                     v, first[j] = first[j], v
-                    begin[j], piece[j] = i, number
+                    begin[j], piece[j] = i, hit[1]
                 if v < z:
                     v = z
                 if v > second[j]:
                     second[j] = v
-            j += 1
-        if not single:
-            s, j = vocabulary.unknown, i + 1
-            v, z = x + s, y + s
-            if v > first[j]:
-                v, first[j] = first[j], v
-                begin[j], piece[j] = i, -1
-            second[j] = max(second[j], v, z)
+            if node is None or j == size or (node := node.get(text[j])) is None:
+                break
+            hit = node.get("")
     cuts, at = [], size
     while at:
         cuts.append((begin[at], piece[at]))
@@ -248,6 +251,10 @@ class Segmenter:
         self.vocabulary, self.n = vocabulary, n
         self.units, self.several = Units(self._best), Units(self._several)
 
+    @classmethod
+    def load(cls, path: str, n: int) -> "Segmenter":
+        return cls(Vocabulary.load(path), n)
+
     def _best(self, unit: str) -> tuple[float, float, bytes, bytes]:
         """Score and loss to the second of the best segmentation; its ids and what they decode to."""
         score, ids, loss = best_and_loss(self.vocabulary, unit)
@@ -314,7 +321,7 @@ def _segmented(docs: DataFrame, model: str, key: str, text: str, n: int, columns
     arrow = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = Segmenter(Vocabulary.load(model), n)
+        segment = kept_in_worker(Segmenter.load, model, n)
         for batch in batches:
             start, held, out = 0, 0, {c: [] for c in columns}
             for row, value in enumerate(batch.column(1), 1):

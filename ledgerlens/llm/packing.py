@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import stored
+from ledgerlens.llm.tables import kept_in_worker, stored
 
 WINDOW = 4096
 TIERS = (512, 1024, 2048, 4096)
@@ -203,7 +203,7 @@ def _pieces(docs: DataFrame, key: str, text: str, path: str, end_id: int) -> Dat
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, tier int, number long, offset long, ids binary, part int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, part, end = Encoder(path), Packer(), TaskContext.get().partitionId(), packed([end_id])
+        encode, packer, part, end = kept_in_worker(Encoder, path), Packer(), TaskContext.get().partitionId(), packed([end_id])
         arrow = None
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:

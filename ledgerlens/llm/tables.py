@@ -1,5 +1,7 @@
 """Tables written to the shared folder, and small expression helpers."""
 
+import sys
+import types
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,3 +50,17 @@ def text_column(df: DataFrame, text: str, also: list[str]) -> tuple[list[Column]
     if text in also and df.schema[text].dataType.simpleString() == "string":
         return [], 1 + list(also).index(text)
     return [F.col(text).cast("string").alias("__text")], 1 + len(also)
+
+
+def kept_in_worker(make, *args):
+    """``make(*args)``, made once for each Python worker and kept until the worker makes another or ends.
+
+    Functions travel by value, so their globals do not outlive a task; a module of its own does. Only what
+    is bounded and does not change results (a tokenizer with its memo) may be kept so.
+    """
+    kept = sys.modules.setdefault("__ledgerlens_kept__", types.ModuleType("__ledgerlens_kept__")).__dict__
+    name = (make.__module__, make.__qualname__, args)
+    if kept.get("name") != name:
+        kept.pop("value", None)
+        kept.update(name=name, value=make(*args))
+    return kept["value"]
