@@ -69,7 +69,7 @@ STOP_LOW, STOP_HIGH = 0.15, 0.3
 LOWER = {ord(c): ord(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|$)")
 OTHER = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?/][^>]*+(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -93,21 +93,30 @@ def _marks(tag: str, attributes: str) -> tuple[bool, int, int]:
 
 
 class Element:
-    """An element marked as an article (level 2) or main part (1), or perhaps boilerplate (doubt 1; comments 2); ``good`` counts characters found by stop words in it, ``plain`` those not ruled out."""
+    """An element marked as an article (level 2) or main part (1), or perhaps boilerplate (doubt 1; comments 2).
 
-    __slots__ = ("tag", "doubt", "level", "good", "plain")
+    ``up`` is the marked element around it; ``levels`` has a bit for each level and ``doubted`` says whether there is a doubt, in it
+    or around it. ``good`` counts characters found by stop words in it, ``plain`` those not ruled out.
+    """
 
-    def __init__(self, tag: str, doubt: int, level: int):
-        self.tag, self.doubt, self.level, self.good, self.plain = tag, doubt, level, 0, 0
+    __slots__ = ("tag", "doubt", "level", "up", "depth", "levels", "doubted", "good", "plain", "out", "chosen")
+
+    def __init__(self, tag: str, doubt: int, level: int, up: "Element | None"):
+        self.tag, self.doubt, self.level, self.up = tag, doubt, level, up
+        self.depth = up.depth + 1 if up else 0
+        self.levels = (1 << level if level else 0) | (up.levels if up else 0)
+        self.doubted = bool(doubt) or (up is not None and up.doubted)
+        self.good = self.plain = 0
+        self.out = self.chosen = False
 
 
 class Block:
-    """Text between block borders; ``path`` has the elements around it that have a mark, the outermost first; label: 1 text, 0 boilerplate, None open."""
+    """Text between block borders; ``around`` is the innermost marked element around it; label: 1 text, 0 boilerplate, None open."""
 
-    __slots__ = ("text", "linked", "out", "path", "heading", "label")
+    __slots__ = ("text", "linked", "out", "around", "heading", "label")
 
-    def __init__(self, text: str, linked: int, out: bool, path: tuple[Element, ...], heading: str):
-        self.text, self.linked, self.out, self.path, self.heading, self.label = text, linked, out, path, heading, None
+    def __init__(self, text: str, linked: int, out: bool, around: Element | None, heading: str):
+        self.text, self.linked, self.out, self.around, self.heading, self.label = text, linked, out, around, heading, None
 
     def judge(self) -> int | None:
         """What links, length and stop words say."""
@@ -127,14 +136,29 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, tuple[Element, ...]]] = []  # element, boilerplate, marked elements around
+    stack: list[tuple[str, bool, Element | None]] = []  # element, boilerplate, innermost marked element
+    standing: dict[str, int] = {}  # how many of an element are in the stack
     parts: list[str] = []
     linked = anchors = 0
     muted: int | None = None  # the place in the stack of a skipped element
+    foreign = 0  # foreignObject elements around it
     loose = False  # in a skipped element without a closing tag
     closings: dict[str, int] = {}
     low = ""
 
+    def push(tag: str, out: bool, around: Element | None) -> None:
+        stack.append((tag, out, around))
+        standing[tag] = standing.get(tag, 0) + 1
+
+    def cut(place: int) -> None:
+        """Take out the elements of the stack from a place."""
+        while len(stack) > place:
+            standing[stack.pop()[0]] -= 1
+
+    def place_of(tag: str) -> int:
+        """The place of the innermost open element of a name, -1 without one; what is inside it is then cut, so all looks take linear time."""
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag) if standing.get(tag) else -1
+
     def unclosed(tag: str, at: int) -> bool:
         """Whether no closing tag of a skipped element follows (before the next of its kind opens)."""
         nonlocal low
@@ -153,9 +177,9 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                path = stack[-1][2] if stack else ()
+                around = stack[-1][2] if stack else None
                 heading = next((s[0] for s in stack[-3:] if s[0] in HEADINGS), "")
-                found.append(Block(text, min(linked, len(text)), bool(stack and stack[-1][1]), path, heading))
+                found.append(Block(text, min(linked, len(text)), bool(stack and stack[-1][1]), around, heading))
             parts.clear()
         linked = 0
 
@@ -193,30 +217,30 @@ def blocks(page: str) -> list[Block]:
             continue
         if muted is not None:  # only what is skipped inside it, its own end or that of an element around it count
             if closing:
-                place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
+                place = place_of(tag)
                 if place >= muted:
-                    del stack[place:]
+                    cut(place)
                     if place == muted:
                         muted = None
                     continue
                 if place < 0:
                     continue
-                del stack[muted:]
+                cut(muted)
                 muted = None
-            elif tag in BLOCKS and stack[muted][0] in ("svg", "math") and not any(s[0] == "foreignobject" for s in stack[muted:]):
-                del stack[muted:]  # neither has such elements: it lacks its end
+            elif tag in BLOCKS and stack[muted][0] in ("svg", "math") and standing.get("foreignobject", 0) == foreign:
+                cut(muted)  # neither has such elements: it lacks its end
                 muted = None
             else:
                 if tag not in VOID and not attributes.endswith("/"):
-                    stack.append((tag, *stack[-1][1:]))
+                    push(tag, *stack[-1][1:])
                 continue
         elif tag in SKIPPED and not closing:
             if not attributes.endswith("/"):
                 if unclosed(tag, at):
                     loose = True
                 else:
-                    muted = len(stack)
-                    stack.append((tag, *(stack[-1][1:] if stack else (False, ()))))
+                    muted, foreign = len(stack), standing.get("foreignobject", 0)
+                    push(tag, *(stack[-1][1:] if stack else (False, None)))
             continue
         if tag == "br":
             loose = False
@@ -229,82 +253,99 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             anchors = 0 if closing else 1
         if closing:
-            places = [i for i, s in enumerate(stack) if s[0] == tag]
-            if places:
+            place = place_of(tag)
+            if place >= 0:
                 if not block:
                     end()
-                del stack[places[-1] :]
+                cut(place)
                 if block:
                     anchors = 0
         elif tag not in VOID and not attributes.endswith("/"):
             if block and stack and (stack[-1][0] in CLOSED_BY_BLOCK or (tag in SAME_CLOSES and stack[-1][0] == tag)):
-                stack.pop()
+                cut(len(stack) - 1)
             out, doubt, level = _marks(tag, attributes)
-            above = stack[-1] if stack else ("", False, ())
-            if tag == "header" and not any(e.level for e in above[2]):
+            _, outside, above = stack[-1] if stack else ("", False, None)
+            if tag == "header" and not (above and above.levels):
                 out = True
             if block or out or doubt or level:
                 if not block:
                     end()
-                stack.append((tag, out or above[1], (*above[2], Element(tag, doubt, level)) if doubt or level else above[2]))
+                push(tag, out or outside, Element(tag, doubt, level, above) if doubt or level else above)
     end()
     return found
 
 
-def _measure(found: list[Block]) -> tuple[int, int]:
-    """Counts good and plain of elements; those of the page."""
+def _elements(found: list[Block]) -> list[Element]:
+    """The marked elements around blocks, outer ones before those inside them."""
+    seen: dict[Element, None] = {}
     for b in found:
-        for e in b.path:
-            e.good = e.plain = 0
+        e = b.around
+        while e is not None and e not in seen:
+            seen[e] = None
+            e = e.up
+    return sorted(seen, key=lambda e: e.depth)
+
+
+def _measure(found: list[Block]) -> tuple[int, int, list[Element]]:
+    """Counts good and plain of elements, from the inner ones to those around them; those of the page, and the elements."""
+    elements = _elements(found)
+    for e in elements:
+        e.good = e.plain = 0
     good = plain = 0
     for b in found:
         if b.label != 0:
             size, sure = len(b.text), len(b.text) if b.label else 0
             good, plain = good + sure, plain + size
-            for e in b.path:
-                e.good, e.plain = e.good + sure, e.plain + size
-    return good, plain
+            if b.around:
+                b.around.good, b.around.plain = b.around.good + sure, b.around.plain + size
+    for e in reversed(elements):
+        if e.up:
+            e.up.good, e.up.plain = e.up.good + e.good, e.up.plain + e.plain
+    return good, plain, elements
 
 
 def _settle(found: list[Block]) -> None:
     """Blocks in what forms or names make boilerplate are out, unless most of the text stands there."""
     inside = [b for b in found if not b.out]
-    if not any(e.doubt for b in inside for e in b.path):
+    clear = [b for b in inside if not (b.around and b.around.doubted)]
+    if len(clear) == len(inside):
         return
-    good, plain = _measure(inside)
-    clear = [b for b in inside if not any(e.doubt for e in b.path)]
-    marked = any(e.level for b in clear for e in b.path)
+    good, plain, elements = _measure(inside)
+    marked = any(b.around and b.around.levels for b in clear)
     free = marked or any(b.label for b in clear)
+    for e in elements:
+        e.out = e.up is not None and e.up.out
+        most = (2 * e.good > good or not good) and 2 * e.plain > plain
+        if e.doubt and not (e.level and most):
+            e.out = e.out or not most or (marked and e.good < LONG) or (e.doubt == 2 and e.good < good)
+        elif e.level and (most or not free):
+            e.out = False
     for b in inside:
-        for e in b.path:
-            most = (2 * e.good > good or not good) and 2 * e.plain > plain
-            if e.doubt and not (e.level and most):
-                b.out = b.out or not most or (marked and e.good < LONG) or (e.doubt == 2 and e.good < good)
-            elif e.level and (most or not free):
-                b.out = False
-        if b.out:
-            b.label = 0
+        if b.around and b.around.out:
+            b.out, b.label = True, 0
 
 
 def _region(found: list[Block]) -> set[Element]:
     """The marked elements that hold the article, if any do."""
     inside = [b for b in found if not b.out]
-    good, plain = _measure(inside)
-    marked = {e: [x for x in b.path[:i] if x.level] for b in inside for i, e in enumerate(b.path) if e.level}
+    good, plain, elements = _measure(inside)
+    marked = [e for e in elements if e.level]
     most = [e for e in marked if 2 * e.good > good]
     if most:
-        least = max(most, key=lambda e: len(marked[e]))  # those that hold most lie inside each other
-        around = [e for e in marked[least] if e.level == 2]
-        return {around[-1] if around and least.level == 2 and least.tag != "article" else least}
+        least = around = most[-1]  # those that hold most lie inside each other
+        if least.level == 2 and least.tag != "article":
+            around = least.up
+            while around is not None and around.level != 2:
+                around = around.up
+        return {around or least}
     for total, sure in ((good, True), (plain, False)):
         for level in (2, 1):
-            together = {e for e in marked if e.level == level}
-            held = sum(len(b.text) for b in inside if (b.label if sure else b.label != 0) and not together.isdisjoint(b.path))
-            if together and 2 * held > total:
-                return together
-    if good:
-        return set()
-    return {e for e in marked if e.level == max(x.level for x in marked)}
+            within = [b for b in inside if b.around and b.around.levels & 1 << level]
+            held = sum(len(b.text) for b in within if (b.label if sure else b.label != 0))
+            if within and 2 * held > total:
+                return {e for e in marked if e.level == level}
+    highest = max((e.level for e in marked), default=0)
+    return set() if good else {e for e in marked if e.level == highest}
 
 
 def _unlisted(found: list[Block]) -> bool:
@@ -324,7 +365,9 @@ def label(found: list[Block]) -> None:
     _settle(found)
     region = _region(found)
     if region:
-        within = [not b.out and not region.isdisjoint(b.path) for b in found]
+        for e in _elements(found):
+            e.chosen = e in region or (e.up is not None and e.up.chosen)
+        within = [not b.out and b.around is not None and b.around.chosen for b in found]
         for b, w in zip(found, within, strict=True):
             if w and (b.linked <= LINKED * len(b.text) or len(b.text) >= LONG):
                 b.label = 1 if len(b.text) >= SHORT or b.heading or not b.linked else None

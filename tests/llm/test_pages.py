@@ -1,4 +1,6 @@
 import html
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -103,3 +105,71 @@ def test_unmarked_pages_in_other_languages_keep_every_paragraph(language):
     page = f"<nav><ul>{links}</ul></nav><div><div>{html.escape(text[:30])}</div>{''.join(f'<p>{p}</p>' for p in whole)}</div><footer><p>© 2024 {html.escape(text[:40])}</p></footer>"
     got = pages.main_text(page)
     assert all(" ".join(html.unescape(p).split()) in got for p in whole) and "©" not in got
+
+
+class Reader(HTMLParser):
+    """The article element of a page, read by the standard library: blocks of text outside what is no part of it."""
+
+    BORDERS = {"article", "p", "h1", "h2", "h3", "h4", "ul", "ol", "li", "div", "section", "blockquote", "pre", "table", "tr", "td", "th", "figure", "figcaption", "header", "footer", "nav", "aside", "form"}
+    LEFT_OUT = {"nav", "footer", "aside", "form", "script", "style", "button", "select"}
+
+    def __init__(self, page: str):
+        super().__init__()
+        self.inside, self.out, self.parts, self.found = 0, [], [], []
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join("".join(self.parts).split())
+        self.found += [text] if text else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BORDERS:
+            self.end()
+        if tag == "br":
+            self.parts.append(" ")
+        self.inside += tag == "article"
+        names = set((dict(attrs).get("class") or "").split())
+        if tag in self.LEFT_OUT or names & {"ad", "comments", "comment", "share", "related"} or self.out and self.out[-1][0] == tag:
+            self.out.append((tag, tag in self.LEFT_OUT or bool(names)))
+
+    def handle_endtag(self, tag):
+        if tag in self.BORDERS:
+            self.end()
+        self.inside -= tag == "article"
+        if self.out and self.out[-1][0] == tag:
+            self.out.pop()
+
+    def handle_data(self, data):
+        if self.inside and not self.out:
+            self.parts.append(data)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_pages_against_another_reader(spark, scale):
+    table = spark.read.parquet(f"/root/testdata/{scale}/pages.parquet")
+    got = {r.page_id: r for r in pages.extract(table, ["page_id"]).collect()}
+    rows = table.collect()
+    assert len(got) == len(rows) > 0
+    for row in rows:
+        want = "\n\n".join(Reader(row.html or "").found)
+        assert (got[row.page_id].text, got[row.page_id].n_chars) == (want, len(want)), row.page_id
+
+
+@pytest.mark.parametrize("opening", ["<article>", "<main>", "<div itemprop=articleBody>", '<div class="ad">', "<form>", "<svg><g>", "<button>"])
+def test_deep_nesting_takes_linear_time(opening):
+    tag = opening[1:].split()[0].rstrip(">")
+    page = f"<body>{(opening + 'x') * 20_000}{f'</{tag}>' * 20_000}<p>{LONG}</p><p>{LONG}</p></body>"
+    start = time.process_time()
+    text = pages.main_text(page)
+    assert time.process_time() - start < 5
+    if opening in ("<svg><g>", "<button>", "<form>", '<div class="ad">'):
+        assert text.endswith("\n\n".join([" ".join(LONG.split())] * 2))
+
+
+def test_long_attribute_names_take_linear_time():
+    start = time.process_time()
+    assert pages.main_text(f"<p {'a' * 200_000}>Text</p>") == "Text"
+    assert time.process_time() - start < 5
