@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import remove
-from ledgerlens.sources.sinks import materialise, scratch_path
+from ledgerlens.llm.tables import noted_path, remove
+from ledgerlens.sources.sinks import materialise
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     of the longest path.
     """
     spark = edges.sparkSession
-    path = scratch_path(spark, "components")
+    path = noted_path(spark, "components")
     current = materialise(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), path)
     seen = None
     while True:
@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(checks) == seen or checks[0] == 0:
             break
         seen = tuple(checks)
-        following = scratch_path(spark, "components")
+        following = noted_path(spark, "components")
         rounded = _small_star(_large_star(current).filter(F.col("a") != F.col("b")).distinct()).distinct()
         current = materialise(rounded.filter(F.col("a") != F.col("b")), following)
         remove(spark, path)

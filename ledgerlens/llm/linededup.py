@@ -15,9 +15,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from ledgerlens.llm.tables import let, remove, stored, text_of
-from ledgerlens.sources.sinks import scratch_path
+from ledgerlens.llm.tables import let, noted_path, remove, stored, text_of, width
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,11 +48,11 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, threshold: int, fanout: int = 4):
         self.spark, self.threshold, self.fanout = spark, threshold, fanout
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = width(spark)
         self.levels: list[list[tuple[str, str]]] = []
 
     def _write(self, counts: DataFrame) -> tuple[str, str]:
-        name, path = f"llm_run_{uuid.uuid4().hex}", scratch_path(self.spark, "run")
+        name, path = f"llm_run_{uuid.uuid4().hex}", noted_path(self.spark, "run")
         dealt = counts.repartition(self.buckets, *KEY).sortWithinPartitions(*KEY)
         dealt.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
         return name, path
@@ -111,11 +111,19 @@ class LineRuns:
 
 
 def id_batches(docs: DataFrame, key: str, batches: int) -> list[DataFrame]:
-    """``docs`` in ranges of ``key``; a table laid out by key is read once, each batch its own row groups."""
-    low, high = docs.agg(F.min(key), F.max(key)).first()
-    if low is None or batches < 2 or high - low < batches:
+    """``docs`` in ranges of ``key`` with about as many rows each; a table laid out by key is read once, each batch its own row groups.
+
+    Keys that are no numbers are dealt by a hash.
+    """
+    if batches < 2:
+        return [docs]
+    if not isinstance(docs.schema[key].dataType, NumericType):
+        place = F.pmod(F.xxhash64(key), F.lit(batches))
+        return [docs.filter(place == i) for i in range(batches)]
+    shares = [i / batches for i in range(1, batches)]
+    cuts = sorted(set(docs.agg(F.percentile_approx(key, shares)).first()[0] or []))
+    if not cuts:
         return [docs]
-    cuts = [low + (high - low) * i // batches for i in range(1, batches)]
     first = docs.filter((F.col(key) < cuts[0]) | F.col(key).isNull())
     middle = [docs.filter((F.col(key) >= a) & (F.col(key) < b)) for a, b in zip(cuts, cuts[1:])]
     return [first, *middle, docs.filter(F.col(key) >= cuts[-1])]
@@ -129,10 +137,12 @@ def drop_frequent_lines(docs: DataFrame, threshold: int = 10, least: int = 1, ba
     meet them.
     """
     runs = LineRuns(docs.sparkSession, threshold, fanout)
-    for batch in id_batches(docs, key, batches):
-        runs.add(keys_of(batch, text, least))
-    frequent = stored(runs.settled(), "frequent_lines")
-    runs.close()
+    try:
+        for batch in id_batches(docs, key, batches):
+            runs.add(keys_of(batch, text, least))
+        frequent = stored(runs.settled(), "frequent_lines")
+    finally:
+        runs.close()
 
     row = [F.xxhash64(F.col(key), F.col(text)).alias("__r1"), F.xxhash64(F.lit(1), F.col(text), F.col(key)).alias("__r2")]
     lines = docs.select(*row, F.posexplode(line_keys(text_of(text))).alias("__at", "__line"))

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.components import components
-from ledgerlens.llm.tables import stored
+from ledgerlens.llm.tables import stored, width
 
 THRESHOLD = 0.98
 SAMPLE = 20_000
@@ -247,7 +247,7 @@ def _linked(nodes: DataFrame, total: int, threshold: float, block: int, query_bl
     held = held.withColumn("s", F.pmod(F.xxhash64(F.lit("s"), "node"), slices).cast("int"))
     columns_sent = ["kind", "g", "s", "p", F.lit(0).alias("asks"), "node", "n", "v", "cell"]
     met = held.select(*columns_sent).unionByName(asked.select(*[F.lit(1).alias("asks") if i == 4 else c for i, c in enumerate(columns_sent)]))
-    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "kind", "g", "s", "p").sortWithinPartitions("kind", "g", "s", "p", "asks")
+    met = met.repartition(width(spark), "kind", "g", "s", "p").sortWithinPartitions("kind", "g", "s", "p", "asks")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, entries, now = None, [], None

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tables import stored
+from ledgerlens.llm.tables import stored, width
 
 SAMPLE = 20_000
 MOST_CENTROIDS = 128
@@ -172,7 +172,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
         return pd.concat(out)
 
     # walking is the dearest step for a query, so queries are spread whatever their size in bytes
-    asked = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("vec_id"))
+    asked = asked.repartition(width(spark), F.xxhash64("vec_id"))
     queries = asked.mapInArrow(visit, "vec_id long, v array<double>, g int, cells array<int>")
     queries = queries.withColumn("s", F.explode(F.sequence(F.lit(0), F.get(slices, F.col("g")) - 1))).withColumn("b", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.lit(n_blocks)))
     entries = index.withColumn("g", group_of).withColumn("s", F.pmod(F.xxhash64(F.lit("e"), "vec_id", F.monotonically_increasing_id()), F.get(slices, F.col("g"))))

@@ -31,6 +31,8 @@ FOLDS = 4
 HELD_OUT = 2
 THRESHOLD = 0.7
 KEPT_SHAPES = 300_000
+LONGEST = 64
+SHAPE = 24
 
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
@@ -38,22 +40,24 @@ REPEATED = re.compile(r"(.)\1+")
 
 
 def shape(word: str) -> str:
-    """Letters as x, X or Xx, digits as 9, punctuation as it is, repeated characters twice."""
+    """Letters as x, X or Xx, digits as 9, punctuation as it is, repeated characters twice; longer shapes are cut to ``SHAPE`` characters."""
 
     def letters(m: re.Match) -> str:
         run = m[0]
         return "x" if run.islower() else "X" if run.isupper() and len(run) > 1 else "Xx" if run[1:].islower() or len(run) == 1 else "xX"
 
-    return REPEATED.sub(r"\1\1", DIGITS.sub("9", LETTERS.sub(letters, word)))[:24]
+    return REPEATED.sub(r"\1\1", DIGITS.sub("9", LETTERS.sub(letters, word)))[:SHAPE]
 
 
 class Shapes(dict):
-    """Shapes of the words met last."""
+    """Shapes of the words met last of at most ``LONGEST`` characters."""
 
     def __missing__(self, word: str) -> str:
-        if len(self) >= KEPT_SHAPES:
-            self.clear()
-        out = self[word] = shape(word)
+        out = shape(word)
+        if len(word) <= LONGEST:
+            if len(self) >= KEPT_SHAPES:
+                self.clear()
+            self[word] = out
         return out
 
 

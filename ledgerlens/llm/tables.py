@@ -2,16 +2,35 @@
 
 import sys
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.session import fit_shuffles
 from ledgerlens.sources.sinks import materialise, scratch_path
 
+#: Paths written outside any scope; ``close`` deletes them.
+_loose: list[str] = []
+_written: ContextVar[list[str]] = ContextVar("written", default=_loose)
+_fitted: set[tuple[str, str]] = set()
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; at its first reading shuffles are widened to suit its size."""
+    path = f"{sf_dir}/{name}.parquet"
+    if (spark.sparkContext.applicationId, path) not in _fitted:
+        fit_shuffles(spark, path)
+        _fitted.add((spark.sparkContext.applicationId, path))
+    return spark.read.parquet(path)
+
+
+def width(spark: SparkSession) -> int:
+    """How many partitions an explicit shuffle gets: as many as others start with."""
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(int(initial or 0), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def tokenizer(name: str) -> str:
@@ -26,7 +45,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor then costs a re-read, and the planner knows the true size of what it joins.
     """
-    return materialise(df, scratch_path(df.sparkSession, name))
+    return materialise(df, noted_path(df.sparkSession, name))
+
+
+def noted_path(spark: SparkSession, name: str) -> str:
+    """A new path that the end of the scope (or ``close``) deletes."""
+    path = scratch_path(spark, name)
+    _written.get().append(path)
+    return path
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside is deleted at the end, so results must have been written or counted by then."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        _delete(spark, paths)
+
+
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` stored; the tables it stored on its way are deleted."""
+    path = scratch_path(spark, name)
+    with scope(spark):
+        out = materialise(make(), path)
+    _written.get().append(path)
+    return out
+
+
+def close(spark: SparkSession) -> None:
+    """Delete all that was stored outside a scope; frames that read it can no longer be used."""
+    _delete(spark, _loose)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        remove(spark, paths.pop())
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 LEAF = 64
 BACK = 2
 KEPT = 300_000
+LONGEST = 64
 
 #: The pattern with which byte-level vocabularies of this kind are used.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Counter(dict):
-    """Tokens of a pre-token, kept for those met last."""
+    """Tokens of a pre-token, kept for those met last of at most ``LONGEST`` characters."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -40,9 +41,11 @@ class Counter(dict):
         self.pattern = regex.compile(PATTERN)
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= KEPT:
-            self.clear()
-        out = self[piece] = len(self.encoding.encode_ordinary(piece))
+        out = len(self.encoding.encode_ordinary(piece))
+        if len(piece) <= LONGEST:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = out
         return out
 
 

@@ -5,7 +5,8 @@ beginnings that mark toxic documents in the labelled sample), how often such wor
 second-person pronoun, capitals, punctuation, and obfuscation (letters broken by digits or symbols,
 also after undoing that). Lexicon features of training rows come from a lexicon learned on the other
 half of the sample, so that trees see them as they will be on new documents. Isotonic regression is
-fitted on a fifth of the sample that the trees have not seen.
+fitted on a fifth of the sample that the trees have not seen. A sign inside a word is undone with at most
+``AROUND`` characters on each side of it.
 
 The sample has at most ``rows`` labelled documents; every document is scored over its whole text.
 Null and empty texts have no hits and get the score of such a row. Without labels of both kinds the
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ ROWS = 20_000
 TERMS = 4_000
 STEM = 5
 NEAR = 4
+AROUND = 24
 FOLDS = 5
 HELD_OUT = 0
 
@@ -69,8 +71,8 @@ def features(text: str, terms: frozenset[str], stems: frozenset[str]) -> list[fl
     broken = undone = 0
     for m in INNER.finditer(lowered):
         broken += 1
-        around = lowered[max(0, m.start() - 24) : m.end() + 24]
-        token = SPACE.split(around[: m.start() - max(0, m.start() - 24)])[-1] + SPACE.split(lowered[m.start() : m.end() + 24])[0]
+        around = lowered[max(0, m.start() - AROUND) : m.end() + AROUND]
+        token = SPACE.split(around[: m.start() - max(0, m.start() - AROUND)])[-1] + SPACE.split(lowered[m.start() : m.end() + AROUND])[0]
         plain = "".join(WORD.findall(token.translate(PLAIN)))
         undone += plain in INSULTS or plain in terms
     size = max(1, len(text))
@@ -145,8 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = ROWS, ke
     # where the fifth lacks a kind, the calibration sees the whole sample
     seen = rest.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
     calibrated = trees.transform(rest if seen[0] and seen[1] else table)
-    isotonic = IsotonicRegression(featuresCol="probability", featureIndex=1, labelCol="label", predictionCol="score").fit(calibrated.select("probability", "label"))
-    return Model(lexicon(sampled), trees, isotonic)
+    # one weighted row for each probability, of which a forest has few
+    steps = calibrated.groupBy(vector_to_array("probability")[1].alias("p")).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("n"))
+    isotonic = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="n", predictionCol="score").fit(steps)
+    return Model(lexicon(sampled), trees, isotonic.setFeaturesCol("probability").setFeatureIndex(1))
 
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:

@@ -57,6 +57,20 @@ def test_nothing(nothing):
     assert linededup.drop_frequent_lines(nothing).count() == 0
 
 
+def test_batches_have_rows_alike_whatever_the_keys(spark):
+    far = spark.range(400).union(spark.createDataFrame([(10**15,), (None,)], "id long"))
+    sizes = [b.count() for b in linededup.id_batches(far, "id", 4)]
+    assert sum(sizes) == 402 and len(sizes) == 4 and min(sizes) > 80
+    hot = spark.createDataFrame([(7,)] * 90 + [(i,) for i in range(10)], "id long")
+    assert sum(b.count() for b in linededup.id_batches(hot, "id", 4)) == 100
+
+
+def test_keys_that_are_no_numbers(messy):
+    named = messy.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    want = sorted(map(str, linededup.drop_frequent_lines(messy.withColumn("doc_id", F.lit(None).cast("long")), threshold=3).drop("doc_id").collect()))
+    assert sorted(map(str, linededup.drop_frequent_lines(named, threshold=3).drop("doc_id").collect())) == want
+
+
 def test_native_plan(messy):
     plan = linededup.drop_frequent_lines(messy)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

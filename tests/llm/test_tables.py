@@ -1,4 +1,11 @@
+import pathlib
+
+import pytest
+
+from ledgerlens import session
+from ledgerlens.llm import linededup, quality, simhash, tables, tokencount
 from ledgerlens.llm.tables import kept_in_worker
+from ledgerlens.sources.sinks import shared_folder
 
 
 def test_only_the_last_made_is_kept():
@@ -12,3 +19,51 @@ def test_only_the_last_made_is_kept():
     assert kept_in_worker(make, "a") is first and made == ["a"]
     assert kept_in_worker(make, "b") == ["b"] and kept_in_worker(make, "a") is not first
     assert made == ["a", "b", "a"]
+
+
+def _folders(spark):
+    root = pathlib.Path(shared_folder(spark).removeprefix("file:")) / "ledgerlens"
+    return {p for p in root.rglob("*") if p.is_dir() and list(p.glob("*.parquet"))}
+
+
+def test_a_scope_and_close_leave_no_folder(spark, messy):
+    tables.close(spark)
+    before = _folders(spark)
+    with tables.scope(spark):
+        simhash.near_duplicates(messy).count()
+        assert len(_folders(spark)) > len(before)
+    assert _folders(spark) == before
+    kept = tables.settled(spark, "kept", lambda: linededup.drop_frequent_lines(messy, threshold=3))
+    assert len(_folders(spark) - before) == 1 and kept.count() == messy.count()
+    tables.close(spark)
+    assert _folders(spark) == before
+
+
+def test_a_scope_ends_with_the_error_inside(spark, messy):
+    before = _folders(spark)
+    with pytest.raises(ZeroDivisionError), tables.scope(spark):
+        tables.stored(messy, "lost")
+        1 / 0
+    assert _folders(spark) == before
+
+
+def test_reading_widens_shuffles(spark, tmp_path, monkeypatch):
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.range(5).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(session, "input_bytes", lambda *_: 300 * session.BYTES_PER_PARTITION)
+    assert tables.width(spark) < 300
+    try:
+        assert tables.read(spark, str(tmp_path), "documents").count() == 5
+        assert spark.conf.get(initial) == "300" == str(tables.width(spark)) == str(linededup.LineRuns(spark, 2).buckets)
+    finally:
+        spark.conf.unset(initial)
+
+
+def test_memos_do_not_keep_long_entries():
+    counter, shapes = tokencount.Counter(tables.tokenizer("byte_bpe_50k.tiktoken")), quality.Shapes()
+    for i in range(100):
+        long = f"w{i}" + "abcdefghij" * 1_000
+        assert counter[long] == len(counter.encoding.encode_ordinary(long))
+        assert shapes[long] == quality.shape(long)
+    assert not counter and not shapes
+    assert counter["word"] and shapes["word"] == "x" and list(counter) == list(shapes) == ["word"]
