@@ -6,12 +6,13 @@ Extra columns of any name go through unchanged, up to packing.
 
 import warnings
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import labelled, linededup, packing, quality, simhash, toxicity
-from ledgerlens.llm.tables import read, stored, tokenizer
+from ledgerlens.llm.tables import read, settled, tokenizer
 
 
 KEYS = ("doc_id", "text")
@@ -79,8 +80,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each is written to the shared folder and read again."""
+    """All stages over the documents; each is written to the shared folder and read again, and its own tables are deleted."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline_{name}")
+        docs = settled(spark, f"pipeline_{name}", partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
