@@ -12,7 +12,6 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from ledgerlens.operators import sizing  # noqa: E402
 from ledgerlens.plans.reports import REPORTS, close, report, warehouse  # noqa: E402
 
 TABLES = ("lifecycles", "stg_subscriptions", "events", "days", "int_subscriptions", "borders", "int_usage", "fct")
@@ -45,7 +44,6 @@ def main() -> None:
         timed(f"build_{table}", lambda: getattr(tables, table))
     for name in REPORTS:
         timed(name, lambda: report(name, spark, sf_dir).write.format("noop").mode("overwrite").save())
-        sizing.release()
     close()
     spark.stop()
     line = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import constants as C
 from ledgerlens.functions import days_between, half_up, month_first, ratio
-from ledgerlens.operators.rules import classify
+from ledgerlens.operators.rules import Limits, classify
 from ledgerlens.operators.statistics import sigma_outliers, spread
 
 
@@ -86,17 +86,17 @@ def mrr_sigma_global(raw: DataFrame, k: float = 2) -> DataFrame:
     )
 
 
-def mrr_rule_classes(raw: DataFrame) -> DataFrame:
+def mrr_rule_classes(raw: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """MRR outside what its plan charges, named by the first rule that explains it."""
     mrr, plan = F.col("mrr_amount"), F.col("plan_type")
     annual = (
         (plan == "Enterprise")
         & (F.col("billing_period") == "annual")
-        & mrr.between(C.MRR_HIGH, C.MRR_EXTREME)
+        & mrr.between(limits.high, limits.extreme)
     )
-    rules = [(mrr > C.MRR_EXTREME, C.ISSUE_MRR_EXTREME), (annual, C.ISSUE_MRR_ANNUAL)]
+    rules = [(mrr > limits.extreme, C.ISSUE_MRR_EXTREME), (annual, C.ISSUE_MRR_ANNUAL)]
     rules += [
-        ((plan == p) & (mrr > C.PLAN_CEILING[p]), label) for p, label in C.ISSUE_ABOVE_PLAN.items()
+        ((plan == p) & (mrr > limits.ceilings[p]), label) for p, label in C.ISSUE_ABOVE_PLAN.items() if p in limits.ceilings
     ]
     labelled = raw.withColumn("issue", classify(rules)).where(F.col("issue").isNotNull())
     return labelled.select(

@@ -1,13 +1,26 @@
 """Ordered rule tables: the first rule that holds names the row."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlens import constants as C
+
 Rule = tuple[Column, str]
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Above what an amount or a trial is suspect: high and extreme MRR, the most each plan charges, days of a trial."""
+
+    high: float = C.MRR_HIGH
+    extreme: float = C.MRR_EXTREME
+    ceilings: Mapping[str, float] = field(default_factory=lambda: dict(C.PLAN_CEILING))
+    trial_days: int = C.SUSPECT_TRIAL_DAYS
+
+
 def classify(rules: Sequence[Rule], otherwise: str | None = None) -> Column:
     """Label of the first rule that holds, else ``otherwise``."""
     label = F.when(rules[0][0], F.lit(rules[0][1]))

@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.days import events_on
-from ledgerlens.operators.sizing import sized
 
 
 def spread(value: Column, k: float = 2) -> Column:
@@ -33,8 +32,11 @@ def sigma_outliers(
 def sigma_outliers_by(
     df: DataFrame, value: str, by: str, population: Column, k: float = 2
 ) -> DataFrame:
-    """Rows above the limit of their own group, with ``_stats`` attached."""
-    stats = sized(df.where(population).groupBy(by).agg(spread(F.col(value), k).alias("_stats")))
+    """Rows above the limit of their own group, with ``_stats`` attached.
+
+    Adaptive execution broadcasts the statistics where they turn out small and splits hot groups where not.
+    """
+    stats = df.where(population).groupBy(by).agg(spread(F.col(value), k).alias("_stats"))
     return df.join(stats, by).where(F.col(value) > F.col("_stats.limit"))
 
 

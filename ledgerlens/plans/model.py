@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import constants as C
 from ledgerlens.functions import days_between
-from ledgerlens.operators.rules import classify, not_flagged
+from ledgerlens.operators.rules import Limits, classify, not_flagged
 from ledgerlens.sources.schemas import SEQ
 
 
@@ -46,29 +46,29 @@ def billing_cycle_days() -> Column:
     return cycle
 
 
-def data_quality_flag() -> Column:
+def data_quality_flag(limits: Limits = Limits()) -> Column:
     """The first defect that applies, most damaging first."""
     mrr, active = F.col("mrr_amount"), F.col("status") == "active"
     trial = days_between(F.col("start_date"), F.col("trial_end_date"))
     above_plan = F.lit(False)
-    for plan, ceiling in C.PLAN_CEILING.items():
+    for plan, ceiling in limits.ceilings.items():
         above_plan = above_plan | ((F.col("plan_type") == plan) & (mrr > ceiling))
     return classify(
         [
             (F.col("end_date") < F.col("start_date"), C.INVERTED),
-            (trial > C.SUSPECT_TRIAL_DAYS, C.SUSPECT_TRIAL),
+            (trial > limits.trial_days, C.SUSPECT_TRIAL),
             (active & (mrr == 0), C.ZERO_MRR),
             (F.col("rate_to_usd").isNull(), C.UNKNOWN_CURRENCY),
             (active & mrr.isNull(), C.NULL_MRR),
             (F.col("discount_percentage") == 100, C.FULL_DISCOUNT),
-            (mrr > C.MRR_EXTREME, C.OUTLIER_EXTREME),
-            (mrr > C.MRR_HIGH, C.OUTLIER_HIGH),
+            (mrr > limits.extreme, C.OUTLIER_EXTREME),
+            (mrr > limits.high, C.OUTLIER_HIGH),
             (above_plan, C.ANOMALY_VS_PLAN),
         ]
     )
 
 
-def int_subscriptions(staged: DataFrame, rates: DataFrame, as_of: dt.date) -> DataFrame:
+def int_subscriptions(staged: DataFrame, rates: DataFrame, as_of: dt.date, limits: Limits = Limits()) -> DataFrame:
     """Staged lifecycles with USD amounts, lengths and their quality flag.
 
     ``rates`` has one row per currency code, hence the broadcast.
@@ -83,9 +83,9 @@ def int_subscriptions(staged: DataFrame, rates: DataFrame, as_of: dt.date) -> Da
         "start_date", "end_date", "trial_end_date", "created_at", "updated_at",
         is_active().alias("is_active"),
         subscription_length_days(as_of).alias("subscription_length_days"),
-        trial_length_days().alias("trial_length_days"),
+        trial_length_days(limits.trial_days).alias("trial_length_days"),
         billing_cycle_days().alias("billing_cycle_days"),
-        data_quality_flag().alias("data_quality_flag"),
+        data_quality_flag(limits).alias("data_quality_flag"),
         SEQ,
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens import constants as C
 from ledgerlens.operators.days import account_days
 from ledgerlens.operators.intervals import int_usage_per_subscription, window_borders
+from ledgerlens.operators.rules import Limits
 from ledgerlens.operators.staging import lifecycle_key, stage_subscriptions, stg_usage_events
 from ledgerlens.plans import model
 from ledgerlens.sources.lookups import date_spine, fx_rates
@@ -33,7 +34,8 @@ class Warehouse:
     filters down, events are added up and shuffled by account only once, and a lost executor does not
     rebuild the interval rollup. Events and account-days lie in a folder for each month, so a range of days
     reads its own months. ``close`` deletes what was stored. ``rates`` (currency to USD) replaces
-    the built-in exchange rates, ``spike`` the user count above which activity KPIs leave an event out.
+    the built-in exchange rates, ``spike`` the user count above which activity KPIs leave an event out, ``limits``
+    those of the quality flag.
     """
 
     def __init__(
@@ -44,6 +46,7 @@ class Warehouse:
         as_of: dt.date,
         rates: dict | None = None,
         spike: int = C.USER_SPIKE,
+        limits: Limits = Limits(),
     ):
         self.spark = spark
         self.raw_subscriptions = subscriptions
@@ -51,6 +54,7 @@ class Warehouse:
         self.as_of = as_of
         self.rates = fx_rates(spark, rates)
         self.spike = spike
+        self.limits = limits
         self._paths: dict[str, str] = {}
 
     @cached_property
@@ -75,7 +79,7 @@ class Warehouse:
         return _within(self._events_by_month, first, last)
 
     def build_int_subscriptions(self) -> DataFrame:
-        return model.int_subscriptions(self.stg_subscriptions, self.rates, self.as_of)
+        return model.int_subscriptions(self.stg_subscriptions, self.rates, self.as_of, self.limits)
 
     def build_int_usage(self) -> DataFrame:
         return int_usage_per_subscription(self.int_subscriptions, self.days, self.borders)

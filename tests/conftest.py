@@ -27,14 +27,6 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(autouse=True)
-def _release():
-    yield
-    from ledgerlens.operators import sizing
-
-    sizing.release()
-
-
 def _frame(spark, schema, defaults, rows):
     names = [*schema.names, SEQ]
     filled = []

@@ -5,6 +5,8 @@ from decimal import Decimal
 import pytest
 
 from ledgerlens import constants as C
+from ledgerlens.operators import quality
+from ledgerlens.operators.rules import Limits
 from ledgerlens.plans import model
 from ledgerlens.plans.warehouse import Warehouse
 
@@ -16,6 +18,21 @@ def flags(make_warehouse, *subs):
     return {r.subscription_id: r.data_quality_flag for r in rows}
 
 
+def test_limits_of_the_flag_are_parameters(spark, raw_subs, raw_events):
+    rows = raw_subs(
+        dict(subscription_id="high", mrr_amount=20), dict(subscription_id="extreme", mrr_amount=31),
+        dict(subscription_id="plan", mrr_amount=8), dict(subscription_id="trial", mrr_amount=1, trial_end_date="12/02/2024"),
+        dict(subscription_id="clean", mrr_amount=7),
+    )
+    limits = Limits(high=10, extreme=30, ceilings={"Starter": 7}, trial_days=9)
+    found = Warehouse(spark, rows, raw_events({}), AS_OF, limits=limits).build_int_subscriptions().collect()
+    assert {r.subscription_id: r.data_quality_flag for r in found} == {
+        "high": C.OUTLIER_HIGH, "extreme": C.OUTLIER_EXTREME, "plan": C.ANOMALY_VS_PLAN, "trial": C.SUSPECT_TRIAL, "clean": None,
+    }
+    issues = {r.subscription_id: r.issue for r in quality.mrr_rule_classes(rows, limits).collect()}
+    assert issues == {"extreme": C.ISSUE_MRR_EXTREME, **dict.fromkeys(["high", "plan"], C.ISSUE_ABOVE_PLAN["Starter"])}
+
+
 def test_flag_priority(make_warehouse):
     inverted = dict(end_date="01/01/2024", trial_end_date="01/01/2025", mrr_amount=99900)
     got = flags(
