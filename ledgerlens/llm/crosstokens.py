@@ -8,9 +8,10 @@ no tokens.
 Where a token of A and one of B end together, a group ends; tokens that end together are linked. After
 full tokenization, anchors are the byte offsets at which both tokenizers start a token that begins with a
 space; each is verified to be a shared end. Both tokenizers start anew at a single space before a visible
-character, so tokenization itself goes word by word with a memo; the ids are those of the whole text. Anchors cut a document into windows of a few token ids, and the
-alignment of a window depends on its ids alone, so it is memoised by both tuples of ids (packed as one key). The memo
-is bounded by entries of bounded length, and a window of more than ``LONG`` bytes of ids is not kept.
+character, so tokenization itself goes word by word; the ids are those of the whole text. Anchors cut ids into windows of a few, and the
+alignment of a window depends on its ids alone, so it is memoised by both tuples of ids (packed as one key). Every word starts at
+an anchor, so a document's windows are those of its words in a row: a memo of words keeps the alignments of each word's windows.
+Both memos are bounded by entries of bounded length; a window of more than ``LONG`` bytes of ids is not kept.
 
 A pair of ids counts, over the corpus, as many links as hold it. Links of a document are added up to one
 number for each pair before anything is shuffled, and pairs are added up again on the map side. The counts
@@ -33,7 +34,7 @@ from ledgerlens.llm.tables import kept_in_worker, stored
 
 #: Bounds of both memos: entries of a generation, and the longest word (characters) and window (bytes of its ids) kept.
 WORDS = 300_000
-WINDOWS = 200_000
+WINDOWS = 50_000
 LONG_WORD = 64
 LONG = 160
 CHUNK = 256
@@ -91,19 +92,27 @@ class Aligner:
         self.shown = [f"{i}{end}" for table, ends in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for i in range(len(table)) for end in ends]
         self.b_from = len(self.a_bytes)
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Packed ids by A and by B; both empty where the bytes do not come out as the space and the text."""
+    def align(self, texts: list[str]) -> list[tuple[int, int, str, np.ndarray, np.ndarray]]:
+        """Of each text: tokens of A and of B, groups as text, linked pairs (A's id in the upper, B's in the lower 32 bits), byte lengths of groups.
+
+        All are empty where the bytes do not come out as the space and the text.
+        """
         cut = []
         for text in texts:
             first, *words = WORD.split(" " + text)
             cut.append(([first[1:]] if first else []) + words if text else [])
         known = self.words
-        new = self._words(list(set(chain.from_iterable(cut)).difference(known, known.older)))
+        new = self._aligned(self._words(list(set(chain.from_iterable(cut)).difference(known, known.older))))
         known.update(new)
+        nothing = np.zeros(0, np.int64)
         out = []
         for words in cut:
-            both = list(map(known.__getitem__, words))
-            out.append((b"", b"") if None in both else (b"".join([x for x, _ in both]), b"".join([y for _, y in both])))
+            each = list(map(known.__getitem__, words))
+            if not each or None in each:
+                out.append((0, 0, "", nothing, nothing))
+                continue
+            n_a, n_b, shown, pairs, sizes = zip(*each, strict=True)
+            out.append((sum(n_a), sum(n_b), ";".join(shown), np.frombuffer(b"".join(pairs), np.int64), np.frombuffer(b"".join(sizes), np.int64)))
         # long words do not recur
         for word in new:
             if len(word) > LONG_WORD:
@@ -111,6 +120,34 @@ class Aligner:
         known.turn()
         return out
 
+    def _aligned(self, encoded: dict[str, tuple[bytes, bytes] | None]) -> dict[str, tuple[int, int, str, bytes, bytes] | None]:
+        """Words with the alignments of their windows in a row: tokens of A and of B, groups, pairs, byte lengths.
+
+        The words' ids stand end to end for this: each word starts at an anchor, so none of their windows holds ids of two.
+        """
+        out: dict[str, tuple | None] = dict.fromkeys(encoded)
+        sound = [word for word, both in encoded.items() if both]
+        if not sound:
+            return out
+        of_a, of_b = zip(*map(encoded.__getitem__, sound), strict=True)
+        windows, ends = self.windows_of(b"".join(of_a), b"".join(of_b))
+        last = np.searchsorted(ends, np.cumsum(list(map(len, of_a))))
+        memo = self.windows
+        fresh = list(set(windows).difference(memo, memo.older))
+        memo.update(zip(fresh, self.align_windows(fresh), strict=True))
+        each = list(map(memo.__getitem__, windows))
+        start = 0
+        for word, a, b, end in zip(sound, of_a, of_b, (last + 1).tolist(), strict=True):
+            shown, pairs, sizes = each[start] if end == start + 1 else (";".join([e[0] for e in each[start:end]]), *[b"".join([e[k] for e in each[start:end]]) for k in (1, 2)])
+            out[word] = (len(a) // 4, len(b) // 4, shown, pairs, sizes)
+            start = end
+        # long windows do not recur
+        for window in fresh:
+            if len(window) > LONG:
+                del memo[window]
+        memo.turn()
+        return out
+
     def _words(self, words: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
         """Packed ids of words by both, each with a space before it; None where the bytes differ."""
         joined = [w for w in words if VISIBLE.match(w) and not w.endswith(" ")]
@@ -142,29 +179,9 @@ class Aligner:
             packed.append([whole[i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
         return dict(zip(words, zip(*packed, strict=True), strict=True))
 
-    def align(self, encoded: list[tuple[bytes, bytes]]) -> list[tuple[str, np.ndarray, np.ndarray]]:
-        """Of each document: groups as text, linked pairs (A's id in the upper, B's in the lower 32 bits), byte lengths of groups."""
-        cut = [self.windows_of(*both) for both in encoded]
-        memo = self.windows
-        new = list(set(chain.from_iterable(cut)).difference(memo, memo.older))
-        memo.update(zip(new, self.align_windows(new), strict=True))
-        out = []
-        for windows in cut:
-            each = list(map(memo.__getitem__, windows))
-            pairs, sizes = (np.frombuffer(b"".join([e[k] for e in each]), np.int64) for k in (1, 2))
-            out.append((";".join([e[0] for e in each]), pairs, sizes))
-        # long windows do not recur
-        for window in new:
-            if len(window) > LONG:
-                del memo[window]
-        memo.turn()
-        return out
-
-    def windows_of(self, packed_a: bytes, packed_b: bytes) -> list[bytes]:
-        """A document's ids cut at its anchors; each window's ids of A, then those of B raised by ``b_from``, packed."""
+    def windows_of(self, packed_a: bytes, packed_b: bytes) -> tuple[list[bytes], list[int]]:
+        """Ids cut at their anchors: each window's ids of A, then those of B raised by ``b_from``, packed; where windows end in ``packed_a``."""
         a, b = np.frombuffer(packed_a, np.int32), np.frombuffer(packed_b, np.int32)
-        if not len(a):
-            return []
         starts, marked = [], []
         for ids, table, spaced in zip((a, b), self.lengths, self.spaced, strict=True):
             own = np.flatnonzero(spaced[ids])
@@ -176,7 +193,8 @@ class Aligner:
         _, x, y = np.intersect1d(*starts, assume_unique=True, return_indices=True)
         cut_a, cut_b = (4 * marked[0][x]).tolist(), (4 * marked[1][y]).tolist()
         raised = (b + self.b_from).tobytes()
-        return [packed_a[i:j] + raised[k:m] for i, j, k, m in zip([0, *cut_a], [*cut_a, len(packed_a)], [0, *cut_b], [*cut_b, len(raised)], strict=True)]
+        ends = [*cut_a, len(packed_a)]
+        return [packed_a[i:j] + raised[k:m] for i, j, k, m in zip([0, *cut_a], ends, [0, *cut_b], [*cut_b, len(raised)], strict=True)], ends
 
     def align_windows(self, windows: list[bytes]) -> list[tuple[str, bytes, bytes]]:
         """Groups as text, linked pairs and byte lengths of groups of windows; all at once, since they end together end to end."""
@@ -221,10 +239,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
             for start in range(0, whole.num_rows, CHUNK):
                 batch = whole.slice(start, CHUNK)
                 out = []
-                encoded = aligner.encode([t or "" for t in batch.column(1).to_pylist()])
-                for (a, b), (groups, linked, sizes) in zip(encoded, aligner.align(encoded), strict=True):
+                for n_a, n_b, groups, linked, sizes in aligner.align([t or "" for t in batch.column(1).to_pylist()]):
                     pairs, often = np.unique(linked, return_counts=True)
-                    out.append((len(a) // 4, len(b) // 4, groups, np.cumsum(sizes), pairs, often))
+                    out.append((n_a, n_b, groups, np.cumsum(sizes), pairs, often))
                 kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 3]
                 columns = [pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, "n_a", "n_b", "groups", "ends", "pairs", "links"])

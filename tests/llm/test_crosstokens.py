@@ -41,14 +41,19 @@ def _shown(groups):
     return ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
 
 
+def _ids(shown):
+    """The ids of A and of B in the notation of groups."""
+    sides = [group.split("|") for group in shown.split(";")] if shown else []
+    return tuple([int(i) for side in sides for i in side[k].split(",")] for k in (0, 1))
+
+
 def test_tokens_and_groups_are_those_of_the_whole_text(aligner):
     texts = _texts(3000, 1) + ["word " * 3000, "x" * 5000, "中" * 3000]
     for start in range(0, len(texts), 50):
         part = texts[start : start + 50]
-        encoded = aligner.encode(part)
-        for text, (a, b), (shown, pairs, sizes) in zip(part, encoded, aligner.align(encoded), strict=True):
+        for text, (n_a, n_b, shown, pairs, sizes) in zip(part, aligner.align(part), strict=True):
             x, y, groups = _whole(aligner, text)
-            assert np.frombuffer(a, np.int32).tolist() == x and np.frombuffer(b, np.int32).tolist() == y, text
+            assert _ids(shown) == (x, y) and (n_a, n_b) == (len(x), len(y)), text
             assert shown == _shown(groups)
             assert pairs.tolist() == [g[0][-1] << 32 | g[1][-1] for g in groups]
             assert sizes.sum() == (len((" " + text).encode()) if groups else 0)
@@ -60,12 +65,20 @@ def test_memo_changes_nothing(aligner, monkeypatch):
     small = crosstokens.Aligner(A_PATH, B_PATH)
     texts = _texts(400, 2)
     for text in texts:
-        encoded = small.encode([text])
-        assert encoded == aligner.encode([text])
-        assert [x[0] for x in small.align(encoded)] == [x[0] for x in aligner.align(encoded)]
+        (own,), (other,) = small.align([text]), aligner.align([text])
+        assert own[:3] == other[:3] and all(np.array_equal(x, y) for x, y in zip(own[3:], other[3:], strict=True))
     assert len(small.words) < 100 and len(small.windows) < 100
 
 
+def test_windows_of_words_in_a_row_are_those_of_the_text(aligner):
+    for text in [t for t in _texts(400, 5) if t] + ["one  two\t three\n four" * 50]:
+        a, b, groups = _whole(aligner, text)
+        if groups:
+            windows, ends = aligner.windows_of(*(np.array(ids, np.int32).tobytes() for ids in (a, b)))
+            assert ends[-1] == 4 * len(a) and ";".join(shown for shown, _, _ in aligner.align_windows(windows)) == _shown(groups)
+            assert aligner.align([text])[0][2] == _shown(groups)
+
+
 def test_counts_by_both_ways(spark, aligner, messy, nothing):
     texts = _texts(120, 3) + [None, "", "the the the", "the the the"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, "the a")], "doc_id long, text string").unionByName(messy.select("doc_id", "text"))
