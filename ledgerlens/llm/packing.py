@@ -41,7 +41,7 @@ LONG_WORD = 64
 CHUNK = 1 << 20
 
 #: Latin-1 without the characters at which engines differ about white space.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
+PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 #: The file's own splitting pattern for lower-cased text of these characters.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9²³¹¼½¾a-zªµºß-öø-ÿ]+")
 #: What the last token of every part ends with.
@@ -52,6 +52,14 @@ def packed(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if LITTLE else b"".join(i.to_bytes(4, "little") for i in ids)
 
 
+def plain(text: str) -> bool:
+    """Whether a text has only the Latin-1 characters of ``PLAIN``."""
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
 class Encoder:
     """Token ids, as little-endian 32-bit numbers, equal to the tokenizer's own.
 
@@ -72,7 +80,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         known, cut, new = self.words, [], set()
         for text in texts:
-            words = text.lower().split() if PLAIN.fullmatch(text) and "<|" not in text else None
+            words = text.lower().split() if plain(text) and "<|" not in text else None
             found = [] if words is None else list(map(known.get, words))
             missing = [i for i, ids in enumerate(found) if ids is None]
             new.update([words[i] for i in missing])
@@ -83,7 +91,8 @@ class Encoder:
             for i in missing:
                 found[i] = fresh[words[i]]
             out.append(self._whole(text) if words is None else b"".join(found))
-        _keep(known, fresh)
+        known.update(fresh)
+        _shorten(known, fresh)
         return out
 
     def _whole(self, text: str) -> bytes:
@@ -95,9 +104,7 @@ class Encoder:
         fresh = dict(zip(new, self._parts(new), strict=True))
         known.update(fresh)
         out = {word: b"".join(map(known.__getitem__, parts)) for word, parts in zip(words, cut, strict=True)}
-        for part in fresh:
-            del known[part]
-        _keep(known, fresh)
+        _shorten(known, fresh)
         return out
 
     def _parts(self, parts: list[str]) -> list[bytes]:
@@ -112,11 +119,13 @@ class Encoder:
         return [whole[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-def _keep(known: dict[str, bytes], fresh: dict[str, bytes]) -> None:
-    """Adds what is short (long words do not recur); starts anew at ``KEPT_WORDS``."""
+def _shorten(known: dict[str, bytes], fresh: dict[str, bytes]) -> None:
+    """Takes out what is long of the words just added (long words do not recur); starts anew at ``KEPT_WORDS``."""
     if len(known) >= KEPT_WORDS:
         known.clear()
-    known.update((word, ids) for word, ids in fresh.items() if len(word) <= LONG_WORD)
+        return
+    for word in [w for w in fresh if len(w) > LONG_WORD]:
+        del known[word]
 
 
 class Piece:
