@@ -103,23 +103,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     half, wanted = points.shape[1] // 2, max(1, min(MOST_CENTROIDS, math.isqrt(total)))
     # a vector of one component has an empty first half and then one centroid for it
     centres = [k_means(points[:, :half], wanted), k_means(points[:, half:], wanted)]
-    width = len(centres[1])
+    columns = len(centres[1])
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(1))
-            cells = nearest(x[:, :half], centres[0]) * width + nearest(x[:, half:], centres[1]) if len(x) else []
+            cells = nearest(x[:, :half], centres[0]) * columns + nearest(x[:, half:], centres[1]) if len(x) else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32())], names=["vec_id", "v", "cell"])
 
     index = stored(sound.mapInArrow(file, "vec_id long, v array<double>, cell int"), "index")
     # one number for each pair of centroids, at most MOST_CENTROIDS squared
-    counts = np.zeros(len(centres[0]) * width, dtype=np.int64)
+    counts = np.zeros(len(centres[0]) * columns, dtype=np.int64)
     for r in index.select("cell", F.xxhash64("v").alias("h")).distinct().groupBy("cell").count().collect():
         counts[r["cell"]] = r["count"]
     budget = max(least, math.ceil(share * int(counts.sum())))
     n_groups = max(1, min(len(centres[0]), -(-total // block)))
     per_group = len(centres[0]) / n_groups
-    group_of = F.least(F.floor(F.floor(F.col("cell") / width) / per_group), F.lit(n_groups - 1)).cast("int")
+    group_of = F.least(F.floor(F.floor(F.col("cell") / columns) / per_group), F.lit(n_groups - 1)).cast("int")
     rows_of = [0] * n_groups
     for r in index.groupBy(group_of.alias("g")).count().collect():
         rows_of[r["g"]] = r["count"]
@@ -137,7 +137,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
             x = _matrix(batch.column(1))
             for i, query in enumerate(batch.column(0).to_pylist()):
                 passed = np.array(walk(centres[0] @ x[i, :half], centres[1] @ x[i, half:], counts, budget))
-                of = np.minimum(passed // width // per_group, n_groups - 1).astype(int)
+                of = np.minimum(passed // columns // per_group, n_groups - 1).astype(int)
                 for g in np.unique(of):
                     for name, value in zip(out, (query, x[i], int(g), np.sort(passed[of == g]).astype(np.int32)), strict=True):
                         out[name].append(value)

@@ -47,6 +47,13 @@ def test_odd_vectors_and_ties(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in sorted(few, key=lambda r: r.rank)] == [(0, 1, 3), (0, 2, 47)]
 
 
+def test_queries_are_dealt_over_the_sessions_partitions(spark):
+    df = spark.createDataFrame([(i, [1.0 + i, 2.0, 3.0, 4.0, 5.0]) for i in range(6)], "vec_id long, embedding array<float>")
+    got = neighbours.search(df, F.col("vec_id") == 0, k=2)
+    assert [(r.query_id, r.rank, r.vec_id) for r in got.orderBy("rank").collect()] == [(0, 1, 5), (0, 2, 4)]
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_walk_goes_by_falling_sums():
     rnd = np.random.default_rng(2)
     for _ in range(50):
