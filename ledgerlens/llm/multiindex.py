@@ -189,12 +189,12 @@ def near_duplicates(
 def _linked(nodes: DataFrame, total: int, threshold: float, block: int, query_block: int) -> DataFrame:
     """node, links (weighted), component (smallest node) of nodes with a link."""
     spark = nodes.sparkSession
-    width = nodes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first().d
-    drawn = nodes.filter(F.size("v") == width).orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    length = nodes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first().d
+    drawn = nodes.filter(F.size("v") == length).orderBy("h1", "h2").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
     points = _units(_matrix(drawn))
     # cells are as many as the vectors that a vector is usually compared with
     usual = nodes.groupBy("kind").count().agg((F.sum(F.col("count") * F.col("count").cast("double")) / F.sum("count")).alias("n")).first().n
-    half, k = width // 2, max(1, min(MOST_CENTROIDS, math.isqrt(int(usual))))
+    half, k = length // 2, max(1, min(MOST_CENTROIDS, math.isqrt(int(usual))))
     books = [codebook(points[:, :half], k), codebook(points[:, half:], k)]
     columns = len(books[1])
     limit = max(0.0, 2 - 2 * threshold) + SLACK
@@ -204,7 +204,7 @@ def _linked(nodes: DataFrame, total: int, threshold: float, block: int, query_bl
         sizes = np.diff(batch.column(at).offsets.to_numpy())
         for d in np.unique(sizes):
             own = np.flatnonzero(sizes == d)
-            yield own, _fitted(_units(_matrix(batch.column(at).take(pa.array(own)))), width)
+            yield own, _fitted(_units(_matrix(batch.column(at).take(pa.array(own)))), length)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +272,7 @@ def _linked(nodes: DataFrame, total: int, threshold: float, block: int, query_bl
                     for a in range(0, len(x), 1024):
                         part = x[a : a + 1024]
                         units, scaled = _units(part), _scaled(part)
-                        fitted = _fitted(units, width)
+                        fitted = _fitted(units, length)
                         first, second = bounds(fitted[:, :half], books[0], radii[0]), bounds(fitted[:, half:], books[1], radii[1])
                         for i in range(len(part)):
                             node = int(ids[at + a + i])

@@ -72,6 +72,12 @@ def test_odd_rows(spark):
     assert _got(multiindex.near_duplicates(df.filter("vec_id = 1"))) == [(1, 0, 1, True)]
 
 
+def test_nodes_are_dealt_over_the_sessions_partitions(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (2, [1.0, 0.01, 0.0], 1), (3, [0.0, 1.0, 0.0], 1), (4, [1.0, 0.0, 0.0], 2)]
+    got = _got(multiindex.near_duplicates(spark.createDataFrame(rows, SCHEMA)))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
 def test_traversal_goes_by_rising_sums():
     rnd = np.random.default_rng(6)
     for _ in range(50):
