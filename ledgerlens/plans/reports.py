@@ -12,7 +12,7 @@ from ledgerlens.functions import blank_to_null, negative_to_null, normalise_case
 from ledgerlens.operators import anomaly, intervals, quality
 from ledgerlens.plans import fit, health, kpi, model
 from ledgerlens.plans.warehouse import Warehouse
-from ledgerlens.session import fit_shuffles
+from ledgerlens.session import bound_tasks, fit_shuffles, report_partitions
 from ledgerlens.sources import files, sinks, star
 from ledgerlens.sources.lookups import date_spine_over
 from ledgerlens.sources.schemas import RAW_SUBSCRIPTIONS, RAW_USAGE_EVENTS, SEQ
@@ -35,7 +35,9 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _warehouses:
-        fit_shuffles(spark, *[f"{sf_dir}/{name}.parquet" for name in star.TABLES])
+        tables = [f"{sf_dir}/{name}.parquet" for name in star.TABLES]
+        fit_shuffles(spark, *tables, partitions=report_partitions)
+        bound_tasks(spark, *tables)
         _warehouses[key] = Warehouse(
             spark, star.raw_subscriptions(spark, sf_dir), star.raw_usage_events(spark, sf_dir), AS_OF
         )
