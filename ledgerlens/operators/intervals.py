@@ -200,19 +200,20 @@ def window_borders(days: DataFrame, lifecycles: DataFrame) -> DataFrame:
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
     peak = "_max_active_users"
     summed = [c for c in part_names() if c != peak]
-    table = marks.select(
-        *_KEY, F.col(peak).alias("_l0"), F.row_number().over(in_order).alias("_row"),
-        F.count(summed[0]).over(so_far).alias("_days"),
-        *[F.sum(c).over(so_far).alias(c) for c in summed],
-        *[F.count(c).over(so_far).alias(f"_n{c}") for c in summed],
-    )
+    # doubled first, while rows are narrow: each level passes all columns through a window
+    table = marks.withColumnRenamed(peak, "_l0")
     levels = max(1, longest.bit_length())
     for level in range(1, levels):
         reached = F.greatest(f"_l{level - 1}", F.lead(f"_l{level - 1}", 1 << (level - 1)).over(in_order))
         table = table.withColumn(f"_l{level}", reached)
-    ahead = F.array(*[F.col(f"_l{k}") for k in range(levels)])
-    back = F.array(*[F.lag(f"_l{k}", (1 << k) - 1).over(in_order) for k in range(levels)])
-    kept = table.withColumn("_ahead", ahead).withColumn("_back", back).where(F.col("_side") != _DAY)
+    kept = table.select(
+        *_KEY, F.row_number().over(in_order).alias("_row"),
+        F.count(summed[0]).over(so_far).alias("_days"),
+        *[F.sum(c).over(so_far).alias(c) for c in summed],
+        *[F.count(c).over(so_far).alias(f"_n{c}") for c in summed],
+        F.array(*[F.col(f"_l{k}") for k in range(levels)]).alias("_ahead"),
+        F.array(*[F.lag(f"_l{k}", (1 << k) - 1).over(in_order) for k in range(levels)]).alias("_back"),
+    ).where(F.col("_side") != _DAY)
     return kept.select(*_KEY, "_row", "_days", *summed, *[f"_n{c}" for c in summed], "_ahead", "_back")
 
 

@@ -226,3 +226,9 @@ def test_lookup_filter_thins_events_before_the_shuffle(spark, frames):
     assert listed(frames[1], none).count() == 0
     nulls = frames[1].where("account_id is null or event_date is null")
     assert events_on(frames[1], nulls.select("account_id", "event_date").distinct()).count() == nulls.count() > 0
+
+
+def test_borders_double_narrow_rows_before_they_add_up(make_warehouse):
+    w = make_warehouse([{}], [{}])
+    plan = intervals.window_borders(w.days.where("covered"), w.int_subscriptions)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sum(_sum_api_calls") < plan.index("lead(")  # the windows further up come first
