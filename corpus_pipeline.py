@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import labelled, linededup, packing, quality, simhash, toxicity
-from ledgerlens.llm.tables import read, settled, tokenizer
+from ledgerlens.llm.tables import lower_batches, read, settled, tokenizer
 
 
 KEYS = ("doc_id", "text")
@@ -28,6 +28,7 @@ def _aside(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
+    lower_batches(spark)
     usable = labelled.remainder("doc_id", toxicity.FOLDS) != toxicity.HELD_OUT
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"), usable)
     if not model.learned:
@@ -39,6 +40,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model does not reject."""
+    lower_batches(spark)
     usable = labelled.remainder("doc_id", quality.FOLDS) != quality.HELD_OUT
     model = quality.fit(docs, read(spark, sf_dir, "labels"), usable)
     if not model.learned:

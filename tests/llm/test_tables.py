@@ -67,3 +67,23 @@ def test_memos_do_not_keep_long_entries():
         assert shapes[long] == quality.shape(long)
     assert not counter and not shapes
     assert counter["word"] and shapes["word"] == "x" and list(counter) == list(shapes) == ["word"]
+
+
+def test_the_pipelines_classifiers_send_texts_to_workers_in_small_batches(spark, messy, monkeypatch):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(corpus_pipeline, "read", lambda *_: spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    try:
+        for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_poor):
+            spark.conf.set(key, 10_000)
+            with pytest.warns(UserWarning):
+                stage(spark, messy, "")
+            assert spark.conf.get(key) == "1000"
+            spark.conf.set(key, 50)  # smaller ones stay
+            with pytest.warns(UserWarning):
+                stage(spark, messy, "")
+            assert spark.conf.get(key) == "50"
+    finally:
+        spark.conf.set(key, before)
